@@ -1,2 +1,136 @@
-"""placeholder"""
-QUERIES, SQL = {}, {}
+"""Lookup and join family."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tableops.catalog.common import Registry, table
+from tableops.operators import aggregate as A
+from tableops.operators import lookup as J
+
+R = Registry()
+QUERIES, SQL = R.queries, R.sql
+
+
+@R.add("lookup_nation", """
+SELECT c_custkey, c_nationkey, n.n_name AS nation
+FROM customer LEFT JOIN nation n ON c_nationkey IS NOT DISTINCT FROM n.n_nationkey""")
+def lookup_nation(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return J.lookup(c, table(spark, sf, "nation"), "c_nationkey", "n_name", "nation",
+                    ref_key="n_nationkey")
+
+
+_LI_ORDER = ("l_linenumber DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC, "
+             "l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, "
+             "l_returnflag DESC, l_linestatus DESC, l_shipdate DESC")
+
+
+@R.add("lookup_last", f"""
+WITH last AS (
+  SELECT l_orderkey, l_shipdate FROM (
+    SELECT l_orderkey, l_shipdate,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LI_ORDER}) AS rn
+    FROM lineitem) WHERE rn = 1)
+SELECT o_orderkey, o_orderdate, last.l_shipdate AS last_ship
+FROM orders LEFT JOIN last ON o_orderkey IS NOT DISTINCT FROM last.l_orderkey""")
+def lookup_last(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return J.lookup(o, table(spark, sf, "lineitem"), "o_orderkey", "l_shipdate", "last_ship",
+                    order_by=["l_linenumber"], ref_key="l_orderkey")
+
+
+@R.add("index_match", f"""
+WITH last AS (
+  SELECT l_orderkey AS k, l_quantity AS v FROM (
+    SELECT l_orderkey, l_quantity,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LI_ORDER}) AS rn
+    FROM lineitem) WHERE rn = 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, last.v AS last_qty
+FROM lineitem LEFT JOIN last ON l_orderkey IS NOT DISTINCT FROM last.k""")
+def index_match(spark, sf):
+    li = table(spark, sf, "lineitem")
+    out = J.index_match(li, "l_orderkey", "l_quantity", "last_qty", order_by=["l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "last_qty")
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+
+
+@R.add("join_left", """
+SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic
+FROM documents d LEFT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+def join_left(spark, sf):
+    return J.join_tables(_docs(spark, sf), table(spark, sf, "labels"), "doc_id", "left")
+
+
+@R.add("join_inner", """
+SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic
+FROM documents d JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+def join_inner(spark, sf):
+    return J.join_tables(_docs(spark, sf), table(spark, sf, "labels"), "doc_id", "inner")
+
+
+@R.add("join_right", """
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality, l.toxic
+FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
+RIGHT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+def join_right(spark, sf):
+    d = _docs(spark, sf).filter(F.col("lang") == "en")
+    return J.join_tables(d, table(spark, sf, "labels"), "doc_id", "right")
+
+
+@R.add("join_outer", """
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality, l.toxic
+FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
+FULL OUTER JOIN (SELECT * FROM labels WHERE quality = 1) l
+ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+def join_outer(spark, sf):
+    d = _docs(spark, sf).filter(F.col("lang") == "en")
+    lab = table(spark, sf, "labels").filter(F.col("quality") == 1)
+    return J.join_tables(d, lab, "doc_id", "outer")
+
+
+@R.add("join_clash", """
+WITH c AS (SELECT c_nationkey AS nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal
+           FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey),
+     s AS (SELECT s_nationkey AS nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS avg_bal
+           FROM supplier WHERE s_nationkey IS NOT NULL GROUP BY s_nationkey)
+SELECT coalesce(c.nationkey, s.nationkey) AS nationkey, c.n AS n_x, c.avg_bal AS avg_bal_x,
+       s.n AS n_y, s.avg_bal AS avg_bal_y
+FROM c FULL OUTER JOIN s ON c.nationkey IS NOT DISTINCT FROM s.nationkey""")
+def join_clash(spark, sf):
+    def per_nation(t, key, bal):
+        g = A.group_by(table(spark, sf, t).withColumnRenamed(key, "nationkey"), "nationkey",
+                       [(bal, "count", "n"), (bal, "mean", "avg_bal")])
+        return g.withColumn("avg_bal", F.round("avg_bal", 6))
+    c = per_nation("customer", "c_nationkey", "c_acctbal")
+    s = per_nation("supplier", "s_nationkey", "s_acctbal")
+    return J.join_tables(c, s, "nationkey", "outer")
+
+
+_FS = "lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))"
+_FV = "lower(trim(regexp_replace(t, '\\s+', ' ', 'g')))"
+FUZZY_SQL = f"""
+WITH types AS (SELECT DISTINCT p_type AS t FROM part WHERE p_type IS NOT NULL),
+cand AS (
+  SELECT p_partkey, p_name, t, levenshtein({_FS}, {_FV}) AS d FROM part, types
+  WHERE {_FS} <> '' AND {_FV} <> '' AND (
+     contains({_FV}, {_FS}) OR contains({_FS}, {_FV})
+     OR len(list_filter(string_split(translate({_FV}, '()', '  '), ' '),
+            lambda w: w <> '' AND (contains(w, {_FS}) OR contains({_FS}, w)
+                 OR (length({_FS}) >= 3 AND starts_with(w, substr({_FS}, 1, 3)))
+                 OR (length(w) >= 3 AND starts_with({_FS}, substr(w, 1, 3)))))) > 0
+     OR len(list_filter(string_split({_FS}, ' '),
+            lambda a: len(list_filter(string_split({_FV}, ' '), lambda b: contains(b, a))) > 0)) > 0))
+SELECT p.p_partkey, p.p_name, m.t AS matched_type
+FROM part p LEFT JOIN (SELECT p_partkey, arg_min(t, (d, t)) AS t FROM cand GROUP BY p_partkey) m
+  ON p.p_partkey = m.p_partkey"""
+
+
+@R.add("fuzzy_match", FUZZY_SQL)
+def fuzzy_match(spark, sf):
+    p = table(spark, sf, "part")
+    types = p.select("p_type")
+    return J.fuzzy_match(p.select("p_partkey", "p_name"), types, "p_name", "p_type", "matched_type")

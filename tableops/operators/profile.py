@@ -173,8 +173,8 @@ def region_sample(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFra
     head = F.col("row_ix") < n
     middle = (total > 3 * n) & (F.col("row_ix") >= mid) & (F.col("row_ix") < mid + n)
     tail = (total > 2 * n) & (F.col("row_ix") >= total - n)
-    regions = F.filter(F.array(F.when(head, F.lit("head")), F.when(middle, F.lit("middle")),
-                               F.when(tail, F.lit("tail"))), lambda r: r.isNotNull())
+    regions = F.array_compact(F.array(F.when(head, F.lit("head")), F.when(middle, F.lit("middle")),
+                                      F.when(tail, F.lit("tail"))))
     return (ix.withColumn("region", F.explode(regions)))
 
 
