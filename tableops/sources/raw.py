@@ -51,8 +51,8 @@ def read_raw(spark: SparkSession, path: str, name: str = "row_ix", **options) ->
     """A CSV sheet read without a header: every column is text (``_c0``, ``_c1``...)
     and ``row_ix`` is the 0-based line position. Files are ordered by name; inside a
     file, splits are ordered by offset, so the physical order is the file order."""
-    df = (spark.read.options(header="false", inferSchema="false", multiLine="false", **options)
-          .csv(path))
+    opts = {"header": "false", "inferSchema": "false", "multiLine": "false", **options}
+    df = spark.read.options(**opts).csv(path)
     df = df.withColumn("_file", F.input_file_name())
     # file order first, then position inside the file
     df = df.withColumn("_pos", F.monotonically_increasing_id())

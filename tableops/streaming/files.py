@@ -36,9 +36,11 @@ def run_stream(df: DataFrame, transform: Callable[[DataFrame], DataFrame], sink:
     out = transform(df)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
+        # one directory per epoch, overwritten on replay: a retried batch never
+        # duplicates rows
         batch.persist()
         try:
-            batch.write.mode("append").format(fmt).save(sink)
+            batch.write.mode("overwrite").format(fmt).save(f"{sink.rstrip('/')}/batch_id={epoch}")
             if audit_path:
                 audit(batch.sparkSession, audit_path, operation=name, output=sink,
                       rows_after=batch.count(), params={"epoch": epoch})
