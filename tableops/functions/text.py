@@ -1,9 +1,10 @@
 """Text-cell normalisation expressions.
 
 The reference normalises cells by turning line breaks into spaces, collapsing runs
-of blanks and trimming (``' '.join(s.split())``). ``\\s`` here is Java's ASCII class
-(space, tab, newline, vertical tab, form feed, carriage return); Python's ``split()``
-also splits on Unicode spaces such as U+00A0, which we list explicitly.
+of blanks and trimming (``' '.join(s.split())``). Python's ``split()`` also splits on
+Unicode spaces (U+00A0, U+2000-U+200A, U+3000, ...) and the separators U+001C-U+001F;
+Java's ``\\h`` (horizontal) and ``\\v`` (vertical whitespace) cover the former and
+run as fast as the ASCII ``\\s`` class, unlike a long explicit list of ranges.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_col
 
-# Whitespace class: ASCII blanks plus the Unicode spaces Python's str.split() honours.
-WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u0085\\u001c-\\u001f]+"
+# Whitespace run: what Python's str.split() treats as blank.
+WS = "[\\h\\v\\x1c-\\x1f]+"
 
 
 def squash(c: str | Column) -> Column:

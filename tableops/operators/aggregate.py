@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import (
-    as_list, is_numeric, not_nan, numeric_columns, require,
+    as_list, is_numeric, not_nan, null_safe_eq, numeric_columns, require,
 )
+from tableops.plans.quantiles import exact_quantiles
 
 AGGS = ("sum", "mean", "count", "min", "max", "median", "std")
 
@@ -60,13 +61,32 @@ def group_by(df: DataFrame, keys: str | Sequence[str],
              approx: bool = False) -> DataFrame:
     """A1: group on ``keys`` (rows with a NULL key are dropped, as pandas does) and
     aggregate. ``aggs`` is ``{column: fn}`` (result keeps the column name) or a list of
-    ``(column, fn, alias)``. Unknown function names raise."""
+    ``(column, fn, alias)``. Unknown function names raise.
+
+    All functions but ``median`` run in one partial/final aggregation. An exact
+    median is a distributed rank selection (``plans.quantiles``) joined back on the
+    keys, so a hot group never sits in one aggregation buffer; ``approx=True``
+    uses ``percentile_approx`` inside the same aggregation instead."""
     keys = as_list(keys)
     require(df, keys)
     specs = [(c, f, c) for c, f in aggs.items()] if isinstance(aggs, Mapping) else list(aggs)
     require(df, [c for c, _, _ in specs])
-    return _keys_not_null(df, keys).groupBy(*keys).agg(
-        *[agg_expr(df, c, f, approx).alias(a) for c, f, a in specs])
+    base = _keys_not_null(df, keys)
+    exact_medians = [] if approx else [(c, a) for c, f, a in specs if f.lower() == "median"]
+    plain = [(c, f, a) for c, f, a in specs if approx or f.lower() != "median"]
+    out = base.groupBy(*keys).agg(*([agg_expr(df, c, f, approx).alias(a) for c, f, a in plain]
+                                    or [F.count(F.lit(1)).alias("_n")]))
+    for c, a in exact_medians:
+        # exact median by distributed rank selection (no per-group value buffer)
+        med = exact_quantiles(base, not_nan(df, c), [0.5], by=keys, prefix="_m")
+        med = med.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         F.col("_m0").alias(a))
+        out = out.join(med, null_safe_eq([F.col(k) for k in keys],
+                                          [F.col(f"_k{i}") for i in range(len(keys))]), "left")
+        out = out.drop(*[f"_k{i}" for i in range(len(keys))])
+    if not plain:
+        out = out.drop("_n")
+    return out.select(*keys, *[a for _, _, a in specs])
 
 
 def group_count(df: DataFrame, keys: str | Sequence[str], out: str = "Count") -> DataFrame:
@@ -132,9 +152,12 @@ STAT_NAMES = ("Count", "Mean", "Std", "Min", "25%", "50%", "75%", "Max")
 def summary_stats(df: DataFrame, cols: Sequence[str] | None = None,
                   approx: bool = False) -> DataFrame:
     """One row per numeric column: Column, Count, Mean, Std, Min, 25%, 50%, 75%,
-    Max (pandas ``describe``; quartiles interpolate linearly). Every statistic of
-    every column comes from ONE aggregation pass; the one-row result is turned into
-    rows with ``inline``. ``approx=True`` uses bounded-memory quantile sketches."""
+    Max (pandas ``describe``; quartiles interpolate linearly). Count, moments and
+    extremes of every column come from ONE aggregation pass (its one-row result is
+    turned into rows with ``inline``). Exact quartiles of all columns come from ONE
+    distributed rank selection over the values in long form (column name as the
+    group), so no column's values sit in one buffer; ``approx=True`` computes
+    sketches inside the single aggregation instead."""
     cols = [c for c in (cols or df.columns) if is_numeric(df, c)]
     require(df, cols)
     if not cols:
@@ -142,15 +165,23 @@ def summary_stats(df: DataFrame, cols: Sequence[str] | None = None,
     aggs = []
     for i, c in enumerate(cols):
         x = not_nan(df, c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        aggs.append(F.struct(
-            F.lit(c).alias("Column"), F.count(x).alias("Count"), F.avg(x).alias("Mean"),
-            F.stddev_samp(x).alias("Std"), F.min(x).alias("Min"),
-            F.get(q, 0).alias("25%"), F.get(q, 1).alias("50%"), F.get(q, 2).alias("75%"),
-            F.max(x).alias("Max")).alias(f"s{i}"))
+        fields = [F.lit(c).alias("Column"), F.count(x).alias("Count"), F.avg(x).alias("Mean"),
+                  F.stddev_samp(x).alias("Std"), F.min(x).alias("Min")]
+        if approx:
+            q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+            fields += [F.get(q, 0).alias("25%"), F.get(q, 1).alias("50%"), F.get(q, 2).alias("75%")]
+        fields.append(F.max(x).alias("Max"))
+        aggs.append(F.struct(*fields).alias(f"s{i}"))
     one = df.agg(*aggs)
-    return one.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
+    stats = one.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
+    if approx:
+        return stats
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_col"), not_nan(df, c).cast("double").alias("_v")) for c in cols])))
+    q = exact_quantiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"])
+    out = stats.join(q, stats["Column"] == q["_col"], "left")
+    return out.select("Column", "Count", "Mean", "Std", "Min", F.col("q0").alias("25%"),
+                      F.col("q1").alias("50%"), F.col("q2").alias("75%"), "Max")
 
 
 def subtotals(df: DataFrame, key: str, order_by: Sequence[str] | None = None,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import is_numeric, not_nan, require
-from tableops.plans.totals import scalar
+from tableops.plans.totals import column_median, scalar
 
 # The three-colour scale of the reference (minimum, 50th percentile,
 # maximum) and its default highlight colour.
@@ -68,7 +68,7 @@ def color_scale(df: DataFrame, c: str, out: str, approx: bool = False,
     require(df, [c])
     x = not_nan(df, c).cast("double")
     lo, hi = scalar(df, F.min(x)), scalar(df, F.max(x))
-    md = scalar(df, F.percentile_approx(x, 0.5, 10000) if approx else F.percentile(x, F.lit(0.5)))
+    md = column_median(df, x, approx)
     t_lo = F.when(md > lo, (x - lo) / (md - lo)).otherwise(F.lit(0.0))
     t_hi = F.when(hi > md, (x - md) / (hi - md)).otherwise(F.lit(0.0))
     chans = []

@@ -24,9 +24,11 @@ def with_scalars(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.withColumns({name: scalar(df, a) for name, a in aggs.items()})
 
 
-def column_median(df: DataFrame, c: str, approx: bool = False) -> Column:
-    """Median of a column as a scalar. Exact ``percentile`` keeps the distinct values
-    in one aggregation buffer; ``approx=True`` uses a bounded-size sketch instead."""
-    x = F.col(c).cast("double")
-    agg = F.percentile_approx(x, 0.5, 10000) if approx else F.percentile(x, F.lit(0.5))
-    return scalar(df, agg)
+def column_median(df: DataFrame, c: str | Column, approx: bool = False) -> Column:
+    """Median of a column as a scalar. Exact: a distributed rank selection (no value
+    buffer in one task); ``approx=True``: a bounded-size sketch."""
+    from tableops.plans.quantiles import exact_quantiles
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    if approx:
+        return scalar(df, F.percentile_approx(x, 0.5, 10000))
+    return exact_quantiles(df, x, [0.5]).select("q0").scalar()

@@ -118,3 +118,25 @@ def test_row_index_is_dense_and_ordered(spark):
     got = sorted((r.row_ix, r.k) for r in ix.collect())
     assert [r for r, _ in got] == list(range(5000))
     assert [k for _, k in got] == sorted(k for _, k in got)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]),
+                          st.one_of(st.none(), st.integers(-50, 50).map(float))),
+                min_size=1, max_size=60))
+def test_exact_quantiles_equal_pandas(spark, data):
+    import pandas as pd
+    from tableops.plans.quantiles import exact_quantiles
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: (r.q0, r.q1, r.q2) for r in
+           exact_quantiles(df, "v", [0.25, 0.5, 0.75], by=["k"], partitions=5).collect()}
+    pdf = pd.DataFrame(data, columns=["k", "v"]).dropna()
+    want = {k: tuple(g["v"].quantile([0.25, 0.5, 0.75]).tolist()) for k, g in pdf.groupby("k")}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k])), (k, got[k], want[k])
+    overall = exact_quantiles(df, "v", [0.5], partitions=3).collect()
+    if len(pdf):
+        assert abs(overall[0].q0 - pdf["v"].median()) < 1e-9
+    else:
+        assert overall == []
