@@ -163,19 +163,22 @@ def classify_columns(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def region_sample(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFrame:
     """P3 (comprehensive sample): first ``n`` rows; the middle ``n`` (from position
-    ``rows // 2 - n // 2``) when rows > 3n; the last ``n`` when rows > 2n. Rows are
-    ranked by the distributed row index (no global window, no offset scan); a
-    ``region`` column says where each row came from and ``row_ix`` its position."""
-    from tableops.sources.raw import with_row_index
-    ix = with_row_index(df, order_by, "row_ix")
-    total = ix.select(F.count(F.lit(1))).scalar()
+    ``rows // 2 - n // 2``) when rows > 3n; the last ``n`` when rows > 2n. Positions
+    come from a distributed rank (``plans.ranks``: range sort and per-partition
+    counts; no global window, no offset scan, nothing materialised), ties broken by
+    all columns. ``region`` says where each row came from, ``row_ix`` its position."""
+    from tableops.functions.exprs import total_order
+    from tableops.plans.ranks import ranked
+    r = ranked(df, total_order(df, order_by), rank="row_ix", size="_rows")
+    total, ix = F.col("_rows"), F.col("row_ix")
     mid = F.floor(total / 2).cast("long") - (n // 2)
-    head = F.col("row_ix") < n
-    middle = (total > 3 * n) & (F.col("row_ix") >= mid) & (F.col("row_ix") < mid + n)
-    tail = (total > 2 * n) & (F.col("row_ix") >= total - n)
+    head = ix < n
+    middle = (total > 3 * n) & (ix >= mid) & (ix < mid + n)
+    tail = (total > 2 * n) & (ix >= total - n)
     regions = F.array_compact(F.array(F.when(head, F.lit("head")), F.when(middle, F.lit("middle")),
                                       F.when(tail, F.lit("tail"))))
-    return (ix.withColumn("region", F.explode(regions)))
+    return (r.filter(head | middle | tail).withColumn("region", F.explode(regions))
+            .drop("_rows"))
 
 
 def data_profile(df: DataFrame, approx: bool = False) -> DataFrame:

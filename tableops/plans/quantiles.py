@@ -2,32 +2,21 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in one
 buffer, merged in one task: a group holding a third of a 100 TB table does not fit.
-Here an exact quantile is a rank selection over a distributed sort:
-
-1. range-partition and sort the values on ``(group keys, value)``: a hot group's value
-   range is split over many partitions, so no task holds more than its share;
-2. per (partition, group): row count and the first ``monotonically_increasing_id``
-   (whose high bits are the partition index);
-3. a window per group over those few rows gives each partition's rank offset and the
-   group size ``n``; the global case is one group whose window spans one row per
-   partition (bounded by the partition count, not the data);
-4. a row's rank in its group is offset + position in the partition; only rows at
-   ``floor``/``ceil`` of ``q * (n - 1)`` survive, then linear interpolation as in
-   Spark's ``percentile`` and pandas ``quantile``.
-
-The sorted input is read by both branches through one reused exchange. Rows tied on
-(group, value) are interchangeable, so ranks give the same values on any
-re-execution, including after executor loss.
+Here an exact quantile is a rank selection over a distributed sort
+(``plans.ranks.ranked``): only the rows at ``floor``/``ceil`` of ``q * (n - 1)``
+survive, then linear interpolation as in Spark's ``percentile`` and pandas
+``quantile``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableops.functions.exprs import as_list, null_safe_eq
+from tableops.functions.exprs import as_list
+from tableops.plans.ranks import ranked
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
@@ -38,40 +27,20 @@ def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
     absent from the result."""
     by = as_list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    keys = by or ["_g"]
     base = df.select(*[F.col(b) for b in by], x.alias("_x"))
-    if not by:
-        base = base.withColumn("_g", F.lit(0))
     base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    srt = (base.repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col("_x"))
-           .sortWithinPartitions(*keys, "_x")
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    per_part = (srt.groupBy(F.shiftright("_mid", 33).alias("_pid"), *keys)
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0")))
-    w = Window.partitionBy(*keys).orderBy("_pid")
-    per_part = (per_part
-                .withColumn("_off", F.coalesce(F.sum("_c").over(
-                    w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
-    s = srt.withColumn("_pid", F.shiftright("_mid", 33)).alias("s")
-    p = per_part.alias("p")
-    cond = null_safe_eq([F.col("s._pid")] + [F.col(f"s.{k}") for k in keys],
-                        [F.col("p._pid")] + [F.col(f"p.{k}") for k in keys])
-    ranked = s.join(p, cond).select(
-        *[F.col(f"s.{k}").alias(k) for k in keys], F.col("s._x").alias("_x"),
-        (F.col("p._off") + F.col("s._mid") - F.col("p._m0")).alias("_r"), F.col("p._n").alias("_n"))
+    r = ranked(base, [F.col("_x").asc()], by, partitions)
     pos = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
     hit = None
     for ps in pos:
         e = (F.col("_r") == F.floor(ps)) | (F.col("_r") == F.ceil(ps))
         hit = e if hit is None else hit | e
-    picked = ranked.filter(hit)
+    picked = r.filter(hit)
+    keys = by or [F.lit(0).alias("_g")]
     aggs = []
     for i, ps in enumerate(pos):
-        lo, hi = F.floor(ps), F.ceil(ps)
-        aggs += [F.max(F.when(F.col("_r") == lo, F.col("_x"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("_r") == hi, F.col("_x"))).alias(f"_hi{i}"),
+        aggs += [F.max(F.when(F.col("_r") == F.floor(ps), F.col("_x"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_r") == F.ceil(ps), F.col("_x"))).alias(f"_hi{i}"),
                  F.max(ps).alias(f"_p{i}")]
     g = picked.groupBy(*keys).agg(*aggs)
     outs = []
