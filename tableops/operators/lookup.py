@@ -98,21 +98,24 @@ def _grams(s: Column, n: int) -> Column:
         lambda g: F.length(g) == n)
 
 
-def _container_keys(s: Column, tag: str) -> Column:
-    """Keys under which ``s`` can CONTAIN a shorter string: its 1-, 2- and 3-grams."""
-    return F.transform(F.array_distinct(F.concat(_grams(s, 1), _grams(s, 2), _grams(s, 3))),
-                       lambda g: F.concat(F.lit(tag), g))
-
-
-def _probe_key(x: Column, tag: str) -> Column:
-    """Key under which a string ``x`` can be FOUND inside a container: its first
-    3 characters (or itself when shorter). If ``x`` occurs in ``y`` then ``x[:3]`` is
-    one of the grams of ``y``, so the blocking is exact."""
-    return F.concat(F.lit(tag), F.substring(x, 1, 3))
-
-
-def _nonempty(a: Column) -> Column:
-    return F.filter(a, lambda w: w != "")
+def _all_grams(s: Column) -> Column:
+    """Distinct 1-, 2- and 3-grams: the keys under which ``s`` can CONTAIN a string."""
+    return F.array_distinct(F.concat(_grams(s, 1), _grams(s, 2), _grams(s, 3)))
+
+
+def _probe_keys(probes: DataFrame, ident: str, containers: DataFrame) -> DataFrame:
+    """One blocking key per (text, probe string): if the probe occurs inside a
+    container text, every 3-gram of the probe is one of the container's grams, so any
+    of them is an exact key. The RAREST one among the containers is taken (fewest
+    candidate pairs); probes shorter than 3 characters are their own key."""
+    freq = containers.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    short = probes.filter(F.length("_p") < 3).select(ident, F.col("_p").alias("_g"))
+    longp = (probes.filter(F.length("_p") >= 3)
+             .select(ident, "_p", F.explode(F.array_distinct(_grams(F.col("_p"), 3))).alias("_g"))
+             .join(freq, "_g", "left").fillna(0, ["_f"])
+             .groupBy(ident, "_p").agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g"))
+             .select(ident, "_g"))
+    return short.unionByName(longp)
 
 
 def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
@@ -121,51 +124,51 @@ def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
     ``df.left`` (F8), the closest by Levenshtein distance on the normalised texts,
     ties to the smaller value; NULL when nothing matches. Row count is unchanged.
 
-    Exact blocking, no cross join: every way F8 can hold implies a shared key,
+    Exact blocking, no cross join and no cap on candidates: every way F8 can hold
+    implies a shared key,
 
-    - term in value / value in term / value word in term / term token in value
-      token: the contained string's first 3 characters (or all of it, if shorter)
-      are a 1-, 2- or 3-gram of the container;
-    - 3-character prefix agreement: the prefix itself.
+    - term in value, term token in value token: the term (token) is contained in the
+      value, so each of its 3-grams (or itself, if shorter) is a gram of the value;
+    - value in term, value word in term: the same with the roles swapped;
+    - 3-character prefix agreement of the term and a value word: the prefix.
 
-    Keys are generated per distinct text on each side, equi-joined (candidates),
-    verified with the full F8 predicate and reduced to the best match per text
-    with ``min_by`` (an aggregate, so hot texts are reduced map-side).
+    For the containment keys the rarest 3-gram of the contained string is used (a
+    gram-frequency table, at most the number of distinct 1-3-grams), so common
+    prefixes do not flood the candidate join. Candidates are equi-joined per distinct
+    normalised text, verified with the full F8 predicate and reduced to the best
+    match with ``min_by`` (an aggregate: hot texts are reduced map-side).
     """
     require(df, [left])
     require(ref, [right])
-    L = (df.select(F.col(left).alias("_t")).distinct()
-         .withColumn("_s", F.lower(normalized("_t"))).filter(F.col("_s") != ""))
-    R = (ref.select(F.col(right).alias("_v")).distinct()
-         .withColumn("_n", F.lower(normalized("_v"))).filter(F.col("_n") != ""))
+    Ls = (df.select(F.lower(normalized(left)).alias("_s")).filter(F.col("_s") != "").distinct())
+    R = (ref.select(F.col(right).alias("_v"), F.lower(normalized(right)).alias("_n"))
+         .filter(F.col("_n") != ""))
+    Rn = R.select("_n").distinct()
     s, v = F.col("_s"), F.col("_n")
-    s_tokens = F.split(s, " ")
     v_words = _nonempty(F.split(F.translate(v, "()", "  "), " "))
-    lkeys = F.array_distinct(F.concat(
-        F.array(_probe_key(s, "A:")),                                  # term in value
-        F.transform(s_tokens, lambda t: _probe_key(t, "A:")),        # token in value
-        _container_keys(s, "B:"),                                    # value/word in term
-        F.when(F.length(s) >= 3, F.array(F.concat(F.lit("P:"), F.substring(s, 1, 3))))
-         .otherwise(F.array().cast("array<string>"))))
-    rkeys = F.array_distinct(F.concat(
-        _container_keys(v, "A:"),
-        F.array(_probe_key(v, "B:")),
-        F.transform(v_words, lambda w: _probe_key(w, "B:")),
-        F.transform(F.filter(v_words, lambda w: F.length(w) >= 3),
-                    lambda w: F.concat(F.lit("P:"), F.substring(w, 1, 3)))))
-    lk = L.select("_s", F.explode(lkeys).alias("_key")).distinct()
-    rk = R.select("_n", F.explode(rkeys).alias("_key")).distinct()
-    cand = lk.join(rk, "_key").select("_s", "_n").distinct()
+    lc = Ls.select("_s", F.explode(_all_grams(s)).alias("_g"))
+    rc = Rn.select("_n", F.explode(_all_grams(v)).alias("_g"))
+    lp = Ls.select("_s", F.explode(F.array_distinct(F.concat(F.array(s), F.split(s, " ")))).alias("_p"))
+    rp = Rn.select("_n", F.explode(F.array_distinct(F.concat(F.array(v), v_words))).alias("_p"))
+    cand = (_probe_keys(lp, "_s", rc).join(rc, "_g").select("_s", "_n")
+            .unionByName(_probe_keys(rp, "_n", lc).join(lc, "_g").select("_s", "_n")))
+    lpre = Ls.filter(F.length(s) >= 3).select("_s", F.substring(s, 1, 3).alias("_g"))
+    rpre = (Rn.select("_n", F.explode(F.filter(v_words, lambda w: F.length(w) >= 3)).alias("_w"))
+            .select("_n", F.substring("_w", 1, 3).alias("_g")).distinct())
+    cand = cand.unionByName(lpre.join(rpre, "_g").select("_s", "_n")).distinct()
     verified = cand.filter(token_match(F.col("_s"), F.col("_n")))
     vals = R.groupBy("_n").agg(F.min("_v").alias("_v"))
+    dist = F.levenshtein("_s", "_n")
     best = (verified.join(vals, "_n")
-            .groupBy("_s").agg(F.min_by(F.struct(F.levenshtein("_s", "_n").alias("d"),
-                                                 F.col("_v").alias("v")),
-                                        F.struct(F.levenshtein("_s", "_n"), F.col("_v")))
-                               .alias("_b")))
+            .groupBy("_s").agg(F.min_by(F.struct(dist.alias("d"), F.col("_v").alias("v")),
+                                        F.struct(dist, F.col("_v"))).alias("_b")))
     keyed = df.withColumn("_s", F.lower(normalized(left)))
     j = keyed.join(best, "_s", "left")
     cols = [F.col(c) for c in df.columns] + [F.col("_b.v").alias(out)]
     if distance:
         cols.append(F.col("_b.d").alias(distance))
     return j.select(*cols)
+
+
+def _nonempty(a: Column) -> Column:
+    return F.filter(a, lambda w: w != "")
