@@ -21,16 +21,14 @@ def lookup_nation(spark, sf):
                     ref_key="n_nationkey")
 
 
-_LI_ORDER = ("l_linenumber DESC, l_orderkey DESC, l_partkey DESC, l_suppkey DESC, "
-             "l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, "
-             "l_returnflag DESC, l_linestatus DESC, l_shipdate DESC")
 
 
 @R.add("lookup_last", f"""
 WITH last AS (
   SELECT l_orderkey, l_shipdate FROM (
     SELECT l_orderkey, l_shipdate,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LI_ORDER}) AS rn
+           row_number() OVER (PARTITION BY l_orderkey
+             ORDER BY l_linenumber DESC NULLS LAST, l_shipdate DESC NULLS LAST) AS rn
     FROM lineitem) WHERE rn = 1)
 SELECT o_orderkey, o_orderdate, last.l_shipdate AS last_ship
 FROM orders LEFT JOIN last ON o_orderkey IS NOT DISTINCT FROM last.l_orderkey""")
@@ -44,7 +42,8 @@ def lookup_last(spark, sf):
 WITH last AS (
   SELECT l_orderkey AS k, l_quantity AS v FROM (
     SELECT l_orderkey, l_quantity,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LI_ORDER}) AS rn
+           row_number() OVER (PARTITION BY l_orderkey
+             ORDER BY l_linenumber DESC NULLS LAST, l_quantity DESC NULLS LAST) AS rn
     FROM lineitem) WHERE rn = 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, last.v AS last_qty
 FROM lineitem LEFT JOIN last ON l_orderkey IS NOT DISTINCT FROM last.k""")

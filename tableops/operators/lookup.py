@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableops.functions.exprs import as_list, order_struct, require
+from tableops.functions.exprs import as_list, require
 from tableops.functions.predicates import token_match
 from tableops.functions.text import normalized
 
@@ -22,10 +22,20 @@ HOWS = ("left", "right", "inner", "outer")
 
 def _last_per_key(ref: DataFrame, key: str, return_col: str,
                   order_by: Sequence[str] | None) -> DataFrame:
-    """One row per key: the value of the LAST row in ``order_by`` order (ties broken
-    by all columns). ``max_by`` is an aggregate, so a hot key is reduced map-side."""
-    return ref.groupBy(F.col(key).alias("_k")).agg(
-        F.max_by(F.col(return_col), order_struct(ref, order_by, exclude=[])).alias("_v"))
+    """One row per key: the value of the LAST row in ``order_by`` order (NULLs sort
+    first, so a NULL order value is never last unless all are); rows tied on
+    ``order_by`` are broken by the larger value, which makes the choice
+    deterministic. ``max`` of a small struct is an aggregate, so a hot key is
+    reduced map-side to one partial row per task."""
+    order = [o for o in as_list(order_by)]
+    if not order:
+        order = [c for c in ref.columns if c not in (key, return_col)]
+    fields = []
+    for i, o in enumerate(order):
+        fields += [F.col(o).isNotNull().alias(f"n{i}"), F.col(o).alias(f"o{i}")]
+    fields += [F.col(return_col).isNotNull().alias("nv"), F.col(return_col).alias("v")]
+    return ref.groupBy(F.col(key).alias("_k")).agg(F.max(F.struct(*fields)).alias("_m")) \
+              .select("_k", F.col("_m.v").alias("_v"))
 
 
 def lookup(df: DataFrame, ref: DataFrame, key: str, return_col: str,
@@ -33,8 +43,10 @@ def lookup(df: DataFrame, ref: DataFrame, key: str, return_col: str,
            ref_key: str | None = None) -> DataFrame:
     """J1 (vlookup / xlookup / lookup): add ``out`` = ``ref.return_col`` of the row
     whose ``ref_key`` equals ``df.key``. The last duplicate key in ``order_by`` order
-    wins, NULL matches NULL, a miss is NULL and the row count of ``df`` never changes.
-    Missing columns raise (the reference skips silently)."""
+    wins (rows tied on ``order_by`` give the larger value; without ``order_by`` all
+    other columns order the rows), NULL matches NULL, a miss is NULL and the row
+    count of ``df`` never changes. Missing columns raise (the reference skips
+    silently)."""
     ref_key = ref_key or key
     require(df, [key])
     require(ref, [ref_key, return_col])

@@ -24,7 +24,7 @@ def con():
 
 def test_every_query_has_sql_or_is_rows_only():
     rows_only = set(NAMES) - set(SQL)
-    assert rows_only == {"scatter_points", "data_profile"}
+    assert rows_only == {"scatter_points"}
     assert set(SQL) <= set(NAMES)
 
 
