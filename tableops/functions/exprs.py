@@ -112,18 +112,3 @@ def total_order(df: DataFrame, order_by: Sequence[str | Column] | None = None,
         if f.name not in named and _orderable(f.dataType):
             out.append(F.col(f.name).asc_nulls_last())
     return out
-
-
-def order_struct(df: DataFrame, order_by: Sequence[str] | None = None,
-                 exclude: Sequence[str] = ()) -> Column:
-    """A struct whose natural ordering is the total order of ``total_order`` (for
-    ``max_by`` / ``min_by``). Nulls sort first inside a struct, so each field is
-    paired with an is-null flag to put nulls last."""
-    fields = []
-    names = [o for o in as_list(order_by) if isinstance(o, str)]
-    names += [f.name for f in df.schema.fields
-              if f.name not in names and f.name not in exclude and _orderable(f.dataType)]
-    for i, n in enumerate(names):
-        fields.append(F.col(n).isNull().alias(f"n{i}"))
-        fields.append(F.col(n).alias(f"v{i}"))
-    return F.struct(*fields)

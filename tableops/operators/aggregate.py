@@ -56,37 +56,47 @@ def _keys_not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.filter(cond) if cond is not None else df
 
 
+def aggregate(df: DataFrame, keys: Sequence[str],
+              specs: Sequence[tuple[str, str, str]], approx: bool = False) -> DataFrame:
+    """``(column, fn, alias)`` aggregates per ``keys`` (or over the whole table when
+    ``keys`` is empty). Every function but ``median`` runs in one partial/final
+    aggregation. An exact median is a distributed rank selection
+    (``plans.quantiles``): per group it is joined back on the keys, overall it is a
+    scalar subquery; a hot group never sits in one aggregation buffer.
+    ``approx=True`` computes ``percentile_approx`` inside the single aggregation."""
+    keys = as_list(keys)
+    medians = [] if approx else [(c, a) for c, f, a in specs if f.lower() == "median"]
+    plain = [(c, f, a) for c, f, a in specs if approx or f.lower() != "median"]
+    exprs = [agg_expr(df, c, f, approx).alias(a) for c, f, a in plain] or [F.count(F.lit(1)).alias("_n")]
+    out = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
+    for c, a in medians:
+        if not keys:
+            out = out.withColumn(a, exact_quantiles(df, not_nan(df, c), [0.5]).select("q0").scalar())
+            continue
+        med = exact_quantiles(df, not_nan(df, c), [0.5], by=keys, prefix="_m")
+        med = med.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         F.col("_m0").alias(a))
+        out = out.join(med, null_safe_eq([F.col(k) for k in keys],
+                                          [F.col(f"_k{i}") for i in range(len(keys))]), "left")
+        out = out.drop(*[f"_k{i}" for i in range(len(keys))])
+    return out.select(*keys, *[a for _, _, a in specs])
+
+
 def group_by(df: DataFrame, keys: str | Sequence[str],
              aggs: Mapping[str, str] | Sequence[tuple[str, str, str]],
              approx: bool = False) -> DataFrame:
     """A1: group on ``keys`` (rows with a NULL key are dropped, as pandas does) and
     aggregate. ``aggs`` is ``{column: fn}`` (result keeps the column name) or a list of
-    ``(column, fn, alias)``. Unknown function names raise.
-
-    All functions but ``median`` run in one partial/final aggregation. An exact
-    median is a distributed rank selection (``plans.quantiles``) joined back on the
-    keys, so a hot group never sits in one aggregation buffer; ``approx=True``
-    uses ``percentile_approx`` inside the same aggregation instead."""
+    ``(column, fn, alias)``; fn is one of sum, mean, count, min, max, median, std.
+    Unknown function names raise. See ``aggregate`` for how medians stay exact
+    without a hot task."""
     keys = as_list(keys)
     require(df, keys)
     specs = [(c, f, c) for c, f in aggs.items()] if isinstance(aggs, Mapping) else list(aggs)
     require(df, [c for c, _, _ in specs])
-    base = _keys_not_null(df, keys)
-    exact_medians = [] if approx else [(c, a) for c, f, a in specs if f.lower() == "median"]
-    plain = [(c, f, a) for c, f, a in specs if approx or f.lower() != "median"]
-    out = base.groupBy(*keys).agg(*([agg_expr(df, c, f, approx).alias(a) for c, f, a in plain]
-                                    or [F.count(F.lit(1)).alias("_n")]))
-    for c, a in exact_medians:
-        # exact median by distributed rank selection (no per-group value buffer)
-        med = exact_quantiles(base, not_nan(df, c), [0.5], by=keys, prefix="_m")
-        med = med.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                         F.col("_m0").alias(a))
-        out = out.join(med, null_safe_eq([F.col(k) for k in keys],
-                                          [F.col(f"_k{i}") for i in range(len(keys))]), "left")
-        out = out.drop(*[f"_k{i}" for i in range(len(keys))])
-    if not plain:
-        out = out.drop("_n")
-    return out.select(*keys, *[a for _, _, a in specs])
+    for _, f, _ in specs:
+        agg_expr(df, specs[0][0], f, approx)  # validates the name
+    return aggregate(_keys_not_null(df, keys), keys, specs, approx)
 
 
 def group_count(df: DataFrame, keys: str | Sequence[str], out: str = "Count") -> DataFrame:
@@ -101,7 +111,9 @@ def pivot_table(df: DataFrame, index: str | Sequence[str], column: str,
                 values: Sequence | None = None, approx: bool = False) -> DataFrame:
     """A3/A4: one row per ``index``, one column per distinct ``column`` value, cells
     ``fn(value)`` (or row counts when ``value`` is None); gaps are 0. NULL index or
-    column keys are dropped. For ``mean`` an index row whose every cell is NULL is
+    column keys are dropped. Cells are aggregated first (``aggregate``: partial
+    aggregation, exact medians without a hot task); the pivot then reshapes one
+    row per cell. For ``mean`` an index row whose every cell is NULL is
     dropped before filling, as pandas does.
 
     Pass ``values`` (the pivot column values) to skip the extra distinct-values job
@@ -110,11 +122,14 @@ def pivot_table(df: DataFrame, index: str | Sequence[str], column: str,
     index = as_list(index)
     require(df, index + [column] + ([value] if value else []))
     base = _keys_not_null(df, index + [column])
-    g = base.groupBy(*index).pivot(column, list(values) if values is not None else None)
     if value is None:
-        out = g.agg(F.count(F.lit(1)))
+        cells_df = base.groupBy(*index, column).agg(F.count(F.lit(1)).alias("_cell"))
     else:
-        out = g.agg(agg_expr(df, value, fn, approx))
+        agg_expr(df, value, fn, approx)  # validates the name
+        cells_df = aggregate(base, index + [column], [(value, fn, "_cell")], approx)
+    # the pivot runs over one row per (index, column) cell, not over the input rows
+    out = (cells_df.groupBy(*index).pivot(column, list(values) if values is not None else None)
+           .agg(F.first("_cell")))
     cells = [c for c in out.columns if c not in index]
     if value is not None and fn.lower() not in ("sum", "count") and cells:
         keep = None
@@ -176,8 +191,10 @@ def summary_stats(df: DataFrame, cols: Sequence[str] | None = None,
     stats = one.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))])))
     if approx:
         return stats
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_col"), not_nan(df, c).cast("double").alias("_v")) for c in cols])))
+    long = None  # one single-column projection per column: each scan reads one column
+    for c in cols:
+        part = df.select(F.lit(c).alias("_col"), not_nan(df, c).cast("double").alias("_v"))
+        long = part if long is None else long.unionByName(part)
     q = exact_quantiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"])
     out = stats.join(q, stats["Column"] == q["_col"], "left")
     return out.select("Column", "Count", "Mean", "Std", "Min", F.col("q0").alias("25%"),
@@ -221,7 +238,7 @@ def column_stat(df: DataFrame, cols: str | Sequence[str], fn: str = "mean",
     """One whole-column statistic per column, as one row (global aggregate)."""
     cols = as_list(cols)
     require(df, cols)
-    return df.agg(*[agg_expr(df, c, fn, approx).alias(c) for c in cols])
+    return aggregate(df, [], [(c, fn, c) for c in cols], approx)
 
 
 def rollup_totals(df: DataFrame, keys: Sequence[str], cols: Sequence[str],

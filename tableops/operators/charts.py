@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_list, require
-from tableops.operators.aggregate import agg_expr
+from tableops.operators.aggregate import aggregate
 from tableops.plans.totals import scalar
 
 
@@ -20,8 +20,8 @@ def chart_series(df: DataFrame, category: str, values: str | Sequence[str],
     column per category (average by default); NULL categories dropped."""
     values = as_list(values)
     require(df, [category] + values)
-    g = (df.filter(F.col(category).isNotNull()).groupBy(category)
-         .agg(*[agg_expr(df, v, fn).cast("double").alias(v) for v in values]))
+    g = aggregate(df.filter(F.col(category).isNotNull()), [category], [(v, fn, v) for v in values])
+    g = g.select(category, *[F.col(v).cast("double").alias(v) for v in values])
     return g.unpivot(category, values, "series", "value")
 
 
@@ -44,10 +44,10 @@ def line_series(df: DataFrame, x: str, values: str | Sequence[str], bucket: str
     ordered along ``x``."""
     values = as_list(values)
     require(df, [x] + values)
-    key = F.date_trunc(bucket, F.col(x)).alias(x) if bucket else F.col(x)
-    g = (df.filter(F.col(x).isNotNull()).groupBy(key)
-         .agg(*[agg_expr(df, v, fn).alias(v) for v in values]))
-    return g.orderBy(x)
+    base = df.filter(F.col(x).isNotNull())
+    if bucket:
+        base = base.withColumn(x, F.date_trunc(bucket, F.col(x)))
+    return aggregate(base, [x], [(v, fn, v) for v in values]).orderBy(x)
 
 
 def scatter_points(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 0,
@@ -66,8 +66,8 @@ def scatter_points(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 0,
 def kpi(df: DataFrame, metrics: Mapping[str, tuple[str, str]]) -> DataFrame:
     """G5 (kpi_dashboard): ``metric, value`` rows, every metric from ONE aggregation."""
     require(df, [c for c, _ in metrics.values()])
-    one = df.agg(*[agg_expr(df, c, fn).cast("double").alias(f"m{i}")
-                   for i, (c, fn) in enumerate(metrics.values())])
+    one = aggregate(df, [], [(c, fn, f"m{i}") for i, (c, fn) in enumerate(metrics.values())])
+    one = one.select(*[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(len(metrics))])
     arr = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"m{i}").alias("value"))
                     for i, name in enumerate(metrics)])
     return one.select(F.inline(arr))
@@ -82,9 +82,9 @@ def sparkline(df: DataFrame, key: str, x: str, y: str, bucket: str = "day",
     array holds one point per bucket (bounded by the time span / bucket), never the
     rows of a hot key."""
     require(df, [key, x, y])
-    pts = (df.filter(F.col(key).isNotNull() & F.col(x).isNotNull())
-           .groupBy(key, F.date_trunc(bucket, F.col(x)).alias("_x"))
-           .agg(agg_expr(df, y, fn).cast("double").alias("_y")))
+    base = (df.filter(F.col(key).isNotNull() & F.col(x).isNotNull())
+            .withColumn("_x", F.date_trunc(bucket, F.col(x))))
+    pts = aggregate(base, [key, "_x"], [(y, fn, "_y")]).withColumn("_y", F.col("_y").cast("double"))
     arr = F.array_sort(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))))
     return (pts.groupBy(key).agg(arr.alias("_p"))
             .select(key, F.transform("_p", lambda p: p["x"]).alias(f"{out}_x"),

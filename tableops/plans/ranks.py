@@ -50,7 +50,10 @@ def ranked(df: DataFrame, order_by: Sequence[Column], by: Sequence[str] | None =
     s = srt.withColumn("_pid", F.shiftright("_mid", 33))
     cond = null_safe_eq([F.col("_pid")] + [F.col(k) for k in keys],
                         [F.col("_pp")] + [F.col(f"_pk{i}") for i in range(len(keys))])
-    out = s.join(per_part, cond).withColumns({
+    # Ungrouped, the offsets table has one row per partition: a proven bound, so it
+    # is broadcast. Grouped, it has up to (partitions + groups) rows; AQE broadcasts
+    # it only when its measured size is below the threshold.
+    out = s.join(F.broadcast(per_part) if not by else per_part, cond).withColumns({
         rank: F.col("_off") + F.col("_mid") - F.col("_m0"), size: F.col("_tot")})
     drop = ["_mid", "_pid", "_pp", "_off", "_m0", "_tot"] + [f"_pk{i}" for i in range(len(keys))]
     if not by:

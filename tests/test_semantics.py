@@ -288,3 +288,22 @@ def test_extract_json_forms(spark):
     assert out[3] == ('{"c": {"d": 4}}', "pattern")
     assert out[4] == (None, "failed") and out[5] == (None, "failed") and out[6] == (None, "failed")
     assert out[7] == ('{"k": 1}', "braces")
+
+
+def test_exact_median_everywhere(spark):
+    import statistics
+    data = [("hot", float(v)) for v in range(1, 40)] + [("a", 1.0), ("a", 4.0), ("b", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    med = {r.k: r.v for r in to.group_by(df, "k", {"v": "median"}).collect()}
+    assert med == {"hot": 20.0, "a": 2.5, "b": None}
+    both = to.group_by(df, "k", [("v", "median", "m"), ("v", "count", "n")]).collect()
+    assert {r.k: (r.m, r.n) for r in both}["a"] == (2.5, 2)
+    allv = [v for _, v in data if v is not None]
+    assert to.column_stat(df, "v", "median").first().v == statistics.median(allv)
+    k = {r.metric: r.value for r in to.kpi(df, {"med": ("v", "median"), "n": ("v", "count")}).collect()}
+    assert k == {"med": statistics.median(allv), "n": float(len(allv))}
+    piv = df.withColumn("c", F.lit("x"))
+    p = {r.k: r.x for r in to.pivot_table(piv, "k", "c", "v", "median").collect()}
+    assert p == {"hot": 20.0, "a": 2.5}
+    cs = {(r.k, r.series): r.value for r in to.chart_series(df, "k", "v", "median").collect()}
+    assert cs[("hot", "v")] == 20.0
