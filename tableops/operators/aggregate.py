@@ -17,6 +17,16 @@ from tableops.functions.exprs import (
 from tableops.plans.quantiles import exact_quantiles
 
 AGGS = ("sum", "mean", "count", "min", "max", "median", "std")
+_ALIASES = {"average": "mean", "avg": "mean", "minimum": "min", "maximum": "max",
+            "std_dev": "std", "stddev": "std"}
+
+
+def check_fn(fn: str) -> str:
+    """Canonical aggregate name; unknown names raise (the reference silently sums)."""
+    f = _ALIASES.get(fn.lower(), fn.lower())
+    if f not in AGGS:
+        raise ValueError(f"unknown aggregate {fn!r}; expected one of {AGGS}")
+    return f
 
 
 def agg_expr(df: DataFrame, c: str, fn: str, approx: bool = False) -> Column:
@@ -95,7 +105,7 @@ def group_by(df: DataFrame, keys: str | Sequence[str],
     specs = [(c, f, c) for c, f in aggs.items()] if isinstance(aggs, Mapping) else list(aggs)
     require(df, [c for c, _, _ in specs])
     for _, f, _ in specs:
-        agg_expr(df, specs[0][0], f, approx)  # validates the name
+        check_fn(f)
     return aggregate(_keys_not_null(df, keys), keys, specs, approx)
 
 
@@ -125,7 +135,7 @@ def pivot_table(df: DataFrame, index: str | Sequence[str], column: str,
     if value is None:
         cells_df = base.groupBy(*index, column).agg(F.count(F.lit(1)).alias("_cell"))
     else:
-        agg_expr(df, value, fn, approx)  # validates the name
+        check_fn(fn)
         cells_df = aggregate(base, index + [column], [(value, fn, "_cell")], approx)
     # the pivot runs over one row per (index, column) cell, not over the input rows
     out = (cells_df.groupBy(*index).pivot(column, list(values) if values is not None else None)

@@ -140,3 +140,25 @@ def test_exact_quantiles_equal_pandas(spark, data):
         assert abs(overall[0].q0 - pdf["v"].median()) < 1e-9
     else:
         assert overall == []
+
+
+def test_scatter_sample_equals_brute_force(spark):
+    """G4 picks the n rows with the smallest xxhash64(seed, key): recompute the same
+    hash in Python (XXH64 over little-endian int/long bytes, chained seeds from 42)."""
+    import struct
+
+    import xxhash
+
+    from tests.conftest import SF_SMALL
+
+    def h(seed, key):
+        a = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42)
+        b = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=a)
+        return b - (1 << 64) if b >= 1 << 63 else b
+
+    o = to.read_table(spark, f"{SF_SMALL}/orders.parquet")
+    got = sorted((r.o_orderdate, r.o_totalprice) for r in
+                 to.scatter_points(o, "o_orderdate", "o_totalprice", n=50, seed=7, key=["o_orderkey"]).collect())
+    rows = o.select("o_orderkey", "o_orderdate", "o_totalprice").collect()
+    best = sorted(rows, key=lambda r: (h(7, r.o_orderkey), r.o_orderkey))[:50]
+    assert got == sorted((r.o_orderdate, r.o_totalprice) for r in best)
