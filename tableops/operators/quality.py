@@ -119,6 +119,8 @@ def _dup_rows(df: DataFrame, rule: Rule, key) -> DataFrame:
 
 def violations(df: DataFrame, rules: Sequence[Rule], key: str | Sequence[str] | None = None) -> DataFrame:
     """Failing cells of every rule: ``rule, column, row_key, value`` (value as text)."""
+    if not rules:
+        raise ValueError("give at least one rule")
     local = [r for r in rules if r.name != "no_duplicates"]
     parts = []
     if local:
@@ -143,6 +145,8 @@ def violations(df: DataFrame, rules: Sequence[Rule], key: str | Sequence[str] |
 def quality_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """V7 error_detection: ``rule, column, checked, failed`` for every rule; row-local
     rules in one aggregation pass. ``checked`` counts the rows examined."""
+    if not rules:
+        raise ValueError("give at least one rule")
     local = [r for r in rules if r.name != "no_duplicates"]
     out = None
     if local:

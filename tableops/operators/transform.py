@@ -63,9 +63,10 @@ def merge_columns(df: DataFrame, cols: Sequence[str], out: str, sep: str = " ",
         F.coalesce(F.col(c).cast("string"), F.lit(null_text)) for c in cols]))
 
 
-def fill_missing(df: DataFrame, value, cols: Sequence[str] | None = None,
+def fill_missing(df: DataFrame, value="N/A", cols: Sequence[str] | None = None,
                  cast: bool = False) -> DataFrame:
-    """Fill NULL (and float NaN) cells.
+    """T7 (fill_missing / replace_nan / fillna): fill NULL (and float NaN) cells with
+    ``value`` (default ``N/A``, as in the reference).
 
     Without ``cols``, every column whose type fits ``value`` is filled (numbers fill
     numeric columns, text fills text columns). A named column whose type does not
