@@ -14,8 +14,9 @@ def get_spark(master: str | None = None, app: str = "tableops",
               shuffle_partitions: int | None = None, **conf) -> SparkSession:
     """Build or reuse a session with AQE on and the UI off.
 
-    ``shuffle_partitions`` defaults to the local core count for ``local[...]`` masters;
-    on a cluster leave it to the cluster config and let AQE coalesce.
+    On a cluster, set ``spark.sql.shuffle.partitions`` high enough for the largest
+    shuffle (input bytes / ~128 MB) and let AQE coalesce small shuffles to the
+    advisory size and split skewed join partitions; locally pass about 2x the cores.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -26,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "tableops",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
