@@ -76,3 +76,21 @@ def test_stream_row_local_operator(spark, scratch):
     assert out.count() == spark.read.parquet(src).count()
     assert out.filter(F.col("big")).count() == spark.read.parquet(src).filter("value > 100").count()
     assert to.read_audit(spark, f"{scratch}/audit").count() >= 1
+
+
+def test_streaming_windowed_series_matches_batch(spark, scratch):
+    from tableops.streaming.windows import windowed_series
+    src = f"{scratch}/events"
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.repartition(4).write.parquet(src)
+    stream = read_stream(spark, src, ev.schema, max_files_per_trigger=2)
+    series = windowed_series(stream, "ts", "value", window="1 day", watermark="1 hour")
+    q = (series.writeStream.outputMode("complete").format("memory")
+         .queryName("win_series").option("checkpointLocation", f"{scratch}/wckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r.ts: round(r.value, 6) for r in spark.table("win_series").collect()}
+    want = {r.ts: round(r.value, 6) for r in to.line_series(ev, "ts", "value", bucket="day").collect()}
+    assert got == want
+    with pytest.raises(ValueError):
+        windowed_series(stream, "ts", "value", fn="median")
