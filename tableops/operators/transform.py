@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tableops.functions.exprs import (
     as_list, dtype, is_numeric, is_string, require, NUMERIC,
 )
-from tableops.functions.text import normalized, squash, words
+from tableops.functions.text import normalized, words
 
 
 def select_as(df: DataFrame, mapping: Mapping[str, str] | Sequence[str]) -> DataFrame:
