@@ -26,7 +26,7 @@ from tableops.operators.filters import (  # noqa: F401
 from tableops.operators.calc import calc  # noqa: F401
 from tableops.operators.order import sort_rows, top_k, deduplicate  # noqa: F401
 from tableops.operators.aggregate import (  # noqa: F401
-    group_by, group_count, pivot_table, cross_tab, summary_stats, subtotals,
+    aggregate, group_by, group_count, pivot_table, cross_tab, summary_stats, subtotals,
     value_counts, column_stat, rollup_totals,
 )
 from tableops.operators.lookup import (  # noqa: F401
@@ -49,3 +49,6 @@ from tableops.operators.textjobs import (  # noqa: F401
     classify_intent, column_mentions, extract_json,
 )
 from tableops.operators.metrics import row_counts, observed_counts  # noqa: F401
+from tableops.plans.quantiles import exact_quantiles  # noqa: F401
+from tableops.plans.ranks import ranked  # noqa: F401
+from tableops.plans.totals import column_median, with_scalars  # noqa: F401
