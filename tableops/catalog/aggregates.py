@@ -169,3 +169,38 @@ def rollup_totals(spark, sf):
     r = A.rollup_totals(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"],
                         ["l_quantity", "l_extendedprice"])
     return r.withColumn("l_extendedprice", F.round("l_extendedprice", 2))
+
+
+@R.add("pivot_median", """
+SELECT l_linestatus,
+  coalesce(round(median(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 6), 0) AS "A",
+  coalesce(round(median(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 6), 0) AS "N",
+  coalesce(round(median(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), 6), 0) AS "R"
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL
+GROUP BY l_linestatus
+HAVING count(l_extendedprice) > 0""")
+def pivot_median(spark, sf):
+    p = A.pivot_table(table(spark, sf, "lineitem"), "l_linestatus", "l_returnflag",
+                      "l_extendedprice", "median", values=["A", "N", "R"])
+    return p.select("l_linestatus", *[F.round(c, 6).alias(c) for c in ["A", "N", "R"]])
+
+
+@R.add("group_median_two_keys", """
+SELECT c_mktsegment, c_nationkey, round(median(c_acctbal), 6) AS median_bal,
+       round(avg(c_acctbal), 6) AS mean_bal, count(c_acctbal) AS n
+FROM customer WHERE c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL
+GROUP BY c_mktsegment, c_nationkey""")
+def group_median_two_keys(spark, sf):
+    g = A.group_by(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"],
+                   [("c_acctbal", "median", "median_bal"), ("c_acctbal", "mean", "mean_bal"),
+                    ("c_acctbal", "count", "n")])
+    return g.withColumns({"median_bal": F.round("median_bal", 6), "mean_bal": F.round("mean_bal", 6)})
+
+
+@R.add("column_median", """
+SELECT round(median(o_totalprice), 6) AS o_totalprice, round(median(o_custkey), 6) AS o_custkey
+FROM orders""")
+def column_median(spark, sf):
+    s = A.column_stat(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], "median")
+    return s.select(F.round("o_totalprice", 6).alias("o_totalprice"),
+                    F.round("o_custkey", 6).alias("o_custkey"))

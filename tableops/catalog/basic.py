@@ -341,3 +341,33 @@ SELECT {_LI} FROM (
 def dedup_first(spark, sf):
     li = table(spark, sf, "lineitem")
     return O.deduplicate(li, ["l_orderkey"], order_by=["l_linenumber"]).select(*_LI_COLS)
+
+
+# --- variants ---------------------------------------------------------------------------
+
+@R.add("filter_le", "SELECT * FROM part WHERE p_retailprice <= 1000")
+def filter_le(spark, sf):
+    return FL.filter_rows(table(spark, sf, "part"), "p_retailprice", "<=", 1000)
+
+
+@R.add("filter_gt", "SELECT * FROM customer WHERE c_acctbal > 9000")
+def filter_gt(spark, sf):
+    return FL.filter_rows(table(spark, sf, "customer"), "c_acctbal", ">", 9000)
+
+
+@R.add("dedup_keys", """
+SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem""")
+def dedup_keys(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus")
+    return O.deduplicate(li, ["l_returnflag", "l_linestatus"])
+
+
+@R.add("fill_missing_text", """
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.lang, 'N/A') AS lang, d.n_chars,
+       l.quality, l.toxic
+FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
+FULL OUTER JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+def fill_missing_text(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").filter(F.col("lang") == "en")
+    j = join_tables(d, table(spark, sf, "labels"), "doc_id", "outer")
+    return T.fill_missing(j)  # default 'N/A' fills the text columns

@@ -166,3 +166,11 @@ FROM v"""
 def color_scale(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return RU.color_scale(o, "o_totalprice", "color")
+
+
+@R.add("check_min_only", """
+SELECT 'range_check' AS rule, 'o_totalprice' AS "column", CAST(o_orderkey AS VARCHAR) AS row_key,
+       CAST(o_totalprice AS VARCHAR) AS value
+FROM orders WHERE o_totalprice IS NOT NULL AND o_totalprice < 10000""")
+def check_min_only(spark, sf):
+    return V.check_range(table(spark, sf, "orders"), "o_totalprice", lo=10000, key="o_orderkey")
