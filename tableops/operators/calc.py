@@ -24,8 +24,9 @@ def _values(df: DataFrame, cols: Sequence[str]) -> list[Column]:
 
 
 def _present(vals: list[Column]) -> Column:
-    """Array of the non-NULL values of a row."""
-    return F.filter(F.array(*vals), lambda v: v.isNotNull())
+    """Sorted array of the non-NULL values of a row (no lambda: ``array_compact`` and
+    ``sort_array`` stay inside whole-stage codegen)."""
+    return F.sort_array(F.array_compact(F.array(*vals)))
 
 
 def _divide(a: Column, b: Column, ieee: bool) -> Column:
@@ -52,7 +53,7 @@ def _row_expr(df: DataFrame, fn: str, cols: Sequence[str], ieee: bool) -> Column
     if fn == "count":
         return n_present
     if fn == "median":
-        a = F.array_sort(_present(v))
+        a = _present(v)
         n = F.size(a)
         mid = F.floor(n / 2).cast("int")
         return (F.when(n == 0, F.lit(None).cast("double"))
@@ -69,10 +70,11 @@ def _row_expr(df: DataFrame, fn: str, cols: Sequence[str], ieee: bool) -> Column
             raise ValueError("row percentage needs two columns")
         return _divide(v[0], v[1], ieee) * 100
     if fn in ("variance", "std_dev"):
-        a = _present(v)
-        n = F.size(a).cast("double")
-        mean = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
-        ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        # two-pass sample variance, unrolled over the columns (plain expressions)
+        n = n_present.cast("double")
+        mean = total / n
+        ss = reduce(lambda a, b: a + b,
+                    [F.when(x.isNotNull(), (x - mean) * (x - mean)).otherwise(F.lit(0.0)) for x in v])
         var = F.when(n >= 2, ss / (n - 1))
         return var if fn == "variance" else F.sqrt(var)
     raise ValueError(f"unknown calculation {fn!r}; expected one of {FUNCTIONS}")

@@ -50,9 +50,11 @@ def data_bar(df: DataFrame, c: str, out: str) -> DataFrame:
     column gives 0; NULL gives NULL."""
     require(df, [c])
     x = not_nan(df, c).cast("double")
-    lo, hi = scalar(df, F.min(x)), scalar(df, F.max(x))
-    return df.withColumn(out, F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(
-        F.when(x.isNotNull(), F.lit(0.0))))
+    # bind each scalar to a column once, so each subquery appears once in the plan
+    d = df.withColumns({"_lo": scalar(df, F.min(x)), "_hi": scalar(df, F.max(x))})
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return d.withColumn(out, F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(
+        F.when(x.isNotNull(), F.lit(0.0)))).drop("_lo", "_hi")
 
 
 def _channel(hexcolor: str, i: int) -> int:
@@ -67,8 +69,12 @@ def color_scale(df: DataFrame, c: str, out: str, approx: bool = False,
     ``approx=True`` takes the median from a bounded sketch."""
     require(df, [c])
     x = not_nan(df, c).cast("double")
-    lo, hi = scalar(df, F.min(x)), scalar(df, F.max(x))
-    md = column_median(df, x, approx)
+    # bind each scalar to a column once: a subquery holding a nondeterministic
+    # expression (the rank selection) is never deduplicated by Spark, so every
+    # textual reference would run it again
+    d = df.withColumns({"_lo": scalar(df, F.min(x)), "_hi": scalar(df, F.max(x)),
+                        "_md": column_median(df, x, approx)})
+    lo, hi, md = F.col("_lo"), F.col("_hi"), F.col("_md")
     t_lo = F.when(md > lo, (x - lo) / (md - lo)).otherwise(F.lit(0.0))
     t_hi = F.when(hi > md, (x - md) / (hi - md)).otherwise(F.lit(0.0))
     chans = []
@@ -76,4 +82,4 @@ def color_scale(df: DataFrame, c: str, out: str, approx: bool = False,
         a, b, z = _channel(low, i), _channel(mid, i), _channel(high, i)
         v = F.when(x <= md, F.lit(a) + F.lit(b - a) * t_lo).otherwise(F.lit(b) + F.lit(z - b) * t_hi)
         chans.append(F.lpad(F.upper(F.hex(F.round(v, 0).cast("int"))), 2, "0"))
-    return df.withColumn(out, F.when(x.isNotNull(), F.concat(*chans)))
+    return d.withColumn(out, F.when(x.isNotNull(), F.concat(*chans))).drop("_lo", "_hi", "_md")
