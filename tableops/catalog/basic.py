@@ -363,11 +363,14 @@ def dedup_keys(spark, sf):
 
 
 @R.add("fill_missing_text", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.lang, 'N/A') AS lang, d.n_chars,
-       l.quality, l.toxic
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.lang, 'N/A') AS lang,
+       CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(l.quality AS DOUBLE) AS quality,
+       CAST(l.toxic AS DOUBLE) AS toxic
 FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
 FULL OUTER JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
 def fill_missing_text(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").filter(F.col("lang") == "en")
     j = join_tables(d, table(spark, sf, "labels"), "doc_id", "outer")
-    return T.fill_missing(j)  # default 'N/A' fills the text columns
+    out = T.fill_missing(j)  # default 'N/A' fills the text columns
+    # integers left NULL by the outer join are reported as DOUBLE (see catalog.joins)
+    return out.withColumns({c: F.col(c).cast("double") for c in ["n_chars", "quality", "toxic"]})

@@ -57,11 +57,20 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
 
 
+# Integer columns that may be NULL after an outer join are reported as DOUBLE on both
+# sides: pandas turns a Spark integer column with NULLs into float64, DuckDB keeps a
+# nullable integer, and the value check should compare values, not dtypes.
+def _nullable_ints_as_double(df, cols):
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 @R.add("join_left", """
-SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic
+SELECT d.doc_id, d.lang, d.n_chars, CAST(l.quality AS DOUBLE) AS quality,
+       CAST(l.toxic AS DOUBLE) AS toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
 def join_left(spark, sf):
-    return J.join_tables(_docs(spark, sf), table(spark, sf, "labels"), "doc_id", "left")
+    j = J.join_tables(_docs(spark, sf), table(spark, sf, "labels"), "doc_id", "left")
+    return _nullable_ints_as_double(j, ["quality", "toxic"])
 
 
 @R.add("join_inner", """
@@ -72,23 +81,27 @@ def join_inner(spark, sf):
 
 
 @R.add("join_right", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality, l.toxic
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       l.quality, l.toxic
 FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
 RIGHT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
 def join_right(spark, sf):
     d = _docs(spark, sf).filter(F.col("lang") == "en")
-    return J.join_tables(d, table(spark, sf, "labels"), "doc_id", "right")
+    j = J.join_tables(d, table(spark, sf, "labels"), "doc_id", "right")
+    return _nullable_ints_as_double(j, ["n_chars"])
 
 
 @R.add("join_outer", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality, l.toxic
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic
 FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
 FULL OUTER JOIN (SELECT * FROM labels WHERE quality = 1) l
 ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
 def join_outer(spark, sf):
     d = _docs(spark, sf).filter(F.col("lang") == "en")
     lab = table(spark, sf, "labels").filter(F.col("quality") == 1)
-    return J.join_tables(d, lab, "doc_id", "outer")
+    j = J.join_tables(d, lab, "doc_id", "outer")
+    return _nullable_ints_as_double(j, ["n_chars", "quality", "toxic"])
 
 
 @R.add("join_clash", """
