@@ -53,7 +53,7 @@ def read_raw(spark: SparkSession, path: str, name: str = "row_ix", **options) ->
     file, splits are ordered by offset, so the physical order is the file order."""
     opts = {"header": "false", "inferSchema": "false", "multiLine": "false", **options}
     df = spark.read.options(**opts).csv(path)
-    df = df.withColumn("_file", F.input_file_name())
+    df = df.withColumn("_file", F.col("_metadata.file_path"))
     # file order first, then position inside the file
     df = df.withColumn("_pos", F.monotonically_increasing_id())
     indexed = with_row_index(df, ["_file", "_pos"], name)
