@@ -103,20 +103,36 @@ def apply_header(raw: DataFrame, row: int, index: str = "row_ix",
     return body.select(*sel)
 
 
+def _column_facts(df: DataFrame, distinct: bool, approx: bool = False) -> DataFrame:
+    """One row per column from ONE aggregation over all columns: ``column, position,
+    dtype, kind, rows, non_null, nulls`` and, with ``distinct``, ``role`` and
+    ``unique_ratio`` (exact distinct counts, or HyperLogLog with ``approx``)."""
+    fields = df.schema.fields
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs += [F.count(not_nan(df, f.name)).alias(f"_c{i}") for i, f in enumerate(fields)]
+    if distinct:
+        dc = F.approx_count_distinct if approx else F.count_distinct
+        aggs += [dc(F.col(f.name)).alias(f"_d{i}") for i, f in enumerate(fields)]
+    one = df.agg(*aggs)
+    rows = F.col("_rows")
+    structs = []
+    for i, f in enumerate(fields):
+        cols = [F.lit(f.name).alias("column"), F.lit(i).alias("position"),
+                F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(kind(f.dataType)).alias("kind"),
+                rows.alias("rows"), F.col(f"_c{i}").alias("non_null"),
+                (rows - F.col(f"_c{i}")).alias("nulls")]
+        if distinct:
+            ratio = F.when(rows > 0, F.col(f"_d{i}") / rows).otherwise(F.lit(0.0))
+            cols += [_role(f.name, kind(f.dataType), F.col(f"_c{i}"), ratio).alias("role"),
+                     ratio.alias("unique_ratio")]
+        structs.append(F.struct(*cols))
+    return one.select(F.inline(F.array(*structs)))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: ``column, position, dtype, kind, rows, non_null,
     nulls`` from ONE aggregation over all columns."""
-    fields = df.schema.fields
-    one = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(not_nan(df, f.name)).alias(f"_c{i}") for i, f in enumerate(fields)])
-    arr = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("position"),
-                             F.lit(f.dataType.simpleString()).alias("dtype"),
-                             F.lit(kind(f.dataType)).alias("kind"),
-                             F.col("_rows").alias("rows"),
-                             F.col(f"_c{i}").alias("non_null"),
-                             (F.col("_rows") - F.col(f"_c{i}")).alias("nulls"))
-                    for i, f in enumerate(fields)])
-    return one.select(F.inline(arr))
+    return _column_facts(df, distinct=False)
 
 
 def _role(name: str, k: str, non_null, ratio):
@@ -146,19 +162,7 @@ def classify_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     and 30-50% without keyword is ``context``. ``unique_ratio`` = distinct non-NULL
     values / rows. One aggregation; ``approx=True`` counts distinct values with
     HyperLogLog instead of an exact (Expand-based) distinct count."""
-    fields = df.schema.fields
-    dc = F.approx_count_distinct if approx else F.count_distinct
-    one = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(F.col(f.name)).alias(f"_c{i}") for i, f in enumerate(fields)],
-                 *[dc(F.col(f.name)).alias(f"_d{i}") for i, f in enumerate(fields)])
-    rows = F.col("_rows")
-    structs = []
-    for i, f in enumerate(fields):
-        ratio = F.when(rows > 0, F.col(f"_d{i}") / rows).otherwise(F.lit(0.0))
-        structs.append(F.struct(F.lit(f.name).alias("column"),
-                                _role(f.name, kind(f.dataType), F.col(f"_c{i}"), ratio).alias("role"),
-                                ratio.alias("unique_ratio")))
-    return one.select(F.inline(F.array(*structs)))
+    return _column_facts(df, distinct=True, approx=approx).select("column", "role", "unique_ratio")
 
 
 def region_sample(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFrame:
@@ -185,8 +189,7 @@ def data_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column the structure profile (P1), role and distinct ratio (P2), the
     describe statistics for numeric columns (A6), and the most frequent value with
     its count (A8; ties to the smaller value)."""
-    p = profile(df)
-    roles = classify_columns(df, approx).select("column", "role", "unique_ratio")
+    facts = _column_facts(df, distinct=True, approx=approx)  # P1 + P2 in one pass
     nums = numeric_columns(df)
     stats = summary_stats(df, nums, approx).withColumnRenamed("Column", "column") \
         .drop("Count") if nums else None
@@ -199,7 +202,7 @@ def data_profile(df: DataFrame, approx: bool = False) -> DataFrame:
                                             F.struct((-F.col("count")).alias("n"), F.col("value")))
                                   .alias("_t"))
            .select("column", "_t.top", "_t.top_count"))
-    out = p.join(roles, "column", "left")
+    out = facts
     if stats is not None:
         out = out.join(stats, "column", "left")
     return out.join(top, "column", "left")
