@@ -216,23 +216,29 @@ def subtotals(df: DataFrame, key: str, order_by: Sequence[str] | None = None,
     """Detail rows of each group followed by a subtotal row ``<g> - SUBTOTAL``
     holding the sums of all numeric columns (other columns NULL, ``flag`` true).
 
-    Decisions: NULL keys are dropped (the reference raises), the key is cast to
-    text so numeric keys get labels too. Groups appear in key order, details in
-    ``order_by`` order. Subtotals are one ``groupBy`` (partial aggregation) unioned
-    with the detail rows, then one sort."""
+    With ``order_by`` (the row order), groups appear in order of first appearance
+    and details in row order, as the reference lists them; without it, in key order.
+    Decisions: NULL keys are dropped (the reference raises), the key is cast to text
+    so numeric keys get labels too. Subtotals are one ``groupBy`` (partial
+    aggregation) unioned with the detail rows; the first position of each group is
+    taken in the same aggregation; then one sort."""
     require(df, [key])
+    order_by = as_list(order_by)
     nums = numeric_columns(df, exclude=[key])
-    base = df.filter(F.col(key).isNotNull())
-    detail = base.withColumns({"_g": F.col(key).cast("string"), flag: F.lit(False)})
-    detail = detail.withColumn(key, F.col("_g"))
-    sums = base.groupBy(F.col(key).cast("string").alias("_g")).agg(
+    base = df.filter(F.col(key).isNotNull()).withColumn("_g", F.col(key).cast("string"))
+    sums = base.groupBy("_g").agg(
         *[F.coalesce(F.sum(not_nan(df, c)), F.lit(0)).cast(
-            "long" if _integral(df, c) else "double").alias(c) for c in nums])
+            "long" if _integral(df, c) else "double").alias(c) for c in nums],
+        *([F.min(F.struct(*[F.col(o) for o in order_by])).alias("_first")] if order_by else []))
+    detail = base.withColumns({key: F.col("_g"), flag: F.lit(False)})
+    if order_by:
+        detail = detail.join(sums.select(F.col("_g").alias("_g2"), "_first"),
+                             F.col("_g") == F.col("_g2")).drop("_g2")
     sub = sums.withColumns({key: F.concat(F.col("_g"), F.lit(label)), flag: F.lit(True)})
     out = detail.unionByName(sub, allowMissingColumns=True)
-    order = [F.col("_g").asc(), F.col(flag).asc()] + [
-        F.col(c).asc_nulls_last() for c in as_list(order_by)]
-    cols = [c for c in detail.columns if c != "_g"]
+    order = ([F.col("_first").asc()] if order_by else []) + [F.col("_g").asc(), F.col(flag).asc()]
+    order += [F.col(c).asc_nulls_last() for c in order_by]
+    cols = [c for c in df.columns] + [flag]
     return out.orderBy(*order).select(*cols)
 
 

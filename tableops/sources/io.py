@@ -25,19 +25,25 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
-               nan_to_null: bool | None = None, **options) -> DataFrame:
+               nan_to_null: bool | None = None, schema=None, **options) -> DataFrame:
     """Read one table.
 
     ``nan_to_null`` turns float NaN into NULL, the pandas reading of a missing cell.
     It defaults to on for text formats (csv/json, where ``NaN`` is how a spreadsheet
     export spells a blank) and off for Parquet/ORC, whose NaN is a real value; the
     projection it adds hides the raw column from Parquet filter pushdown.
+
+    Text formats infer column types like pandas does, which costs an extra pass over
+    the input; pass ``schema`` (a StructType or DDL string) to skip it on large data.
     """
     if fmt not in _FORMATS:
         raise ValueError(f"format {fmt!r} not in {_FORMATS}")
     reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
     if fmt == "csv":
-        options = {"header": "true", "inferSchema": "true", **options}
+        options = {"header": "true", "inferSchema": "false" if schema is not None else "true",
+                   **options}
     df = reader.options(**options).load(path)
     if nan_to_null is None:
         nan_to_null = fmt in ("csv", "json")

@@ -196,9 +196,13 @@ def test_subtotals(spark):
     df = spark.createDataFrame([("b", 1, 1.0), ("a", 2, 2.0), ("b", 3, None), (None, 4, 4.0)],
                                "k string, n int, v double")
     out = to.subtotals(df, "k", order_by=["n"]).collect()
-    assert [r.k for r in out] == ["a", "a - SUBTOTAL", "b", "b", "b - SUBTOTAL"]
+    # groups in order of first appearance, details in row order
+    assert [r.k for r in out] == ["b", "b", "b - SUBTOTAL", "a", "a - SUBTOTAL"]
+    assert [r.n for r in out if not r._is_subtotal] == [1, 3, 2]
     sub = {r.k: (r.n, r.v) for r in out if r._is_subtotal}
     assert sub == {"a - SUBTOTAL": (2, 2.0), "b - SUBTOTAL": (4, 1.0)}
+    keyed = to.subtotals(df, "k").collect()
+    assert [r.k for r in keyed] == ["a", "a - SUBTOTAL", "b", "b", "b - SUBTOTAL"]
 
 
 def test_value_counts_and_summary(spark):

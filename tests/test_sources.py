@@ -32,6 +32,9 @@ def test_read_table_nan_to_null(spark, scratch):
         f.write("a,b\n1,NaN\n2,3.5\n")
     df = to.read_table(spark, p, "csv")
     assert [r.b for r in df.orderBy("a").collect()] == [None, 3.5]
+    typed = to.read_table(spark, p, "csv", schema="a long, b double")
+    assert typed.schema.simpleString() == "struct<a:bigint,b:double>"
+    assert [r.b for r in typed.orderBy("a").collect()] == [None, 3.5]
 
 
 def test_json_rows_and_preview(spark):
