@@ -58,3 +58,25 @@ def read_raw(spark: SparkSession, path: str, name: str = "row_ix", **options) ->
     df = df.withColumn("_pos", F.monotonically_increasing_id())
     indexed = with_row_index(df, ["_file", "_pos"], name)
     return indexed.drop("_file", "_pos")
+
+
+# Fixed value: share of blank first-row cells above which the header row is searched
+# for (the reference's ``Unnamed:`` ratio test).
+UNNAMED_SHARE = 0.3
+
+
+def read_sheet(spark: SparkSession, path: str, **options) -> DataFrame:
+    """S1 + H1-H3 for a spreadsheet export: read the CSV without a header; when more
+    than 30% of the first row's cells are blank (what pandas would name
+    ``Unnamed: i``), find the header among the first 10 rows (H1), else use the first
+    row; then name the columns from it (H2/H3) and keep the rows below it. Only the
+    first rows reach the driver."""
+    from tableops.operators.profile import apply_header, detect_header
+    raw = read_raw(spark, path, **options)
+    cols = [c for c in raw.columns if c != "row_ix"]
+    first = raw.filter(F.col("row_ix") == 0).select(*cols).collect()
+    if not first:
+        return raw.drop("row_ix")
+    blank = sum(1 for v in first[0] if v is None or str(v).strip() == "")
+    header = detect_header(raw) if cols and blank / len(cols) > UNNAMED_SHARE else 0
+    return apply_header(raw, header)

@@ -97,3 +97,16 @@ def test_streaming_windowed_series_matches_batch(spark, scratch):
     assert got == want
     with pytest.raises(ValueError):
         windowed_series(stream, "ts", "value", fn="median")
+
+
+def test_read_sheet_finds_or_keeps_header(spark, scratch):
+    messy = f"{scratch}/messy.csv"
+    with open(messy, "w") as f:
+        f.write("Term results,,,\n,,,\nS. No.,Grade,Student Name,Maths\n1,7,Ann Lee,55\n2,7,Bo Chen,-\n")
+    t = to.read_sheet(spark, messy)
+    assert t.columns == ["S. No.", "Grade", "Student Name", "Maths"] and t.count() == 2
+    clean = f"{scratch}/clean.csv"
+    with open(clean, "w") as f:
+        f.write("id,name,name\n1,x,y\n2,z,\n")
+    c = to.read_sheet(spark, clean)
+    assert c.columns == ["id", "name", "name_2"] and c.count() == 2
