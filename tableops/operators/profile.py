@@ -219,3 +219,11 @@ def summary_table(df: DataFrame, keys: str | Sequence[str], count: str = "Count"
         base = base.filter(F.col(k).isNotNull())
     return base.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *[
         F.coalesce(F.sum(not_nan(df, c)), F.lit(0)).alias(c) for c in nums])
+
+
+def export_summary(df: DataFrame, keys: str | Sequence[str], out: str, fmt: str = "parquet",
+                   count: str = "Count") -> str:
+    """P5 (export_summary): write ``summary_table`` as a new table (never over an
+    existing one) and return its path."""
+    summary_table(df, keys, count).write.mode("errorifexists").format(fmt).save(out)
+    return out

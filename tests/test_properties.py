@@ -162,3 +162,28 @@ def test_scatter_sample_equals_brute_force(spark):
     rows = o.select("o_orderkey", "o_orderdate", "o_totalprice").collect()
     best = sorted(rows, key=lambda r: (h(7, r.o_orderkey), r.o_orderkey))[:50]
     assert got == sorted((r.o_orderdate, r.o_totalprice) for r in best)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-1000, 1000)),
+                          st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False))),
+                min_size=2, max_size=40))
+def test_summary_stats_equal_pandas_describe(spark, data):
+    import pandas as pd
+    df = spark.createDataFrame(data, "a long, b double")
+    got = {r.Column: r.asDict() for r in to.summary_stats(df).collect()}
+    pdf = pd.DataFrame(data, columns=["a", "b"]).astype("float64")
+    for c in ["a", "b"]:
+        d = pdf[c].describe()
+        g = got[c]
+        assert g["Count"] == int(d["count"])
+        if d["count"] == 0:
+            assert g["Mean"] is None
+            continue
+        for mine, theirs in [("Mean", "mean"), ("Min", "min"), ("25%", "25%"), ("50%", "50%"),
+                             ("75%", "75%"), ("Max", "max")]:
+            assert abs(g[mine] - d[theirs]) <= 1e-9 * max(1.0, abs(d[theirs])), (c, mine, g[mine], d[theirs])
+        if d["count"] > 1:
+            assert abs(g["Std"] - d["std"]) <= 1e-6 * max(1.0, abs(d["std"]))
+        else:
+            assert g["Std"] is None

@@ -110,3 +110,13 @@ def test_read_sheet_finds_or_keeps_header(spark, scratch):
         f.write("id,name,name\n1,x,y\n2,z,\n")
     c = to.read_sheet(spark, clean)
     assert c.columns == ["id", "name", "name_2"] and c.count() == 2
+
+
+def test_export_summary(spark, scratch):
+    li = to.read_table(spark, f"{SF_SMALL}/lineitem.parquet")
+    out = to.export_summary(li.drop("l_shipdate"), "l_returnflag", f"{scratch}/summary")
+    back = spark.read.parquet(out)
+    assert back.count() == li.select("l_returnflag").distinct().count()
+    assert back.agg(F.sum("Count")).first()[0] == li.count()
+    with pytest.raises(Exception):
+        to.export_summary(li, "l_returnflag", out)
