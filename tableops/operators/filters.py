@@ -25,7 +25,7 @@ def filter_rows(df: DataFrame, c: str, op: str, value) -> DataFrame:
     - ``>= <= > <`` (F1): numeric columns only (decision: text raises up front
       instead of being skipped); NULL and NaN are false.
     - ``==`` (F2): the value is typed by the column: a number for numeric columns,
-      text otherwise.
+      text otherwise; text that is not a number never equals a numeric cell.
     - ``!=`` (F3): keeps NULL cells (pandas ``!=``), via NOT null-safe equality.
     - ``contains`` (F4): case-insensitive regular expression; NULL is false.
     - ``startswith`` / ``endswith`` (F5): case-sensitive literal; NULL is false.
@@ -40,7 +40,14 @@ def filter_rows(df: DataFrame, c: str, op: str, value) -> DataFrame:
             cond = cond & ~F.isnan(x)
         return df.filter(cond)
     if op in ("==", "!="):
-        lit = F.lit(float(value)) if is_numeric(df, c) else F.lit(str(value))
+        if is_numeric(df, c):
+            try:
+                lit = F.lit(float(value))
+            except (TypeError, ValueError):
+                # text never equals a number: == keeps nothing, != keeps every row
+                return df.filter(F.lit(op == "!="))
+        else:
+            lit = F.lit(str(value))
         if op == "==":
             cond = x == lit
             if is_floating(df, c):

@@ -151,6 +151,8 @@ def test_filters(spark, texts):
         to.filter_rows(texts, "t", ">", 3)
     nums = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan")), (4, 7.0)], "id int, v double")
     assert {r.id for r in to.filter_rows(nums, "v", ">", 0).collect()} == {1, 4}
+    assert to.filter_rows(nums, "v", "==", "abc").count() == 0
+    assert to.filter_rows(nums, "v", "!=", "abc").count() == 4
     assert {r.id for r in to.filter_any_token(texts, "t", ["smith", "ONE"]).collect()} == {1, 5}
     assert {r.id for r in to.search_rows(texts, "SMI").collect()} == {1}
 
