@@ -38,7 +38,23 @@ def _divide(a: Column, b: Column, ieee: bool) -> Column:
             .when(a.isNotNull() & b.isNotNull(), F.lit(float("nan"))))
 
 
+def _integral(df: DataFrame, cols: Sequence[str]) -> bool:
+    from pyspark.sql import types as T
+    return all(isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType,
+                                                  T.LongType)) for c in cols)
+
+
 def _row_expr(df: DataFrame, fn: str, cols: Sequence[str], ieee: bool) -> Column:
+    if fn in ("sum", "min", "minimum", "max", "maximum", "multiply") and _integral(df, cols):
+        # integers stay integers, as in pandas (ANSI mode raises on overflow)
+        iv = [F.col(c).cast("long") for c in cols]
+        if fn == "sum":
+            return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0).cast("long")) for x in iv])
+        if fn == "multiply":
+            return reduce(lambda a, b: a * b, iv)
+        if len(iv) == 1:
+            return iv[0]
+        return F.least(*iv) if fn in ("min", "minimum") else F.greatest(*iv)
     v = _values(df, cols)
     n_present = reduce(lambda a, b: a + b, [x.isNotNull().cast("long") for x in v])
     total = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in v])

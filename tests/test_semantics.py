@@ -41,6 +41,15 @@ def test_calc_null_rules(spark, nulls_numeric):
     assert got[1] == pytest.approx(1.0)
 
 
+def test_calc_integers_stay_integers(spark):
+    df = spark.createDataFrame([(1, 2, None), (3, None, None)], "a int, b bigint, c int")
+    out = to.calc(df, "sum", ["a", "b", "c"])
+    assert out.schema["Result"].dataType.simpleString() == "bigint"
+    assert [r.Result for r in out.collect()] == [3, 3]
+    assert [r.Result for r in to.calc(df, "max", ["a", "b"]).collect()] == [2, 3]
+    assert to.calc(df, "mean", ["a", "b"]).schema["Result"].dataType.simpleString() == "double"
+
+
 def test_calc_text_raises(spark):
     df = spark.createDataFrame([("x", 1.0)], "t string, v double")
     with pytest.raises(TypeError):
