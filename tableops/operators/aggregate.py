@@ -59,9 +59,10 @@ def _integral(df: DataFrame, c: str) -> bool:
 
 
 def _keys_not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drop rows whose key is NULL (or NaN in a float key), as pandas grouping does."""
     cond = None
     for k in keys:
-        e = F.col(k).isNotNull()
+        e = not_nan(df, k).isNotNull()
         cond = e if cond is None else cond & e
     return df.filter(cond) if cond is not None else df
 
@@ -243,9 +244,10 @@ def subtotals(df: DataFrame, key: str, order_by: Sequence[str] | None = None,
 
 
 def value_counts(df: DataFrame, c: str, out: str = "Count") -> DataFrame:
-    """Frequency of each non-NULL value, most frequent first (ties by value)."""
+    """Frequency of each value (NULL and NaN dropped), most frequent first (ties by
+    value)."""
     require(df, [c])
-    return (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(out))
+    return (df.filter(not_nan(df, c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(out))
             .orderBy(F.col(out).desc(), F.col(c).asc()))
 
 

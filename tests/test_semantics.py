@@ -219,6 +219,9 @@ def test_subtotals(spark):
 def test_value_counts_and_summary(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k string")
     assert [(r.k, r.Count) for r in to.value_counts(df, "k").collect()] == [("a", 2), ("b", 1)]
+    nan_keys = spark.createDataFrame([(1.0,), (float("nan"),), (1.0,), (None,)], "k double")
+    assert [(r.k, r.Count) for r in to.value_counts(nan_keys, "k").collect()] == [(1.0, 2)]
+    assert to.group_count(nan_keys, "k").count() == 1
     nums = spark.createDataFrame([(float(i),) for i in [1, 2, 3, 4]], "v double")
     s = to.summary_stats(nums).collect()[0].asDict()
     assert s["Column"] == "v" and s["Count"] == 4 and s["25%"] == 1.75 and s["50%"] == 2.5
