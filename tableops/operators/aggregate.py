@@ -226,7 +226,7 @@ def subtotals(df: DataFrame, key: str, order_by: Sequence[str] | None = None,
     require(df, [key])
     order_by = as_list(order_by)
     nums = numeric_columns(df, exclude=[key])
-    base = df.filter(F.col(key).isNotNull()).withColumn("_g", F.col(key).cast("string"))
+    base = df.filter(not_nan(df, key).isNotNull()).withColumn("_g", F.col(key).cast("string"))
     sums = base.groupBy("_g").agg(
         *[F.coalesce(F.sum(not_nan(df, c)), F.lit(0)).cast(
             "long" if _integral(df, c) else "double").alias(c) for c in nums],

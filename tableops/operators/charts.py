@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.functions.exprs import as_list, require
+from tableops.functions.exprs import as_list, not_nan, require
 from tableops.operators.aggregate import aggregate
 from tableops.plans.totals import scalar
 
@@ -20,7 +20,7 @@ def chart_series(df: DataFrame, category: str, values: str | Sequence[str],
     column per category (average by default); NULL categories dropped."""
     values = as_list(values)
     require(df, [category] + values)
-    g = aggregate(df.filter(F.col(category).isNotNull()), [category], [(v, fn, v) for v in values])
+    g = aggregate(df.filter(not_nan(df, category).isNotNull()), [category], [(v, fn, v) for v in values])
     g = g.select(category, *[F.col(v).cast("double").alias(v) for v in values])
     return g.unpivot(category, values, "series", "value")
 
@@ -30,7 +30,7 @@ def pie_shares(df: DataFrame, category: str, value: str | None = None,
     """G2 (pie chart data): per category the total of ``value`` (or the row count)
     and its share of the grand total in percent, rounded to ``digits``."""
     require(df, [category] + as_list(value))
-    base = df.filter(F.col(category).isNotNull())
+    base = df.filter(not_nan(df, category).isNotNull())
     amount = F.coalesce(F.sum(value), F.lit(0)) if value else F.count(F.lit(1))
     g = base.groupBy(category).agg(amount.cast("double").alias("amount"))
     total = scalar(base, (F.sum(value) if value else F.count(F.lit(1))).cast("double"))
