@@ -96,7 +96,7 @@ UNION ALL
 SELECT 'no_duplicates', 'c_nationkey,c_mktsegment', (SELECT count(*) FROM customer),
   (SELECT count(*) FROM customer c JOIN (
      SELECT c_nationkey AS a, c_mktsegment AS b FROM customer
-     WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL
+     WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL AND trim(c_mktsegment) <> ''
      GROUP BY 1, 2 HAVING count(*) > 1) d ON c.c_nationkey = d.a AND c.c_mktsegment = d.b)"""
 
 

@@ -104,8 +104,10 @@ def _dup_rows(df: DataFrame, rule: Rule, key) -> DataFrame:
     cols = list(rule.args)
     require(df, cols)
     nn = None
-    for c in cols:
+    for c in cols:  # blank cells pass, as in every rule but blank_check
         e = F.col(c).isNotNull()
+        if is_string(df, c):
+            e = e & (F.trim(F.col(c)) != "")
         nn = e if nn is None else nn & e
     base = df.filter(nn)
     dups = base.groupBy(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(cols)]).count() \
