@@ -115,21 +115,6 @@ def _all_grams(s: Column) -> Column:
     return F.array_distinct(F.concat(_grams(s, 1), _grams(s, 2), _grams(s, 3)))
 
 
-def _probe_keys(probes: DataFrame, ident: str, containers: DataFrame) -> DataFrame:
-    """One blocking key per (text, probe string): if the probe occurs inside a
-    container text, every 3-gram of the probe is one of the container's grams, so any
-    of them is an exact key. The RAREST one among the containers is taken (fewest
-    candidate pairs); probes shorter than 3 characters are their own key."""
-    freq = containers.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    short = probes.filter(F.length("_p") < 3).select(ident, F.col("_p").alias("_g"))
-    longp = (probes.filter(F.length("_p") >= 3)
-             .select(ident, "_p", F.explode(F.array_distinct(_grams(F.col("_p"), 3))).alias("_g"))
-             .join(freq, "_g", "left").fillna(0, ["_f"])
-             .groupBy(ident, "_p").agg(F.min_by("_g", F.struct("_f", "_g")).alias("_g"))
-             .select(ident, "_g"))
-    return short.unionByName(longp)
-
-
 def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
                 distance: str | None = None) -> DataFrame:
     """For each row of ``df`` the ``ref.right`` value that ``token_match``es
@@ -140,34 +125,54 @@ def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
     implies a shared key,
 
     - term in value, term token in value token: the term (token) is contained in the
-      value, so each of its 3-grams (or itself, if shorter) is a gram of the value;
-    - value in term, value word in term: the same with the roles swapped;
-    - 3-character prefix agreement of the term and a value word: the prefix.
-
-    For the containment keys the rarest 3-gram of the contained string is used (a
-    gram-frequency table, at most the number of distinct 1-3-grams), so common
-    prefixes do not flood the candidate join. Candidates are equi-joined per distinct
-    normalised text, verified with the full F8 predicate and reduced to the best
-    match with ``min_by`` (an aggregate: hot texts are reduced map-side).
+      value, so each of its 3-grams (or itself, if shorter) is a gram of the value
+      (keys tagged ``A``);
+    - value in term, value word in term: the same with the roles swapped (``B``);
+    - 3-character prefix agreement of the term and a value word (``P``).
+
+    A contained string is keyed by its RAREST 3-gram among the containers (one
+    gram-frequency aggregation, at most the number of distinct 1-3-grams), so common
+    prefixes do not flood the candidates. Each side becomes one table of tagged keys
+    and ONE equi-join yields all candidate pairs per distinct normalised text; they
+    are verified with the full F8 predicate and reduced to the best match with
+    ``min_by`` (an aggregate: hot texts are reduced map-side).
     """
     require(df, [left])
     require(ref, [right])
-    Ls = (df.select(F.lower(normalized(left)).alias("_s")).filter(F.col("_s") != "").distinct())
+    Ls = df.select(F.lower(normalized(left)).alias("_t")).filter(F.col("_t") != "").distinct()
     R = (ref.select(F.col(right).alias("_v"), F.lower(normalized(right)).alias("_n"))
          .filter(F.col("_n") != ""))
-    Rn = R.select("_n").distinct()
-    s, v = F.col("_s"), F.col("_n")
-    v_words = _nonempty(F.split(F.translate(v, "()", "  "), " "))
-    lc = Ls.select("_s", F.explode(_all_grams(s)).alias("_g"))
-    rc = Rn.select("_n", F.explode(_all_grams(v)).alias("_g"))
-    lp = Ls.select("_s", F.explode(F.array_distinct(F.concat(F.array(s), F.split(s, " ")))).alias("_p"))
-    rp = Rn.select("_n", F.explode(F.array_distinct(F.concat(F.array(v), v_words))).alias("_p"))
-    cand = (_probe_keys(lp, "_s", rc).join(rc, "_g").select("_s", "_n")
-            .unionByName(_probe_keys(rp, "_n", lc).join(lc, "_g").select("_s", "_n")))
-    lpre = Ls.filter(F.length(s) >= 3).select("_s", F.substring(s, 1, 3).alias("_g"))
-    rpre = (Rn.select("_n", F.explode(F.filter(v_words, lambda w: F.length(w) >= 3)).alias("_w"))
-            .select("_n", F.substring("_w", 1, 3).alias("_g")).distinct())
-    cand = cand.unionByName(lpre.join(rpre, "_g").select("_s", "_n")).distinct()
+    Rn = R.select(F.col("_n").alias("_t")).distinct()
+    t = F.col("_t")
+    words = _nonempty(F.split(F.translate(t, "()", "  "), " "))
+    # containers: every 1-3-gram, tagged with the role the OTHER side probes with
+    cont = (Ls.select("_t", F.lit("L").alias("_side"), F.explode(_all_grams(t)).alias("_g"))
+            .withColumn("_k", F.concat(F.lit("B:"), "_g"))
+            .unionByName(Rn.select("_t", F.lit("R").alias("_side"), F.explode(_all_grams(t)).alias("_g"))
+                         .withColumn("_k", F.concat(F.lit("A:"), "_g")))
+            .select("_t", "_side", "_k"))
+    freq = cont.groupBy("_k").agg(F.count(F.lit(1)).alias("_f"))
+    # probes: left text and its tokens look for containers on the right (A), right
+    # text and its words look for containers on the left (B)
+    probes = (Ls.select("_t", F.lit("L").alias("_side"), F.lit("A:").alias("_tag"),
+                        F.explode(F.array_distinct(F.concat(F.array(t), F.split(t, " ")))).alias("_p"))
+              .unionByName(Rn.select("_t", F.lit("R").alias("_side"), F.lit("B:").alias("_tag"),
+                                     F.explode(F.array_distinct(F.concat(F.array(t), words))).alias("_p"))))
+    grams = F.when(F.length("_p") < 3, F.array("_p")).otherwise(F.array_distinct(_grams(F.col("_p"), 3)))
+    probe_keys = (probes.select("_t", "_side", "_p", "_tag", F.explode(grams).alias("_g"))
+                  .select("_t", "_side", "_p", F.concat("_tag", "_g").alias("_k"))
+                  .join(freq, "_k", "left").fillna(0, ["_f"])
+                  .groupBy("_t", "_side", "_p").agg(F.min_by("_k", F.struct("_f", "_k")).alias("_k"))
+                  .select("_t", "_side", "_k"))
+    prefix = (Ls.filter(F.length(t) >= 3).select("_t", F.lit("L").alias("_side"),
+                                                 F.concat(F.lit("P:"), F.substring(t, 1, 3)).alias("_k"))
+              .unionByName(Rn.select("_t", F.lit("R").alias("_side"),
+                                     F.explode(F.filter(words, lambda w: F.length(w) >= 3)).alias("_w"))
+                           .select("_t", "_side", F.concat(F.lit("P:"), F.substring("_w", 1, 3)).alias("_k"))))
+    keys = cont.unionByName(probe_keys).unionByName(prefix).distinct()
+    lk = keys.filter(F.col("_side") == "L").select(F.col("_t").alias("_s"), "_k")
+    rk = keys.filter(F.col("_side") == "R").select(F.col("_t").alias("_n"), "_k")
+    cand = lk.join(rk, "_k").select("_s", "_n").distinct()
     verified = cand.filter(token_match(F.col("_s"), F.col("_n")))
     vals = R.groupBy("_n").agg(F.min("_v").alias("_v"))
     dist = F.levenshtein("_s", "_n")
