@@ -263,7 +263,9 @@ def rollup_totals(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                   fn: str = "sum", level: str = "level") -> DataFrame:
     """A10: aggregates per full key, per key prefix (subtotals) and overall (grand
     total) from one ``rollup`` (Expand + partial/final aggregation). ``level`` is the
-    ``grouping_id``: 0 for detail rows, larger for coarser totals."""
+    ``grouping_id``: 0 for detail rows, larger for coarser totals. (A ``median`` here
+    is Spark's buffered exact percentile; use ``group_by`` per level for the
+    distributed exact median.)"""
     keys, cols = as_list(keys), as_list(cols)
     require(df, keys + cols)
     return df.rollup(*keys).agg(*[agg_expr(df, c, fn).alias(c) for c in cols],
