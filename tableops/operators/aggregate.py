@@ -80,13 +80,26 @@ def aggregate(df: DataFrame, keys: Sequence[str],
     plain = [(c, f, a) for c, f, a in specs if approx or f.lower() != "median"]
     exprs = [agg_expr(df, c, f, approx).alias(a) for c, f, a in plain] or [F.count(F.lit(1)).alias("_n")]
     out = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
-    for c, a in medians:
-        if not keys:
+    if not keys:
+        for c, a in medians:
             out = out.withColumn(a, exact_quantiles(df, not_nan(df, c), [0.5]).select("q0").scalar())
-            continue
-        med = exact_quantiles(df, not_nan(df, c), [0.5], by=keys, prefix="_m")
+    elif medians:
+        if len(medians) == 1:
+            c, a = medians[0]
+            med = exact_quantiles(df, not_nan(df, c), [0.5], by=keys, prefix="_m") \
+                .withColumnRenamed("_m0", a)
+        else:
+            # several medians share ONE distributed sort: values in long form, the
+            # column index as an extra group key, pivoted back (one row per group)
+            long = None
+            for i, (c, _) in enumerate(medians):
+                part = df.select(*keys, F.lit(i).alias("_mc"), not_nan(df, c).cast("double").alias("_mv"))
+                long = part if long is None else long.unionByName(part)
+            q = exact_quantiles(long, "_mv", [0.5], by=keys + ["_mc"], prefix="_m")
+            med = q.groupBy(*keys).pivot("_mc", list(range(len(medians)))).agg(F.first("_m0"))
+            med = med.select(*keys, *[F.col(str(i)).alias(a) for i, (_, a) in enumerate(medians)])
         med = med.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                         F.col("_m0").alias(a))
+                         *[F.col(a) for _, a in medians])
         out = out.join(med, null_safe_eq([F.col(k) for k in keys],
                                           [F.col(f"_k{i}") for i in range(len(keys))]), "left")
         out = out.drop(*[f"_k{i}" for i in range(len(keys))])

@@ -316,6 +316,10 @@ def test_exact_median_everywhere(spark):
     assert med == {"hot": 20.0, "a": 2.5, "b": None}
     both = to.group_by(df, "k", [("v", "median", "m"), ("v", "count", "n")]).collect()
     assert {r.k: (r.m, r.n) for r in both}["a"] == (2.5, 2)
+    two = df.withColumn("w", F.col("v") * 2)
+    multi = {r.k: (r.m1, r.m2) for r in
+             to.group_by(two, "k", [("v", "median", "m1"), ("w", "median", "m2")]).collect()}
+    assert multi == {"hot": (20.0, 40.0), "a": (2.5, 5.0), "b": (None, None)}
     allv = [v for _, v in data if v is not None]
     assert to.column_stat(df, "v", "median").first().v == statistics.median(allv)
     k = {r.metric: r.value for r in to.kpi(df, {"med": ("v", "median"), "n": ("v", "count")}).collect()}
