@@ -204,3 +204,13 @@ def column_median(spark, sf):
     s = A.column_stat(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], "median")
     return s.select(F.round("o_totalprice", 6).alias("o_totalprice"),
                     F.round("o_custkey", 6).alias("o_custkey"))
+
+
+@R.add("rollup_median", """
+SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS l_extendedprice,
+       CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def rollup_median(spark, sf):
+    r = A.rollup_totals(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"],
+                        ["l_extendedprice"], "median")
+    return r.withColumn("l_extendedprice", F.round("l_extendedprice", 6))

@@ -273,13 +273,24 @@ def column_stat(df: DataFrame, cols: str | Sequence[str], fn: str = "mean",
 
 
 def rollup_totals(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                  fn: str = "sum", level: str = "level") -> DataFrame:
+                  fn: str = "sum", level: str = "level", approx: bool = False) -> DataFrame:
     """A10: aggregates per full key, per key prefix (subtotals) and overall (grand
-    total) from one ``rollup`` (Expand + partial/final aggregation). ``level`` is the
-    ``grouping_id``: 0 for detail rows, larger for coarser totals. (A ``median`` here
-    is Spark's buffered exact percentile; use ``group_by`` per level for the
-    distributed exact median.)"""
+    total). ``level`` is the ``grouping_id``: 0 for detail rows, larger for coarser
+    totals. One ``rollup`` (Expand + partial/final aggregation) computes all levels;
+    an exact ``median`` instead aggregates each level with ``aggregate`` (distributed
+    rank selection, no per-group value buffer) and unions the levels."""
     keys, cols = as_list(keys), as_list(cols)
     require(df, keys + cols)
-    return df.rollup(*keys).agg(*[agg_expr(df, c, fn).alias(c) for c in cols],
-                                F.grouping_id(*keys).alias(level))
+    f = check_fn(fn)
+    if f != "median" or approx:
+        return df.rollup(*keys).agg(*[agg_expr(df, c, fn, approx).alias(c) for c in cols],
+                                    F.grouping_id(*keys).alias(level))
+    n = len(keys)
+    out = None
+    for m in range(n, -1, -1):  # keep the first m keys
+        part = aggregate(df, keys[:m], [(c, "median", c) for c in cols])
+        part = part.select(*[F.col(k) if i < m else F.lit(None).cast(df.schema[k].dataType).alias(k)
+                             for i, k in enumerate(keys)], *cols,
+                           F.lit((1 << (n - m)) - 1).cast("long").alias(level))
+        out = part if out is None else out.unionByName(part)
+    return out

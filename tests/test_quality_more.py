@@ -47,6 +47,9 @@ def test_rollup_levels(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 4.0)], "k string, s string, v double")
     out = {(r.k, r.s, r.level): r.v for r in to.rollup_totals(df, ["k", "s"], ["v"]).collect()}
     assert out[("a", "x", 0)] == 1.0 and out[("a", None, 1)] == 3.0 and out[(None, None, 3)] == 7.0
+    med = {(r.k, r.s, r.level): r.v for r in to.rollup_totals(df, ["k", "s"], ["v"], "median").collect()}
+    assert med[("a", None, 1)] == 1.5 and med[(None, None, 3)] == 2.0 and med[("b", "x", 0)] == 4.0
+    assert set(med) == set(out)
 
 
 def test_sparkline_is_bucketed_and_ordered(spark):
