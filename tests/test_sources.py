@@ -120,3 +120,15 @@ def test_export_summary(spark, scratch):
     assert back.agg(F.sum("Count")).first()[0] == li.count()
     with pytest.raises(Exception):
         to.export_summary(li, "l_returnflag", out)
+
+
+def test_stream_file_sink_without_audit(spark, scratch):
+    src = f"{scratch}/in2"
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.repartition(2).write.parquet(src)
+    stream = read_stream(spark, src, ev.schema)
+    q = run_stream(stream, lambda d: to.classify_intent(d, "event_type"), f"{scratch}/out2",
+                   "events_intent", once=True, checkpoint=f"{scratch}/ckpt2")
+    q.awaitTermination(120)
+    out = spark.read.parquet(f"{scratch}/out2")
+    assert out.count() == ev.count() and "intent" in out.columns
