@@ -374,3 +374,21 @@ def fill_missing_text(spark, sf):
     out = T.fill_missing(j)  # default 'N/A' fills the text columns
     # integers left NULL by the outer join are reported as DOUBLE (see catalog.joins)
     return out.withColumns({c: F.col(c).cast("double") for c in ["n_chars", "quality", "toxic"]})
+
+
+# --- whole web pages -------------------------------------------------------------------
+
+@R.add("normalize_pages", """
+SELECT page_id, coalesce(trim(regexp_replace(html, '\\s+', ' ', 'g')), '') AS html FROM pages""")
+def normalize_pages(spark, sf):
+    """T10 over whole raw HTML pages."""
+    return T.normalize_text(table(spark, sf, "pages").select("page_id", "html"), "html")
+
+
+@R.add("search_pages", """
+SELECT * FROM pages WHERE
+  contains(lower(CAST(page_id AS VARCHAR)), 'lang="de"')
+  OR contains(lower(url), 'lang="de"') OR contains(lower(html), 'lang="de"')""")
+def search_pages(spark, sf):
+    """F7 over whole pages: rows whose text anywhere contains the term."""
+    return FL.search_rows(table(spark, sf, "pages"), 'LANG="de"')
