@@ -6,6 +6,13 @@ Here an exact quantile is a rank selection over a distributed sort
 (``plans.ranks.ranked``): only the rows at ``floor``/``ceil`` of ``q * (n - 1)``
 survive, then linear interpolation as in Spark's ``percentile`` and pandas
 ``quantile``.
+
+Grouped, hot groups are split from the rest: one count per group (partial
+aggregation) finds the groups with more than ``hot_rows`` values; all other groups
+use the exact ``percentile`` aggregate, whose per-group buffer is then bounded by
+``hot_rows``, and only the hot groups go through the distributed rank selection.
+The rank path's offsets table then has at most (partitions + hot groups) rows, so
+the data is shuffled once for the sort and never again for the offsets join.
 """
 
 from __future__ import annotations
@@ -15,20 +22,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableops.functions.exprs import as_list
+from tableops.functions.exprs import as_list, null_safe_eq
 from tableops.plans.ranks import ranked
 
 
+HOT_ROWS = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
                     by: Sequence[str] | None = None, partitions: int | None = None,
-                    prefix: str = "q") -> DataFrame:
+                    prefix: str = "q", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per group of ``by`` (or overall): columns ``<prefix>0..`` = exact linear
     quantiles of the non-NULL values at fractions ``qs``. Groups with no values are
-    absent from the result."""
+    absent from the result. Grouped, groups with at most ``hot_rows`` values use the
+    exact ``percentile`` aggregate (buffer bounded by ``hot_rows``) and larger ones the
+    distributed rank selection; ``hot_rows=None`` sends every group through ranks."""
     by = as_list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     base = df.select(*[F.col(b) for b in by], x.alias("_x"))
     base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    if not by or hot_rows is None:
+        return _by_rank(base, qs, by, partitions, prefix)
+    hot = (base.groupBy(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(by)])
+           .agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).drop("_cnt"))
+    cond = null_safe_eq([F.col(b) for b in by], [F.col(f"_h{i}") for i in range(len(by))])
+    small = base.join(hot, cond, "left_anti")
+    q = F.percentile(F.col("_x"), F.array(*[F.lit(float(v)) for v in qs]))
+    small_q = small.groupBy(*by).agg(q.alias("_qs")).select(
+        *by, *[F.get(F.col("_qs"), i).alias(f"{prefix}{i}") for i in range(len(qs))])
+    big = base.join(hot, cond, "left_semi")
+    return small_q.unionByName(_by_rank(big, qs, by, partitions, prefix))
+
+
+def _by_rank(base: DataFrame, qs: Sequence[float], by: list[str], partitions: int | None,
+             prefix: str) -> DataFrame:
     r = ranked(base, [F.col("_x").asc()], by, partitions)
     pos = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
     hit = None
