@@ -26,7 +26,7 @@ from tableops.functions.exprs import as_list, null_safe_eq
 from tableops.plans.ranks import ranked
 
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 100_000
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
