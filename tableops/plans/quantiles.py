@@ -46,11 +46,15 @@ def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
     hot = (base.groupBy(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(by)])
            .agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).drop("_cnt"))
     cond = null_safe_eq([F.col(b) for b in by], [F.col(f"_h{i}") for i in range(len(by))])
-    small = base.join(hot, cond, "left_anti")
+    # a left join plus a flag rather than semi/anti joins: Spark pushes semi/anti joins
+    # into union branches, where a literal group key leaves no equi-join key
+    flagged = base.join(hot.withColumn("_hot", F.lit(True)), cond, "left") \
+        .drop(*[f"_h{i}" for i in range(len(by))])
+    small = flagged.filter(F.col("_hot").isNull()).drop("_hot")
     q = F.percentile(F.col("_x"), F.array(*[F.lit(float(v)) for v in qs]))
     small_q = small.groupBy(*by).agg(q.alias("_qs")).select(
         *by, *[F.get(F.col("_qs"), i).alias(f"{prefix}{i}") for i in range(len(qs))])
-    big = base.join(hot, cond, "left_semi")
+    big = flagged.filter(F.col("_hot")).drop("_hot")
     return small_q.unionByName(_by_rank(big, qs, by, partitions, prefix))
 
 
