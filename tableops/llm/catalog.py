@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableops.catalog.common import Registry, table
+from tableops.llm.bpe import decode_ids, encode_texts, ids_digest
 from tableops.llm.quality import STOP_WORDS, quality_rules
+from tableops.llm.secrets import BASE_RULES, find_secrets
 from tableops.llm.shards import shard_rows
 from tableops.llm.urls import filter_urls
 
@@ -16,6 +20,28 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@R.add("op3_secret_scans")
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [r.kind for r in BASE_RULES]
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    counts = {f"n_{k}": F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long") for k in kinds}
+    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()],
+                        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@R.add("op4_bpe_encoding")
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    out = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
+                      F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 @R.add("op6_url_filters", r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -37,8 +63,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUALITY_SQL = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-       list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+       list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 tri AS (SELECT rid, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM w),
 same AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM tri),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM same WHERE n > 1)
@@ -47,7 +73,7 @@ m AS (SELECT doc_id, len(ws) AS n_words,
         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-        len(list_filter(ws, x -> list_contains([{stop}], lower(x)))) AS n_stop_words, len(ls) AS n_lines
+        len(list_filter(ws, lambda x: list_contains([{stop}], lower(x)))) AS n_stop_words, len(ls) AS n_lines
       FROM w LEFT JOIN rep USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND coalesce(n_words >= 50, true)
