@@ -29,8 +29,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [r.kind for r in BASE_RULES]
     found = find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(kinds))
-    counts = {f"n_{k}": F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long") for k in kinds}
-    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()],
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in kinds],
                         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
