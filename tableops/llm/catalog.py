@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableops.catalog.common import Registry, table
 from tableops.llm.bpe import decode_ids, encode_texts, ids_digest
+from tableops.llm.near import near_dedup
 from tableops.llm.quality import STOP_WORDS, quality_rules
 from tableops.llm.secrets import BASE_RULES, find_secrets
 from tableops.llm.shards import shard_rows
@@ -88,6 +89,11 @@ SELECT *, NOT base_failed AND coalesce(n_words >= 50, true)
 FROM v""".replace("{stop}", ", ".join(f"'{w}'" for w in STOP_WORDS))
 
 
+@R.add("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 @R.add("op8_quality_rules", QUALITY_SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def portions(batch: pa.RecordBatch, column: int, characters: int) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch in portions of about ``characters``, each with its first row."""
+    start, texts, size = 0, [], 0
+    for k, value in enumerate(batch.column(column)):
+        texts.append(value.as_py())
+        size += len(texts[-1])
+        if size >= characters:
+            yield start, texts
+            start, texts, size = k + 1, [], 0
+    if texts:
+        yield start, texts
+
+
 def block_offsets(df: DataFrame, block: str, sums: Sequence[str]) -> DataFrame:
     """Per block the sums of all earlier blocks: columns ``_b`` and ``_before_<sum>``.
 
@@ -51,3 +65,6 @@ def block_offsets(df: DataFrame, block: str, sums: Sequence[str]) -> DataFrame:
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("_b", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_before_{s}")
                                  for s in sums])
+
+
+by_value(__name__)
