@@ -24,18 +24,21 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.normalizers import Lowercase
 from tokenizers.pre_tokenizers import Split
 
-from tableops.llm.common import by_value, pick, whole_text
+from tableops.llm.common import by_value, pick, portions, whole_text, worker_store
 
 #: Ends a word's last symbol; not in the byte alphabet.
 END = "\n"
-#: Words and chunks kept with their ids by a Python worker; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+#: Words kept with their ids by a Python worker; beyond it the memory starts anew.
+KEPT_WORDS = 500_000
+#: Characters that a Python worker takes up at once.
+AT_ONCE = 1_000_000
 NEVER = 1 << 60
 
 
@@ -81,7 +84,7 @@ class Codec:
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self.alphabet = byte_alphabet()
-        self.names = {i: t for t, i in spec["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.names = _names(spec)
         self.ids = {self._own(t): i for t, i in spec["vocab"].items()}
         self.length = {i: len(t) - t.endswith(END) for t, i in self.ids.items()}
         self.rank: dict[tuple[int, int], int] = {}
@@ -91,7 +94,7 @@ class Codec:
             left, right, whole = self.ids[a], self.ids[b], self.ids[a + b]
             self.rank.setdefault((left, right), rank)
             self.split.setdefault(whole, (left, right, rank))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.matches = ahocorasick.Automaton()
         sound = set()
         for t, i in sorted(self.ids.items(), key=lambda x: self.split.get(x[1], (0, 0, -1))[2]):
@@ -140,9 +143,9 @@ class Codec:
                 before = last[s]
                 if before is None:
                     continue
-                ok = pairs.get((before, token))
+                ok = pairs.get(before << 32 | token)
                 if ok is None:
-                    ok = pairs[before, token] = self._apart(before, token)
+                    ok = pairs[before << 32 | token] = self._apart(before, token)
                 if not ok:
                     continue
             last[e] = token
@@ -159,19 +162,16 @@ class Codec:
         for word in (self.words if self.newer.isdisjoint(chunk) else self.odd_words).findall(chunk):
             ids = self.memory.get(word)
             if ids is None:
+                if len(self.memory) >= KEPT_WORDS:
+                    self.memory.clear()
+                if len(self.pairs) >= KEPT_WORDS:
+                    self.pairs.clear()
                 ids = self._word(word)
-                self._keep(word, ids)
+                if len(word) <= 64:
+                    self.memory[word] = ids
             out += ids
         return out
 
-    def _keep(self, text: str, ids: list[int]) -> None:
-        if len(self.memory) >= KEPT_WORDS:
-            self.memory.clear()
-        if len(self.pairs) >= 4 * KEPT_WORDS:
-            self.pairs.clear()
-        if len(text) <= 64:
-            self.memory[text] = ids
-
     def _plain(self, text: str, out: list[int]) -> None:
         text = unicodedata.normalize("NFC", text)
         for c, low in self.lower.items():
@@ -183,10 +183,7 @@ class Codec:
         get = self.memory.get
         for chunk in chunks:
             ids = get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                self._keep(chunk, ids)
-            out += ids
+            out += self._chunk(chunk) if ids is None else ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -202,31 +199,17 @@ class Codec:
         return " ".join([self.names[i] for i in ids])
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(spec) -> Codec:
-    """One codec a Python worker and broadcast."""
-    if spec.id not in _codecs:
-        _codecs.clear()
-        _codecs[spec.id] = Codec(spec.value)
-    return _codecs[spec.id]
-
-
-class _Spec:
-    """A broadcast with its number."""
-
-    def __init__(self, broadcast, number: int):
-        self.broadcast, self.id = broadcast, number
+def _shared(df: DataFrame, path: str) -> tuple[Broadcast, int]:
+    b = df.sparkSession.sparkContext.broadcast(load_spec(path))  # bounded by the vocabulary
+    return b, b._jbroadcast.id()
 
-    @property
-    def value(self) -> dict:
-        return self.broadcast.value
 
-
-def _shared(df: DataFrame, path: str) -> _Spec:
-    b = df.sparkSession.sparkContext.broadcast(load_spec(path))  # bounded by the vocabulary
-    return _Spec(b, hash((path, id(b))))
+def _codec(spec: Broadcast, number: int) -> Codec:
+    """One codec, with the words that it knows, for all tasks of a Python worker."""
+    kept = worker_store()
+    if kept.get("codec", (None,))[0] != number:
+        kept["codec"] = number, Codec(spec.value)
+    return kept["codec"][1]
 
 
 def _list(rows: list[list[int]]) -> pa.ListArray:
@@ -236,39 +219,54 @@ def _list(rows: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: ``key`` and ``ids`` of the whole text with the tokenizer
-    file at ``path`` (read on the driver).
+def _names(spec: dict) -> dict[int, str]:
+    return {i: t for t, i in (spec["vocab"] | spec["special"]).items()}
+
+
+def _key_type(base: DataFrame) -> str:
+    return base.schema["_key"].dataType.simpleString()
+
 
-    NULL and empty texts have no ids. The strings of special tokens in a text become those
-    tokens; none are added. Rows are independent of each other, so repeated rows, NULL keys
-    and empty tables need no rule."""
-    spec = _shared(df, path)
+def recode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``df``: ``key``, ``ids`` of the whole text with the tokenizer file
+    at ``path`` (read on the driver) and ``decoded``, the tokens of ``ids`` joined by spaces,
+    as a tokenizer without a decoder gives them.
+
+    NULL and empty texts have no ids and decode to the empty text. The strings of special
+    tokens in a text become those tokens; none are added. Rows are independent of each
+    other, so repeated rows, NULL keys and empty tables need no rule."""
+    spec, number = _shared(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec)
+        codec = _codec(spec, number)
         for batch in batches:
-            rows = [codec.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _list(rows)], names=[key, "ids"])
+            for start, texts in portions(batch, 1, AT_ONCE):
+                rows = [codec.encode(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), _list(rows), pa.array(map(codec.decode, rows), pa.string())],
+                    names=[key, "ids", "decoded"])
 
     base = pick(df, _key=key, _text=text).withColumn("_text", whole_text("_text"))
-    return base.mapInArrow(run, f"`{key}` {base.schema['_key'].dataType.simpleString()}, ids array<int>")
+    return base.mapInArrow(run, f"`{key}` {_key_type(base)}, ids array<int>, decoded string")
+
+
+def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``ids``, as ``recode_texts``."""
+    return recode_texts(df, path, key, text).select(key, "ids")
 
 
 def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``key``, ``ids`` and ``decoded``: the tokens of ``ids`` joined by spaces, as a
-    tokenizer without a decoder gives them. NULL ids decode to the empty text."""
-    spec = _shared(df, path)
+    """``key`` and ``decoded`` for a table of ids; NULL ids decode to the empty text."""
+    spec, _ = _shared(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec)
+        names = _names(spec.value)
         for batch in batches:
-            texts = [codec.decode(r.as_py() or ()) for r in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=[key, "ids", "decoded"])
+            texts = [" ".join([names[i] for i in r.as_py() or ()]) for r in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "decoded"])
 
     base = pick(df, _key=key, _ids=ids)
-    return base.mapInArrow(run, f"`{key}` {base.schema['_key'].dataType.simpleString()}, ids array<int>, decoded string")
+    return base.mapInArrow(run, f"`{key}` {_key_type(base)}, decoded string")
 
 
 def ids_digest(ids):

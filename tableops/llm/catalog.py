@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableops.catalog.common import Registry, table
-from tableops.llm.bpe import decode_ids, encode_texts, ids_digest
+from tableops.llm.bpe import ids_digest, recode_texts
 from tableops.llm.near import near_dedup
 from tableops.llm.quality import STOP_WORDS, quality_rules
 from tableops.llm.secrets import BASE_RULES, find_secrets
@@ -41,7 +41,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op4_bpe_encoding")
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    out = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    out = recode_texts(table(spark, sf_dir, "documents"), path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -43,6 +44,12 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def worker_store() -> dict:
+    """A dictionary that lives as long as the Python worker, over its tasks. (Globals of
+    functions sent by value are made anew for each task.)"""
+    return vars(sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")))
+
+
 def portions(batch: pa.RecordBatch, column: int, characters: int) -> Iterator[tuple[int, list[str]]]:
     """The texts of a batch in portions of about ``characters``, each with its first row."""
     start, texts, size = 0, [], 0
