@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableops.catalog.common import Registry, table
 from tableops.llm.bpe import ids_digest, recode_texts
+from tableops.llm.lines import line_dedup
 from tableops.llm.near import near_dedup
 from tableops.llm.quality import STOP_WORDS, quality_rules
 from tableops.llm.secrets import BASE_RULES, find_secrets
@@ -46,6 +47,11 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None)
                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@R.add("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 @R.add("op6_url_filters", r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),

@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableops.plans.lineage import cut_lineage
+
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -44,6 +46,17 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: Rows of a few numbers that are broadcast at most: some 100 MB as a hash table.
+SMALL = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df`` (rows of a few numbers), written and counted; marked for broadcast up to
+    ``limit`` rows, else left to a shuffled join."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def worker_store() -> dict:
     """A dictionary that lives as long as the Python worker, over its tasks. (Globals of
     functions sent by value are made anew for each task.)"""

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableops.llm.common import checked_broadcast
 from tableops.plans.lineage import cut_lineage
 
 STAR_ROUNDS = 2
@@ -45,11 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (``bucket``, ``hi``, ``lo``) whose bucket holds several nodes,
-    as (``bucket``, ``node``)."""
-    several = members.groupBy("bucket").agg(F.min("hi").alias("_least"), F.max("hi").alias("_most")) \
-        .filter(F.col("_least") != F.col("_most")).select(F.col("bucket").alias("_bucket"))
-    return members.join(several, F.col("bucket") == F.col("_bucket")) \
+    """The rows of ``members`` (``bucket``, ``hi``, ``lo``; no row twice) whose bucket holds
+    several nodes, as (``bucket``, ``node``)."""
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1") \
+        .select(F.col("bucket").alias("_bucket"))
+    return members.join(checked_broadcast(several), F.col("bucket") == F.col("_bucket")) \
         .select("bucket", F.struct("hi", "lo").alias("node"))
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, pick, portions, whole_text, wide_key
+from tableops.llm.common import by_value, checked_broadcast, pick, portions, whole_text, wide_key
 from tableops.llm.links import linked, shared_buckets
 from tableops.plans.lineage import cut_lineage
 
@@ -169,7 +169,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     signed = keyed.select("hi", "lo", "_text").mapInArrow(_signed, "hi long, lo long, bands array<long>")
     signed = cut_lineage(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands")))
     shared = cut_lineage(shared_buckets(signed.select(F.explode("bands").alias("bucket"), "hi", "lo")))
-    wanted = shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct()
+    wanted = checked_broadcast(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct())
     texts = keyed.join(wanted, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))) \
         .groupBy("hi", "lo").agg(F.first("_text").alias("_text"))
     bags = cut_lineage(texts.mapInArrow(_bagged, "hi long, lo long, runs array<long>, counts array<int>")
