@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tableops.catalog.common import Registry, table
 from tableops.llm.bpe import ids_digest, recode_texts
+from tableops.llm.decontam import find_leaks
 from tableops.llm.lines import line_dedup
 from tableops.llm.near import near_dedup
 from tableops.llm.quality import STOP_WORDS, quality_rules
@@ -26,6 +27,11 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+@R.add("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @R.add("op3_secret_scans")
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [r.kind for r in BASE_RULES]
