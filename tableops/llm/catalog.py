@@ -14,7 +14,10 @@ from tableops.llm.near import near_dedup
 from tableops.llm.quality import STOP_WORDS, quality_rules
 from tableops.llm.secrets import BASE_RULES, find_secrets
 from tableops.llm.shards import shard_rows
+from tableops.llm.spans import repeated_spans
 from tableops.llm.urls import filter_urls
+from tableops.llm.warc import audit, lay_out, record_text
+from tableops.plans.lineage import cut_lineage
 
 R = Registry()
 
@@ -27,6 +30,46 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+#: Records of an archive in the audit query, by page id.
+ARCHIVE_PAGES = 4096
+
+AUDIT_SQL = """
+WITH r AS (SELECT page_id AS key, coalesce('crawl-' || (page_id // 4096), '') AS archive,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: '
+    || coalesce(page_id::VARCHAR, '') || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+d AS (SELECT key, archive, strlen(record) AS length, sha256(record) AS digest, record FROM r),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY digest, key
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM d)
+SELECT key AS page_id, archive, "offset", CASE WHEN key % 101 = 7 THEN 'missing' ELSE 'changed' END AS state,
+       digest AS left_digest, CASE WHEN key % 101 <> 7 THEN sha256('~' || substr(record, 2)) END AS right_digest
+FROM o WHERE key % 101 = 7 OR key % 89 = 11"""
+
+
+@R.add("op1_warc_fixity", AUDIT_SQL)
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archives of all pages against a replica that lost a record where page_id
+    modulo 101 is 7 and has another first byte where page_id modulo 89 is 11."""
+    pages = table(spark, sf_dir, "pages")
+    record = record_text(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = pages.select(F.col("page_id").alias("key"), record.alias("record"), F.coalesce(
+        F.concat(F.lit("crawl-"), F.floor(F.col("page_id") / ARCHIVE_PAGES)), F.lit("")).alias("archive"))
+    rot = F.concat(F.lit("~"), F.substring("record", 2, 2 ** 31 - 1))
+    digests = rows.select("key", "archive", F.octet_length("record").cast("long").alias("length"),
+                          F.sha2("record", 256).alias("digest"), F.sha2(rot, 256).alias("rotten"))
+    left = lay_out(digests.select("archive", F.struct("key", "rotten").alias("key"), "length", "digest")) \
+        .select("archive", "offset", "length", "digest", F.col("key.key").alias("page_id"), F.col("key.rotten").alias("rotten"))
+    left = cut_lineage(left)
+    hit = F.coalesce(F.col("page_id") % 89 == 11, F.lit(False))
+    right = left.filter(F.coalesce(F.col("page_id") % 101 != 7, F.lit(True))) \
+        .withColumn("digest", F.when(hit, F.col("rotten")).otherwise(F.col("digest")))
+    names = left.select(F.col("archive").alias("_a"), F.col("offset").alias("_o"), "page_id")
+    found = audit(left, right)
+    return found.join(names, (F.col("archive") == F.col("_a")) & (F.col("offset") == F.col("_o"))).select(
+        "page_id", "archive", "offset", "state", "left_digest", "right_digest")
+
+
 @R.add("op2_benchmark_decontamination")
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -111,6 +154,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@R.add("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 @R.add("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
