@@ -132,10 +132,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     block = F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("_f"), k).alias("v")) for k in range(BLOCKS)])
     entered = windows.select("thi", "tlo", "n", "start", "_f", F.explode(block).alias("_e")) \
         .select("thi", "tlo", "n", "start", "_f", "_e.k", "_e.v")
-    near = F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("_g"), k).bitwiseXOR(F.lit(m)).alias("v"))
-                     for k in range(BLOCKS) for m in MASKS])
-    index = known.select("ihi", "ilo", F.col("n").alias("_n"), "_g", F.explode(near).alias("_e")) \
-        .select("ihi", "ilo", "_n", "_g", F.col("_e.k").alias("_k"), F.col("_e.v").alias("_v"))
+    index = known.select("ihi", "ilo", F.col("n").alias("_n"), "_g", F.posexplode(F.array(*[
+        _block(F.col("_g"), k) for k in range(BLOCKS)])).alias("_k", "_own"))
+    index = index.select("ihi", "ilo", "_n", "_g", "_k", "_own", F.explode(F.array(*map(F.lit, MASKS))).alias("_mask")) \
+        .withColumn("_v", F.col("_own").bitwiseXOR(F.col("_mask"))).drop("_own", "_mask")
     met = entered.join(index, (F.col("n") == F.col("_n")) & (F.col("k") == F.col("_k")) & (F.col("v") == F.col("_v")))
     differ = F.col("_f").bitwiseXOR(F.col("_g"))
     first = F.coalesce(*[F.when(F.bit_count(_block(differ, k)) <= FLIPS, F.lit(k)) for k in range(BLOCKS)])
