@@ -16,7 +16,6 @@ the left piece and not after the right piece are used up; equal ranks go from le
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +27,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex
-from tokenizers.normalizers import Lowercase
+from tokenizers.normalizers import NFC, Lowercase
 from tokenizers.pre_tokenizers import Split
 
 from tableops.llm.common import by_value, pick, portions, whole_text, worker_store
@@ -83,6 +82,7 @@ class Codec:
         self.odd_words = regex.compile("(?V1)" + pattern)
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
+        self.nfc, self.marked = NFC(), regex.compile(r"[^\x00-\u02ff]")  # below, nothing combines
         self.alphabet = byte_alphabet()
         self.names = _names(spec)
         self.ids = {self._own(t): i for t, i in spec["vocab"].items()}
@@ -173,7 +173,8 @@ class Codec:
         return out
 
     def _plain(self, text: str, out: list[int]) -> None:
-        text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and self.marked.search(text):
+            text = self.nfc.normalize_str(text)  # with the tokenizer's own Unicode tables
         for c, low in self.lower.items():
             if c in text:
                 text = text.replace(c, low)
