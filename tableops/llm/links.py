@@ -7,14 +7,17 @@ Nodes are structs of two longs (``common.wide_key``). Buckets are longs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableops.llm.common import checked_broadcast
 from tableops.plans.lineage import cut_lineage
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Four-bit registers in a long of a sketch.
+NIBBLES = 0x1111111111111111
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,21 +57,43 @@ def shared_buckets(members: DataFrame) -> DataFrame:
         .select("bucket", F.struct("hi", "lo").alias("node"))
 
 
-def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _agreeing(x: Column, y: Column, longs: int) -> Column:
+    """How many four-bit registers of two sketches are equal."""
+    def equal(k: int) -> Column:
+        d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(NIBBLES))
+        return F.lit(16) - F.bit_count(d)
+    return reduce(lambda p, q: p + q, [equal(k) for k in range(longs)])
+
+
+def _central(shared: DataFrame) -> DataFrame:
+    """``shared`` plus ``_rank``, the lower, the more nodes a node meets in all its buckets."""
+    sizes = shared.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    met = shared.join(sizes, F.col("bucket") == F.col("_bucket")).groupBy(F.col("node").alias("_node")) \
+        .agg((-F.sum("_n")).alias("_rank"))
+    return cut_lineage(shared.join(met, F.col("node") == F.col("_node")).select("bucket", "node", "_rank"))
+
+
+def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame], info: DataFrame,
+           longs: int, least: int) -> DataFrame:
     """Components of the graph of all similar pairs that share a bucket.
 
-    ``similar`` keeps the pairs (``a``, ``b``) that are similar. First every bucket's members
-    are compared with one of them; then, for a bucket whose members are not yet one component,
-    with one outside its main component; and at last every member outside the main component
-    with every member of another component. Pairs inside a component are never compared, they
-    could not change it, so a bucket of m near copies costs about m pairs, and no link between
-    components of a bucket goes unseen."""
+    ``similar`` keeps the pairs (``a``, ``b``) that are similar; ``info`` has ``node``, all its
+    ``bands`` and its ``sketch`` of ``longs`` longs. First every bucket's members are compared
+    with the one that meets most others; then, for buckets whose members are not yet one
+    component, with the most central one outside their main component, a few times; and at
+    last every member outside the main component with the members of other components.
+    Pairs inside a component are never compared, they could not change it. In the last step
+    a pair is met in its first common bucket only, and passed on if ``least`` registers of its
+    sketches agree; the join itself tests both, so that what it emits are near pairs."""
+    shared = _central(shared)
     edges = None
     label = None
     for turn in range(STAR_ROUNDS + 1):
         named = shared.withColumn("root", F.col("node")) if label is None else shared.join(
             label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root"))
+            "bucket", "node", "_rank", F.coalesce("root", "node").alias("root"))
         if turn:
             sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
             main = sizes.groupBy(F.col("bucket").alias("_bucket")).agg(
@@ -80,14 +105,21 @@ def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> Data
         else:
             named = named.withColumn("_main", F.lit(None).cast(named.schema["root"].dataType))
         outside = named.filter(~F.col("root").eqNullSafe(F.col("_main")))
+        meet = (F.col("bucket") == F.col("_bucket")) & (F.col("root") != F.col("_ra"))
         if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("_o"), "node", "root")
+            order = F.struct("_rank", F.xxhash64("node").alias("_o"), "node", "root")
             chosen = outside.groupBy(F.col("bucket").alias("_bucket")).agg(F.min(order).alias("_c")) \
                 .select("_bucket", F.col("_c.node").alias("a"), F.col("_c.root").alias("_ra"))
         else:
-            chosen = outside.select(F.col("bucket").alias("_bucket"), F.col("node").alias("a"), F.col("root").alias("_ra"))
-        pairs = named.join(chosen, F.col("bucket") == F.col("_bucket")).filter(F.col("root") != F.col("_ra")) \
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            own = info.select(F.col("node").alias("_n"), "bands", "sketch")
+            named = cut_lineage(named.join(own, F.col("node") == F.col("_n")).drop("_n"))
+            chosen = named.filter(F.col("root") != F.col("_main")).select(
+                F.col("bucket").alias("_bucket"), F.col("node").alias("a"), F.col("root").alias("_ra"),
+                F.col("bands").alias("_bands"), F.col("sketch").alias("_sketch"))
+            once = (F.col("root") == F.col("_main")) | (F.col("a") < F.col("node"))
+            meet = meet & once & (_agreeing(F.col("sketch"), F.col("_sketch"), longs) >= least) \
+                & (F.array_intersect("bands", "_bands")[0] == F.col("bucket"))
+        pairs = named.join(chosen, meet).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         found = cut_lineage(similar(pairs))
         edges = found if edges is None else edges.unionByName(found)
         label = components(edges)

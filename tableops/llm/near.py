@@ -27,7 +27,10 @@ from tableops.plans.lineage import cut_lineage
 
 WORDS = 5
 SIMILAR = 0.8
-REGISTERS, ROWS = 64, 4  # 16 bands of 4: a pair at 0.8 shares a bucket with probability 0.9998
+#: 21 bands of 6: a pair at 0.8 shares a bucket with probability 0.998. Beyond the stars, it is
+#: compared if 92 of 128 sketch registers agree, with probability 0.996; at 0.85 both exceed 0.9999.
+REGISTERS, ROWS, BANDS = 128, 6, 21
+SKETCH_LONGS, AGREE = REGISTERS // 16, 92
 #: Characters that a Python worker takes up at once.
 AT_ONCE = 1_200_000
 KEPT_WORDS = 500_000
@@ -113,24 +116,31 @@ def prob_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hi, lo, text) to (hi, lo, bands): a hash of each band of registers."""
+    """(hi, lo, text) to (hi, lo, bands, sketch): a hash of each band of registers, and four
+    bits of every register."""
     memory = _WordHashes()
     for batch in batches:
         for start, texts in portions(batch, 2, AT_ONCE):
             doc, run, count = shingle_bags(texts, memory)
             who = prob_min_hash(doc, run, count, len(texts))
             bands = []
-            for b in range(REGISTERS // ROWS):
+            for b in range(BANDS):
                 h = np.full(len(texts), b, dtype=np.uint64)
                 for k in range(ROWS):
                     h = _mixed(h) + who[:, b * ROWS + k]
-                bands.append(_mixed(h).view(np.int64))
-            flat = pa.array(np.stack(bands, axis=1).ravel())
-            step = REGISTERS // ROWS
-            offsets = pa.array(np.arange(0, len(flat) + 1, step, dtype=np.int32))
+                bands.append(_mixed(h))
+            low = _mixed(who) & np.uint64(15)
+            sketch = [np.bitwise_or.reduce(low[:, 16 * k:16 * k + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+                      for k in range(SKETCH_LONGS)]
             keys = batch.slice(start, len(texts))
-            yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.ListArray.from_arrays(offsets, flat)],
-                                             names=["hi", "lo", "bands"])
+            yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), _rows(bands), _rows(sketch)],
+                                             names=["hi", "lo", "bands", "sketch"])
+
+
+def _rows(columns: list[np.ndarray]) -> pa.ListArray:
+    """A list column whose lists are the rows of the columns."""
+    flat = np.stack(columns, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel()))
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +176,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     base = pick(df, _key=key, _text=text).withColumn("_text", whole_text("_text"))
     hi, lo = wide_key(F.col("_text"))
     keyed = base.select(hi.alias("hi"), lo.alias("lo"), "_text", "_key")
-    signed = keyed.select("hi", "lo", "_text").mapInArrow(_signed, "hi long, lo long, bands array<long>")
-    signed = cut_lineage(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands")))
+    signed = keyed.select("hi", "lo", "_text").mapInArrow(_signed, "hi long, lo long, bands array<long>, sketch array<long>")
+    signed = cut_lineage(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     shared = cut_lineage(shared_buckets(signed.select(F.explode("bands").alias("bucket"), "hi", "lo")))
     wanted = checked_broadcast(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct())
     texts = keyed.join(wanted, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))) \
@@ -180,7 +190,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         both = pairs.join(left, F.col("a") == F.col("_a")).join(bags, F.col("b") == F.col("_node"))
         return both.select("a", "b", "_ra", "_ca", "runs", "counts").mapInArrow(_verified, f"a {NODE}, b {NODE}")
 
-    root = linked(shared, similar)
+    root = linked(shared, similar, signed.select(F.struct("hi", "lo").alias("node"), "bands", "sketch"), SKETCH_LONGS, AGREE)
     nodes = keyed.groupBy("hi", "lo").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_n"))
     nodes = nodes.join(root.select(F.col("node.hi").alias("_h"), F.col("node.lo").alias("_l"), "root"),
                        (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l")), "left") \

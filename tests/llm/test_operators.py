@@ -129,12 +129,20 @@ def test_components_of_a_long_chain(spark):
     same([tuple(x) for x in got], [(i, 0) for i in range(1, n + 1)])
 
 
-def test_a_bucket_of_two_stars(spark):
-    """Members unlike the first representative still find each other."""
+def test_a_bucket_of_many_stars(spark):
+    """Members unlike the representatives still find each other, in their first common bucket."""
     from tableops.llm.links import linked
-    shared = spark.range(40).selectExpr("7L as bucket", "struct(id as hi, 0L as lo) as node")
-    label = linked(shared, lambda pairs: pairs.filter("a.hi % 4 = b.hi % 4"))
-    same([tuple(x) for x in label.selectExpr("node.hi", "root.hi as r").collect()], [(i, i % 4) for i in range(4, 40)])
+    nodes = spark.range(40).selectExpr("struct(id as hi, 0L as lo) as node", "array(7L, 9L, 100 + id) as bands", "array(id div 10, 5L) as sketch")
+    shared = nodes.selectExpr("explode(slice(bands, 1, 2)) as bucket", "node")
+    label = linked(shared, lambda pairs: pairs.filter("a.hi % 8 = b.hi % 8"), nodes, 2, 31)
+    same([tuple(x) for x in label.selectExpr("node.hi", "root.hi as r").collect()], [(i, i % 8) for i in range(8, 40)])
+    found = []
+
+    def seen(pairs):
+        found.append(pairs.count())
+        return pairs.filter("false")
+    assert linked(shared, seen, nodes, 2, 32).count() == 0
+    assert found[-1] == 4 * 45 and sum(found[:-1]) <= 3 * 39  # all of equal sketches, each once
 
 
 def test_leaks(spark, rows):
