@@ -77,6 +77,17 @@ def not_nan(df: DataFrame, name: str) -> Column:
     return c
 
 
+#: Text that reads as a number (thousands commas already removed).
+NUMBER_TEXT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+
+
+def number_in(text: Column) -> Column:
+    """The number that a text holds, as double; NULL for any other text (Spark's own cast
+    also reads Java literals such as ``5D``)."""
+    t = F.trim(text)
+    return F.when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
+
+
 def null_safe_eq(left: Sequence[Column], right: Sequence[Column]) -> Column:
     cond = None
     for a, b in zip(left, right):

@@ -225,6 +225,10 @@ def summary_stats(df: DataFrame, cols: Sequence[str] | None = None,
                       F.col("q1").alias("50%"), F.col("q2").alias("75%"), "Max")
 
 
+#: Parts that the details of one group are spread over.
+SUBTOTAL_PARTS = 32
+
+
 def subtotals(df: DataFrame, key: str, order_by: Sequence[str] | None = None,
               flag: str = "_is_subtotal", label: str = " - SUBTOTAL") -> DataFrame:
     """Detail rows of each group followed by a subtotal row ``<g> - SUBTOTAL``
@@ -246,8 +250,12 @@ def subtotals(df: DataFrame, key: str, order_by: Sequence[str] | None = None,
         *([F.min(F.struct(*[F.col(o) for o in order_by])).alias("_first")] if order_by else []))
     detail = base.withColumns({key: F.col("_g"), flag: F.lit(False)})
     if order_by:
-        detail = detail.join(sums.select(F.col("_g").alias("_g2"), "_first"),
-                             F.col("_g") == F.col("_g2")).drop("_g2")
+        # a salt spreads a hot group's details; each of its parts meets a copy of the one row
+        parts = F.array(*[F.lit(i) for i in range(SUBTOTAL_PARTS)])
+        firsts = sums.select(F.col("_g").alias("_g2"), "_first", F.explode(parts).alias("_p2"))
+        salt = F.pmod(F.xxhash64(*[F.col(o) for o in order_by]), F.lit(SUBTOTAL_PARTS)).cast("int")
+        detail = detail.withColumn("_p", salt).join(
+            firsts, (F.col("_g") == F.col("_g2")) & (F.col("_p") == F.col("_p2"))).drop("_g2", "_p", "_p2")
     sub = sums.withColumns({key: F.concat(F.col("_g"), F.lit(label)), flag: F.lit(True)})
     out = detail.unionByName(sub, allowMissingColumns=True)
     order = ([F.col("_first").asc()] if order_by else []) + [F.col("_g").asc(), F.col(flag).asc()]

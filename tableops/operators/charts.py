@@ -31,9 +31,9 @@ def pie_shares(df: DataFrame, category: str, value: str | None = None,
     and its share of the grand total in percent, rounded to ``digits``."""
     require(df, [category] + as_list(value))
     base = df.filter(not_nan(df, category).isNotNull())
-    amount = F.coalesce(F.sum(value), F.lit(0)) if value else F.count(F.lit(1))
+    amount = F.coalesce(F.sum(not_nan(df, value)), F.lit(0)) if value else F.count(F.lit(1))
     g = base.groupBy(category).agg(amount.cast("double").alias("amount"))
-    total = scalar(base, (F.sum(value) if value else F.count(F.lit(1))).cast("double"))
+    total = scalar(base, (F.sum(not_nan(df, value)) if value else F.count(F.lit(1))).cast("double"))
     return g.withColumn(out, F.round(F.try_divide(F.col("amount"), total) * 100, digits))
 
 

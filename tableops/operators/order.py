@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableops.functions.exprs import as_list, require, total_order
+from tableops.functions.exprs import as_list, not_nan, require, total_order
 
 
 def sort_rows(df: DataFrame, cols: str | Sequence[str], desc: bool = False) -> DataFrame:
-    """O1/O2: sort on ``cols``, NULLs last in both directions (range exchange plus a
+    """O1/O2: sort on ``cols``, NULLs and NaN last in both directions (range exchange plus a
     spillable external sort)."""
     cols = as_list(cols)
     require(df, [c for c in cols if isinstance(c, str)])
-    key = [(F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last())
+    key = [(not_nan(df, c).desc_nulls_last() if desc else not_nan(df, c).asc_nulls_last())
            if isinstance(c, str) else c for c in cols]
     return df.orderBy(*key)
 
@@ -27,7 +27,7 @@ def top_k(df: DataFrame, by: str | Sequence[str], k: int, desc: bool = True,
     TakeOrderedAndProject: per-task top ``k``, merged on the driver (``k`` x tasks)."""
     by = as_list(by)
     require(df, by)
-    key = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c in by]
+    key = [not_nan(df, c).desc_nulls_last() if desc else not_nan(df, c).asc_nulls_last() for c in by]
     key += total_order(df, tie_break, exclude=by)
     return df.orderBy(*key).limit(k)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import (
+    number_in,
     as_list, kind, not_nan, numeric_columns, require,
 )
 from tableops.functions.text import squash
@@ -43,8 +44,7 @@ def detect_header(raw: DataFrame, index: str = "row_ix") -> int:
         return 0
     vals = F.array(*[F.col(c).cast("string") for c in cols])
     present = F.filter(vals, lambda v: v.isNotNull())
-    numeric = F.filter(present, lambda v: F.regexp_replace(F.trim(v), ",", "")
-                       .try_cast("double").isNotNull())
+    numeric = F.filter(present, lambda v: number_in(F.regexp_replace(v, ",", "")).isNotNull())
     score = (F.size(present) / n * W_NON_NULL
              + (F.size(present) - F.size(numeric)) / n * W_TEXT
              + F.size(F.array_distinct(present)) / n * W_UNIQUE)
@@ -112,7 +112,7 @@ def _column_facts(df: DataFrame, distinct: bool, approx: bool = False) -> DataFr
     aggs += [F.count(not_nan(df, f.name)).alias(f"_c{i}") for i, f in enumerate(fields)]
     if distinct:
         dc = F.approx_count_distinct if approx else F.count_distinct
-        aggs += [dc(F.col(f.name)).alias(f"_d{i}") for i, f in enumerate(fields)]
+        aggs += [dc(not_nan(df, f.name)).alias(f"_d{i}") for i, f in enumerate(fields)]
     one = df.agg(*aggs)
     rows = F.col("_rows")
     structs = []
@@ -147,10 +147,8 @@ def _role(name: str, k: str, non_null, ratio):
     else:
         is_entity = F.lit(ent_kw) | (ratio > ENTITY_RATIO)
         is_context = F.lit(ctx_kw) | (ratio < CONTEXT_RATIO)
-        typed = (F.when(is_entity & ~is_context, F.lit("entity"))
-                 .when(is_context, F.lit("context"))
-                 .when(ratio > ENTITY_RATIO, F.lit("entity"))
-                 .otherwise(F.lit("context")))
+        # text that is not clearly an entity, by name or ratio, describes the context
+        typed = F.when(is_context | ~is_entity, F.lit("context")).otherwise(F.lit("entity"))
     return F.when(non_null == 0, F.lit("unknown")).otherwise(typed)
 
 

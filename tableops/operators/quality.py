@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableops.functions.exprs import as_list, is_string, null_safe_eq, require
+from tableops.functions.exprs import as_list, is_string, not_nan, null_safe_eq, number_in, require
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Rule:
     args: tuple = ()
 
     def fails(self, df: DataFrame) -> Column:
-        c = F.col(self.column)
+        c = not_nan(df, self.column)
         present = c.isNotNull()
         if is_string(df, self.column):
             present = present & (F.trim(c) != "")
@@ -38,8 +38,7 @@ class Rule:
             return present & ~c.cast("string").isin(list(vals))
         if self.name == "range_check":
             lo, hi = self.args
-            x = c if not is_string(df, self.column) else F.expr(
-                f"try_cast(trim(`{self.column}`) as double)")
+            x = c if not is_string(df, self.column) else number_in(c)
             bad = x.isNull()
             if lo is not None:
                 bad = bad | (x < F.lit(lo))

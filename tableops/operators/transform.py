@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableops.functions.exprs import (
-    as_list, dtype, is_numeric, is_string, require, NUMERIC,
+    as_list, dtype, is_numeric, is_string, number_in, require, NUMERIC,
 )
 from tableops.functions.text import normalized, words
 
@@ -69,7 +69,7 @@ def fill_missing(df: DataFrame, value="N/A", cols: Sequence[str] | None = None,
     ``value`` (default ``N/A``, as in the reference).
 
     Without ``cols``, every column whose type fits ``value`` is filled (numbers fill
-    numeric columns, text fills text columns). A named column whose type does not
+    numeric columns, fractions no integer columns, text fills text columns). A named column whose type does not
     fit raises, unless ``cast=True``, which turns it into text explicitly (the
     reference's silent mixed-type column)."""
     targets = as_list(cols) or [
@@ -94,7 +94,9 @@ def _fits(dt: T.DataType, value) -> bool:
     if isinstance(value, bool):
         return isinstance(dt, T.BooleanType)
     if isinstance(value, (int, float)):
-        return isinstance(dt, NUMERIC)
+        fractional = isinstance(value, float) and value != int(value) if value == value and abs(value) != float("inf") else True
+        return isinstance(dt, NUMERIC) and not (fractional and isinstance(
+            dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)))
     if isinstance(value, str):
         return isinstance(dt, T.StringType)
     return False
@@ -121,7 +123,7 @@ def to_numeric(df: DataFrame, cols: str | Sequence[str]) -> DataFrame:
     cols = as_list(cols)
     require(df, cols)
     return df.withColumns({c: F.col(c) if is_numeric(df, c) and not is_string(df, c) else
-                           F.expr(f"try_cast(regexp_replace(trim(`{c}`), ',', '') as double)")
+                           number_in(F.regexp_replace(F.col(c), ",", ""))
                            for c in cols})
 
 

@@ -1,83 +1,67 @@
-"""Exact quantiles without a hot task.
+"""Exact quantiles without a hot task, one way for groups of every size.
 
-Spark's exact ``percentile`` aggregate keeps every distinct value of a group in one
-buffer, merged in one task: a group holding a third of a 100 TB table does not fit.
-Here an exact quantile is a rank selection over a distributed sort
-(``plans.ranks.ranked``): only the rows at ``floor``/``ceil`` of ``q * (n - 1)``
-survive, then linear interpolation as in Spark's ``percentile`` and pandas
-``quantile``.
+1. One aggregation gives each group's size and, by a bounded sketch, split points among its
+   values.
+2. Equal values are counted (combined before the shuffle) and placed in the block between
+   two split points. The block follows from the row and its group's points alone, so that
+   every re-execution of either branch agrees, whether or not Spark reuses an exchange.
+3. Block counts tell which blocks hold a wanted rank; only those are sorted, a block a task,
+   and the values at ``floor`` and ``ceil`` of ``q * (n - 1)`` are interpolated as Spark's
+   ``percentile`` and pandas' ``quantile`` do.
 
-Grouped, hot groups are split from the rest: one count per group (partial
-aggregation) finds the groups with more than ``hot_rows`` values; all other groups
-use the exact ``percentile`` aggregate, whose per-group buffer is then bounded by
-``hot_rows``, and only the hot groups go through the distributed rank selection.
-The rank path's offsets table then has at most (partitions + hot groups) rows, so
-the data is shuffled once for the sort and never again for the offsets join.
+A group's values are spread over BLOCKS blocks of about equal size; whatever the sketch's
+error, the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_list, null_safe_eq
-from tableops.plans.ranks import ranked
 
-
-HOT_ROWS = 100_000
+BLOCKS = 64
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
-                    by: Sequence[str] | None = None, partitions: int | None = None,
-                    prefix: str = "q", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Per group of ``by`` (or overall): columns ``<prefix>0..`` = exact linear
-    quantiles of the non-NULL values at fractions ``qs``. Groups with no values are
-    absent from the result. Grouped, groups with at most ``hot_rows`` values use the
-    exact ``percentile`` aggregate (buffer bounded by ``hot_rows``) and larger ones the
-    distributed rank selection; ``hot_rows=None`` sends every group through ranks."""
+                    by: Sequence[str] | None = None, prefix: str = "q") -> DataFrame:
+    """Per group of ``by`` (or overall): columns ``<prefix>0..`` = exact linear quantiles of the
+    values at fractions ``qs``, NULL and NaN left out. Groups without values are absent."""
     by = as_list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    base = df.select(*[F.col(b) for b in by], x.alias("_x"))
-    base = base.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if not by or hot_rows is None:
-        return _by_rank(base, qs, by, partitions, prefix)
-    hot = (base.groupBy(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(by)])
-           .agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).drop("_cnt"))
-    cond = null_safe_eq([F.col(b) for b in by], [F.col(f"_h{i}") for i in range(len(by))])
-    # a left join plus a flag rather than semi/anti joins: Spark pushes semi/anti joins
-    # into union branches, where a literal group key leaves no equi-join key
-    flagged = base.join(hot.withColumn("_hot", F.lit(True)), cond, "left") \
-        .drop(*[f"_h{i}" for i in range(len(by))])
-    small = flagged.filter(F.col("_hot").isNull()).drop("_hot")
-    q = F.percentile(F.col("_x"), F.array(*[F.lit(float(v)) for v in qs]))
-    small_q = small.groupBy(*by).agg(q.alias("_qs")).select(
-        *by, *[F.get(F.col("_qs"), i).alias(f"{prefix}{i}") for i in range(len(qs))])
-    big = flagged.filter(F.col("_hot")).drop("_hot")
-    return small_q.unionByName(_by_rank(big, qs, by, partitions, prefix))
+    keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
+    named = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
+    base = df.select(*named, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+    def same(names: Sequence[str], suffix: str) -> Column:
+        return null_safe_eq([F.col(n) for n in names], [F.col(n + suffix) for n in names])
+
+    points = F.percentile_approx("_x", F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)]), 1000)
+    facts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array_distinct(points).alias("_points")) \
+        .withColumnsRenamed({k: k + "f" for k in keys})
+    placed = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).join(facts, same(keys, "f")) \
+        .withColumn("_b", F.size(F.filter("_points", lambda p: p < F.col("_x")))).select(*keys, "_x", "_c", "_n", "_b")
+    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    at = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in at for f in (F.floor, F.ceil)]))
+    blocks = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n")) \
+        .withColumn("_off", F.coalesce(F.sum("_c").over(order), F.lit(0))) \
+        .filter(F.exists(ranks, lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_c")))) \
+        .select(*[F.col(k).alias(k + "h") for k in (*keys, "_b")], "_off")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = placed.join(blocks, same((*keys, "_b"), "h")) \
+        .withColumn("_end", F.col("_off") + F.sum("_c").over(inside))
 
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_x")))
 
-def _by_rank(base: DataFrame, qs: Sequence[float], by: list[str], partitions: int | None,
-             prefix: str) -> DataFrame:
-    r = ranked(base, [F.col("_x").asc()], by, partitions)
-    pos = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
-    hit = None
-    for ps in pos:
-        e = (F.col("_r") == F.floor(ps)) | (F.col("_r") == F.ceil(ps))
-        hit = e if hit is None else hit | e
-    picked = r.filter(hit)
-    keys = by or [F.lit(0).alias("_g")]
-    aggs = []
-    for i, ps in enumerate(pos):
-        aggs += [F.max(F.when(F.col("_r") == F.floor(ps), F.col("_x"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("_r") == F.ceil(ps), F.col("_x"))).alias(f"_hi{i}"),
-                 F.max(ps).alias(f"_p{i}")]
-    g = picked.groupBy(*keys).agg(*aggs)
+    found = sorted_.groupBy(*keys).agg(*[a for i, p in enumerate(at) for a in (
+        value_at(F.floor(p)).alias(f"_lo{i}"), value_at(F.ceil(p)).alias(f"_hi{i}"), F.max(p).alias(f"_p{i}"))])
     outs = []
     for i in range(len(qs)):
-        lo_v, hi_v, ps = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_p{i}")
-        interp = F.when(F.ceil(ps) == F.floor(ps), lo_v).otherwise(
-            (F.ceil(ps) - ps) * lo_v + (ps - F.floor(ps)) * hi_v)
-        outs.append(interp.alias(f"{prefix}{i}"))
-    return g.select(*[F.col(b) for b in by], *outs)
+        lo, hi, p = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_p{i}")
+        outs.append(F.when(F.ceil(p) == F.floor(p), lo).otherwise(
+            (F.ceil(p) - p) * lo + (p - F.floor(p)) * hi).alias(f"{prefix}{i}"))
+    return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *outs)

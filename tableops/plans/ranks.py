@@ -1,5 +1,5 @@
 """Distributed ranks: the 0-based position of every row inside its group in a sort
-order, without a window over the data and without materialising the input.
+order, without a window over the data.
 
 1. range-partition and sort on ``(group keys, order)``: a hot group's rows are split
    over many partitions;
@@ -10,9 +10,8 @@ order, without a window over the data and without materialising the input.
    partition, bounded by the partition count, not by the data);
 4. rank = offset + position inside the partition.
 
-The sorted input is read by both branches through one reused exchange. Rows tied on
-the whole sort key are interchangeable, so anything selected by rank is the same on
-any re-execution (for example after an executor is lost).
+The sorted input is written to the shared checkpoint folder before both branches read it:
+range bounds come from a sample, and a branch that sorted anew could draw others.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_list, null_safe_eq
+from tableops.plans.lineage import cut_lineage
 
 
 def ranked(df: DataFrame, order_by: Sequence[Column], by: Sequence[str] | None = None,
@@ -35,8 +35,8 @@ def ranked(df: DataFrame, order_by: Sequence[Column], by: Sequence[str] | None =
     base = df if by else df.withColumn("_g", F.lit(0))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_key = [F.col(k).asc_nulls_first() for k in keys] + list(order_by)
-    srt = (base.repartitionByRange(n_parts, *sort_key).sortWithinPartitions(*sort_key)
-           .withColumn("_mid", F.monotonically_increasing_id()))
+    srt = cut_lineage(base.repartitionByRange(n_parts, *sort_key).sortWithinPartitions(*sort_key)
+                      .withColumn("_mid", F.monotonically_increasing_id()))
     per_part = (srt.groupBy(F.shiftright("_mid", 33).alias("_pid"), *keys)
                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0")))
     w = Window.partitionBy(*keys).orderBy("_pid")

@@ -47,8 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the reliable checkpoint directory, setting one only if none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...); it is
-    read from the session and never replaced. Only when it is unset (local tests) a
-    fresh scratch folder is created.
+    read from the session and never replaced. Where it is unset, a local session gets a
+    fresh scratch folder, as in tests, and a cluster an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = fallback or tempfile.mkdtemp(prefix="tableops-ckpt-",
                                                   dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tableops.session import ensure_checkpoint_dir
-from tableops.sources.audit import audit
+from tableops.sources.audit import audit, read_audit
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -32,16 +33,29 @@ def run_stream(df: DataFrame, transform: Callable[[DataFrame], DataFrame], sink:
     ``name``, rows_after = batch size). ``once=True`` processes what is available
     and stops (availableNow trigger)."""
     spark = df.sparkSession
-    base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not checkpoint and not shared:
+        raise ValueError("a stream needs a checkpoint folder that outlives the session: "
+                         "pass checkpoint or set spark.checkpoint.dir")
+    base = checkpoint or f"{shared.rstrip('/')}/stream-{name}"
     out = transform(df)
 
+    def logged(session: SparkSession, epoch: int) -> bool:
+        """Whether an earlier try of this epoch left its audit row."""
+        try:
+            log = read_audit(session, audit_path)
+        except AnalysisException:  # no log yet
+            return False
+        return not log.filter((F.col("operation") == name) & (F.col("output") == sink) & (
+            F.get_json_object("params", "$.epoch").cast("long") == epoch)).isEmpty()
+
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # one directory per epoch, overwritten on replay: a retried batch never
         # duplicates rows
         batch.persist()
         try:
             batch.write.mode("overwrite").format(fmt).save(f"{sink.rstrip('/')}/batch_id={epoch}")
-            if audit_path:
+            if audit_path and not logged(batch.sparkSession, epoch):
                 audit(batch.sparkSession, audit_path, operation=name, output=sink,
                       rows_after=batch.count(), params={"epoch": epoch})
         finally:
