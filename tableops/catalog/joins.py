@@ -124,20 +124,19 @@ def join_clash(spark, sf):
 
 _FS = "lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))"
 _FV = "lower(trim(regexp_replace(t, '\\s+', ' ', 'g')))"
+_FW = f"list_filter(string_split(translate({_FV}, '()', '  '), ' '), lambda w: w <> '')"
 FUZZY_SQL = f"""
 WITH types AS (SELECT DISTINCT p_type AS t FROM part WHERE p_type IS NOT NULL),
 cand AS (
-  SELECT p_partkey, p_name, t, levenshtein({_FS}, {_FV}) AS d FROM part, types
-  WHERE {_FS} <> '' AND {_FV} <> '' AND (
-     contains({_FV}, {_FS}) OR contains({_FS}, {_FV})
-     OR len(list_filter(string_split(translate({_FV}, '()', '  '), ' '),
-            lambda w: w <> '' AND (contains(w, {_FS}) OR contains({_FS}, w)
-                 OR (length({_FS}) >= 3 AND starts_with(w, substr({_FS}, 1, 3)))
-                 OR (length(w) >= 3 AND starts_with({_FS}, substr(w, 1, 3)))))) > 0
-     OR len(list_filter(string_split({_FS}, ' '),
-            lambda a: len(list_filter(string_split({_FV}, ' '), lambda b: contains(b, a))) > 0)) > 0))
+  SELECT p_partkey, t, length({_FV}) AS len, {_FV} AS n,
+    CASE WHEN {_FV} = {_FS} THEN 1 WHEN contains({_FV}, {_FS}) THEN 2 WHEN contains({_FS}, {_FV}) THEN 3
+         WHEN len(list_filter(string_split({_FS}, ' '), lambda a: contains({_FV}, a))) > 0 THEN 4
+         WHEN len(list_filter({_FW}, lambda w: contains({_FS}, w))) > 0 THEN 5
+         WHEN length({_FS}) >= 3 AND len(list_filter({_FW}, lambda w: length(w) >= 3
+              AND substr(w, 1, 3) = substr({_FS}, 1, 3))) > 0 THEN 6 END AS tier
+  FROM part, types WHERE {_FS} <> '' AND {_FV} <> '')
 SELECT p.p_partkey, p.p_name, m.t AS matched_type
-FROM part p LEFT JOIN (SELECT p_partkey, arg_min(t, (d, t)) AS t FROM cand GROUP BY p_partkey) m
+FROM part p LEFT JOIN (SELECT p_partkey, arg_min(t, (tier, len, n, t)) AS t FROM cand WHERE tier IS NOT NULL GROUP BY p_partkey) m
   ON p.p_partkey = m.p_partkey"""
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_list, require
-from tableops.functions.predicates import token_match
 from tableops.functions.text import normalized
 
 HOWS = ("left", "right", "inner", "outer")
@@ -102,90 +101,67 @@ def join_tables(df: DataFrame, ref: DataFrame, key: str, how: str = "left",
 
 # --- J4: fuzzy match -------------------------------------------------------------
 
-def _grams(s: Column, n: int) -> Column:
-    """All substrings of length ``n`` of ``s`` (empty when shorter)."""
-    return F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
-                    lambda i: F.substring(s, i, n)),
-        lambda g: F.length(g) == n)
+def _pieces(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``text`` whose length is one of ``lengths``."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.filter(lengths, lambda n: n <= F.length(text)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))))
 
 
-def _all_grams(s: Column) -> Column:
-    """Distinct 1-, 2- and 3-grams: the keys under which ``s`` can CONTAIN a string."""
-    return F.array_distinct(F.concat(_grams(s, 1), _grams(s, 2), _grams(s, 3)))
+def _nonempty(a: Column) -> Column:
+    return F.filter(a, lambda w: w != "")
+
+
+def _lengths(keys: DataFrame) -> Column:
+    """The lengths of the texts in ``keys``, as one array."""
+    return F.coalesce(keys.select(F.collect_set(F.length("_key")).alias("_l")).scalar(), F.array().cast("array<int>"))
 
 
 def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
-                distance: str | None = None) -> DataFrame:
-    """For each row of ``df`` the ``ref.right`` value that ``token_match``es
-    ``df.left`` (F8), the closest by Levenshtein distance on the normalised texts,
-    ties to the smaller value; NULL when nothing matches. Row count is unchanged.
-
-    Exact blocking, no cross join and no cap on candidates: every way F8 can hold
-    implies a shared key,
-
-    - term in value, term token in value token: the term (token) is contained in the
-      value, so each of its 3-grams (or itself, if shorter) is a gram of the value
-      (keys tagged ``A``);
-    - value in term, value word in term: the same with the roles swapped (``B``);
-    - 3-character prefix agreement of the term and a value word (``P``).
-
-    A contained string is keyed by its RAREST 3-gram among the containers (one
-    gram-frequency aggregation, at most the number of distinct 1-3-grams), so common
-    prefixes do not flood the candidates. Each side becomes one table of tagged keys
-    and ONE equi-join yields all candidate pairs per distinct normalised text; they
-    are verified with the full F8 predicate and reduced to the best match with
-    ``min_by`` (an aggregate: hot texts are reduced map-side).
-    """
+                tier: str | None = None) -> DataFrame:
+    """For each row of ``df`` one ``ref.right`` value that ``token_match``es ``df.left``
+    (F8), NULL when none does. The row count is unchanged.
+
+    The best way to match decides, on the normalised texts: 1 equal, 2 the term occurs in the
+    value, 3 the value occurs in the term, 4 a token of the term occurs in the value, 5 a word
+    of the value occurs in the term, 6 a value's word shares the term's first three letters;
+    then the shortest value, then the smallest. ``tier`` names a column for that number.
+
+    Within one way the choice depends on the value alone, so every key (a whole value, a
+    piece of a value, a word, a prefix) keeps one winner by an aggregate, and no list of pairs
+    is made however many terms and values share a prefix. Pieces are taken at the lengths that
+    the other side looks up, so their number follows the length of the texts."""
     require(df, [left])
     require(ref, [right])
-    Ls = df.select(F.lower(normalized(left)).alias("_t")).filter(F.col("_t") != "").distinct()
-    R = (ref.select(F.col(right).alias("_v"), F.lower(normalized(right)).alias("_n"))
-         .filter(F.col("_n") != ""))
-    Rn = R.select(F.col("_n").alias("_t")).distinct()
-    t = F.col("_t")
-    words = _nonempty(F.split(F.translate(t, "()", "  "), " "))
-    # containers: every 1-3-gram, tagged with the role the OTHER side probes with
-    cont = (Ls.select("_t", F.lit("L").alias("_side"), F.explode(_all_grams(t)).alias("_g"))
-            .withColumn("_k", F.concat(F.lit("B:"), "_g"))
-            .unionByName(Rn.select("_t", F.lit("R").alias("_side"), F.explode(_all_grams(t)).alias("_g"))
-                         .withColumn("_k", F.concat(F.lit("A:"), "_g")))
-            .select("_t", "_side", "_k"))
-    freq = cont.groupBy("_k").agg(F.count(F.lit(1)).alias("_f"))
-    # probes: left text and its tokens look for containers on the right (A), right
-    # text and its words look for containers on the left (B)
-    probes = (Ls.select("_t", F.lit("L").alias("_side"), F.lit("A:").alias("_tag"),
-                        F.explode(F.array_distinct(F.concat(F.array(t), F.split(t, " ")))).alias("_p"))
-              .unionByName(Rn.select("_t", F.lit("R").alias("_side"), F.lit("B:").alias("_tag"),
-                                     F.explode(F.array_distinct(F.concat(F.array(t), words))).alias("_p"))))
-    grams = F.when(F.length("_p") < 3, F.array("_p")).otherwise(F.array_distinct(_grams(F.col("_p"), 3)))
-    probe_keys = (probes.select("_t", "_side", "_p", "_tag", F.explode(grams).alias("_g"))
-                  .select("_t", "_side", "_p", F.concat("_tag", "_g").alias("_k"))
-                  .join(freq, "_k", "left").fillna(0, ["_f"])
-                  .groupBy("_t", "_side", "_p").agg(F.min_by("_k", F.struct("_f", "_k")).alias("_k"))
-                  .select("_t", "_side", "_k"))
-    prefix = (Ls.filter(F.length(t) >= 3).select("_t", F.lit("L").alias("_side"),
-                                                 F.concat(F.lit("P:"), F.substring(t, 1, 3)).alias("_k"))
-              .unionByName(Rn.select("_t", F.lit("R").alias("_side"),
-                                     F.explode(F.filter(words, lambda w: F.length(w) >= 3)).alias("_w"))
-                           .select("_t", "_side", F.concat(F.lit("P:"), F.substring("_w", 1, 3)).alias("_k"))))
-    keys = cont.unionByName(probe_keys).unionByName(prefix).distinct()
-    lk = keys.filter(F.col("_side") == "L").select(F.col("_t").alias("_s"), "_k")
-    rk = keys.filter(F.col("_side") == "R").select(F.col("_t").alias("_n"), "_k")
-    cand = lk.join(rk, "_k").select("_s", "_n").distinct()
-    verified = cand.filter(token_match(F.col("_s"), F.col("_n")))
-    vals = R.groupBy("_n").agg(F.min("_v").alias("_v"))
-    dist = F.levenshtein("_s", "_n")
-    best = (verified.join(vals, "_n")
-            .groupBy("_s").agg(F.min_by(F.struct(dist.alias("d"), F.col("_v").alias("v")),
-                                        F.struct(dist, F.col("_v"))).alias("_b")))
-    keyed = df.withColumn("_s", F.lower(normalized(left)))
-    j = keyed.join(best, "_s", "left")
-    cols = [F.col(c) for c in df.columns] + [F.col("_b.v").alias(out)]
-    if distance:
-        cols.append(F.col("_b.d").alias(distance))
+    terms = df.select(F.lower(normalized(left)).alias("_t")).filter(F.col("_t") != "").distinct()
+    values = ref.select(F.col(right).alias("_v"), F.lower(normalized(right)).alias("_n")) \
+        .filter(F.col("_n") != "").groupBy("_n").agg(F.min("_v").alias("_v")) \
+        .select("_n", F.struct(F.length("_n").alias("len"), "_n", "_v").alias("_val"))
+    t, n = F.col("_t"), F.col("_n")
+    words = F.array_distinct(_nonempty(F.split(F.translate(n, "()", "  "), " ")))
+
+    def winners(keys: DataFrame, kind: str) -> DataFrame:
+        return keys.groupBy("_key").agg(F.min("_val").alias("_val")).select(F.lit(kind).alias("_kind"), "_key", "_val")
+
+    worded = values.select(F.explode(words).alias("_key"), "_val")
+    asked = terms.select(F.lit(2).alias("_tier"), "_t", t.alias("_key")).unionByName(
+        terms.select(F.lit(4).alias("_tier"), "_t", F.explode(F.array_distinct(F.split(t, " "))).alias("_key")))
+    wanted = asked.select("_key").distinct()
+    held = values.withColumn("_ls", _lengths(wanted)).select("_val", F.explode(_pieces(n, F.col("_ls"))).alias("_key")).join(wanted, "_key", "left_semi")
+    whole = values.select(n.alias("_key"), "_val")
+    offered = winners(whole, "whole").unionByName(winners(worded, "word")).unionByName(winners(held, "piece")) \
+        .unionByName(winners(worded.filter(F.length("_key") >= 3).withColumn("_key", F.substring("_key", 1, 3)), "prefix"))
+    inner = whole.select("_key").unionByName(worded.select("_key")).distinct()
+    found_in = terms.withColumn("_ls", _lengths(inner)).select("_t", F.explode(_pieces(t, F.col("_ls"))).alias("_key")).join(inner, "_key", "left_semi")
+    lookups = terms.select(F.lit(1).alias("_tier"), F.lit("whole").alias("_kind"), "_t", t.alias("_key")) \
+        .unionByName(asked.select("_tier", F.lit("piece").alias("_kind"), "_t", "_key")) \
+        .unionByName(found_in.select(F.lit(3).alias("_tier"), F.lit("whole").alias("_kind"), "_t", "_key")) \
+        .unionByName(found_in.select(F.lit(5).alias("_tier"), F.lit("word").alias("_kind"), "_t", "_key")) \
+        .unionByName(terms.filter(F.length(t) >= 3).select(
+            F.lit(6).alias("_tier"), F.lit("prefix").alias("_kind"), "_t", F.substring(t, 1, 3).alias("_key")))
+    best = lookups.join(offered, ["_kind", "_key"]).groupBy("_t").agg(F.min(F.struct("_tier", "_val")).alias("_b"))
+    j = df.withColumn("_t", F.lower(normalized(left))).join(best, "_t", "left")
+    cols = [F.col(c) for c in df.columns] + [F.col("_b._val._v").alias(out)]
+    if tier:
+        cols.append(F.col("_b._tier").alias(tier))
     return j.select(*cols)
-
-
-def _nonempty(a: Column) -> Column:
-    return F.filter(a, lambda w: w != "")
