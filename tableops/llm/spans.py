@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, checked_broadcast, pick, portions, whole_text, wide_key
+from tableops.llm.common import by_value, pick, portions, whole_text, wide_key
 from tableops.plans.lineage import cut_lineage
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
@@ -108,13 +108,14 @@ def _repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = _run_rows(df, key, text)
     several = rows.groupBy(F.col("hi").alias("_h"), F.col("lo").alias("_l")).agg(F.count(F.lit(1)).alias("_n")) \
         .filter("_n > 1").select("_h", "_l")
-    places = rows.join(checked_broadcast(several), (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
+    # written first, so that the join deals out both sides itself and can split hot runs
+    places = rows.join(cut_lineage(several), (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
         .select("hi", "lo", "len", F.struct("_key", "_thi", "_tlo", "_at").alias("_place"))
     places = cut_lineage(places)
     first = places.groupBy(F.col("hi").alias("_h"), F.col("lo").alias("_l")).agg(
         F.min("_place").alias("_first"), F.max("_place").alias("_last")) \
         .filter("_first != _last").drop("_last")
-    later = places.join(first, (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
+    later = places.join(cut_lineage(first), (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
         .filter(~F.col("_place").eqNullSafe(F.col("_first")))
     covered = F.sequence(F.col("_place._at"), F.col("_place._at") + F.col("len") - 1)
     return later.select("_place.*", covered.alias("_cover"), F.col("_first._key").alias("_from")) \
