@@ -125,14 +125,14 @@ def pct_of_total(spark, sf):
 
 # --- F1-F8 filters ----------------------------------------------------------------------
 
-_LI = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_tax, "
+# + 0.0 on both sides: -0.0 and 0.0 are equal but hash apart
+_LI = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_tax, l_discount + 0.0 AS l_discount, "
        "l_returnflag, l_linestatus, l_shipdate")
-_LI_COLS = [c.strip() for c in _LI.split(",")]
 
 
 @R.add("filter_ge", f"SELECT {_LI} FROM lineitem WHERE l_quantity >= 30")
 def filter_ge(spark, sf):
-    return FL.filter_rows(table(spark, sf, "lineitem"), "l_quantity", ">=", 30).select(*_LI_COLS)
+    return FL.filter_rows(table(spark, sf, "lineitem"), "l_quantity", ">=", 30).selectExpr(*_LI.split(", "))
 
 
 @R.add("filter_lt", "SELECT * FROM orders WHERE o_totalprice < 50000")
@@ -340,7 +340,7 @@ SELECT {_LI} FROM (
     l_shipdate) AS rn FROM lineitem) WHERE rn = 1""")
 def dedup_first(spark, sf):
     li = table(spark, sf, "lineitem")
-    return O.deduplicate(li, ["l_orderkey"], order_by=["l_linenumber"]).select(*_LI_COLS)
+    return O.deduplicate(li, ["l_orderkey"], order_by=["l_linenumber"]).selectExpr(*_LI.split(", "))
 
 
 # --- variants ---------------------------------------------------------------------------
@@ -363,17 +363,14 @@ def dedup_keys(spark, sf):
 
 
 @R.add("fill_missing_text", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.lang, 'N/A') AS lang,
-       CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(l.quality AS DOUBLE) AS quality,
-       CAST(l.toxic AS DOUBLE) AS toxic
-FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
-FULL OUTER JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+SELECT coalesce(l.doc_id, p.page_id) AS doc_id, CAST(l.quality AS DOUBLE) AS quality,
+       CAST(l.toxic AS DOUBLE) AS toxic, coalesce(p.url, 'N/A') AS url
+FROM labels l FULL OUTER JOIN pages p ON l.doc_id IS NOT DISTINCT FROM p.page_id""")
 def fill_missing_text(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").filter(F.col("lang") == "en")
-    j = join_tables(d, table(spark, sf, "labels"), "doc_id", "outer")
-    out = T.fill_missing(j)  # default 'N/A' fills the text columns
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    out = T.fill_missing(join_tables(table(spark, sf, "labels"), pages, "doc_id", "outer"))  # 'N/A' into text
     # integers left NULL by the outer join are reported as DOUBLE (see catalog.joins)
-    return out.withColumns({c: F.col(c).cast("double") for c in ["n_chars", "quality", "toxic"]})
+    return out.withColumns({c: F.col(c).cast("double") for c in ["quality", "toxic"]})
 
 
 # --- whole web pages -------------------------------------------------------------------

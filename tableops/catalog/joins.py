@@ -81,27 +81,22 @@ def join_inner(spark, sf):
 
 
 @R.add("join_right", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, CAST(d.n_chars AS DOUBLE) AS n_chars,
-       l.quality, l.toxic
-FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
-RIGHT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CAST(l.quality AS DOUBLE) AS quality,
+       CAST(l.toxic AS DOUBLE) AS toxic, d.lang, d.n_chars
+FROM labels l RIGHT JOIN documents d ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
 def join_right(spark, sf):
-    d = _docs(spark, sf).filter(F.col("lang") == "en")
-    j = J.join_tables(d, table(spark, sf, "labels"), "doc_id", "right")
-    return _nullable_ints_as_double(j, ["n_chars"])
+    j = J.join_tables(table(spark, sf, "labels"), _docs(spark, sf), "doc_id", "right")
+    return _nullable_ints_as_double(j, ["quality", "toxic"])
 
 
 @R.add("join_outer", """
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, CAST(d.n_chars AS DOUBLE) AS n_chars,
-       CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic
-FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en') d
-FULL OUTER JOIN (SELECT * FROM labels WHERE quality = 1) l
-ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+SELECT coalesce(l.doc_id, p.page_id) AS doc_id, CAST(l.quality AS DOUBLE) AS quality,
+       CAST(l.toxic AS DOUBLE) AS toxic, p.url
+FROM labels l FULL OUTER JOIN pages p ON l.doc_id IS NOT DISTINCT FROM p.page_id""")
 def join_outer(spark, sf):
-    d = _docs(spark, sf).filter(F.col("lang") == "en")
-    lab = table(spark, sf, "labels").filter(F.col("quality") == 1)
-    j = J.join_tables(d, lab, "doc_id", "outer")
-    return _nullable_ints_as_double(j, ["n_chars", "quality", "toxic"])
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    j = J.join_tables(table(spark, sf, "labels"), pages, "doc_id", "outer")
+    return _nullable_ints_as_double(j, ["quality", "toxic"])
 
 
 @R.add("join_clash", """

@@ -53,11 +53,11 @@ def line_series(df: DataFrame, x: str, values: str | Sequence[str], bucket: str
 def scatter_points(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 0,
                    key: Sequence[str] | None = None) -> DataFrame:
     """G4 (scatter data): a deterministic sample of ``n`` (x, y) points: the rows with
-    the smallest ``xxhash64(seed, key)`` (key defaults to all columns). Top-n per
+    the smallest MD5 of seed and key as text (key defaults to all columns). Top-n per
     task, merged on the driver: at most ``n`` rows per task move."""
     require(df, [x, y])
     k = as_list(key) or df.columns
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in k])
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in k]))
     return (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
             .withColumn("_h", h).orderBy("_h", *[F.col(c).asc_nulls_last() for c in k])
             .limit(n).select(x, y))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_list
@@ -48,16 +48,22 @@ def with_row_index(df: DataFrame, order_by: Sequence[str | Column] | None = None
 
 
 def read_raw(spark: SparkSession, path: str, name: str = "row_ix", **options) -> DataFrame:
-    """A CSV sheet read without a header: every column is text (``_c0``, ``_c1``...)
-    and ``row_ix`` is the 0-based line position. Files are ordered by name; inside a
-    file, splits are ordered by offset, so the physical order is the file order."""
-    opts = {"header": "false", "inferSchema": "false", "multiLine": "false", **options}
+    """A CSV sheet read without a header: every column is text (``_c0``, ``_c1``...) and
+    ``row_ix`` is the 0-based row position, files in the order of their names.
+
+    Quoted cells may hold line breaks, so a file is read by one task (a sheet is a small
+    file; many files are read in parallel) and its rows keep the file's order. A count per
+    file gives the offsets: one row a file, and no sort or checkpoint of the data."""
+    opts = {"header": "false", "inferSchema": "false", "multiLine": "true", **options}
     df = spark.read.options(**opts).csv(path)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
-    # file order first, then position inside the file
-    df = df.withColumn("_pos", F.monotonically_increasing_id())
-    indexed = with_row_index(df, ["_file", "_pos"], name)
-    return indexed.drop("_file", "_pos")
+    cols = df.columns
+    # a task reads whole files one after another, so positions ascend within a file
+    df = df.withColumns({"_file": F.col("_metadata.file_path"), "_pos": F.monotonically_increasing_id()})
+    files = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = files.select(F.col("_file").alias("_f"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return df.join(starts, F.col("_file") == F.col("_f")).select(
+        *cols, (F.col("_off") + F.col("_pos") - F.col("_first")).alias(name))
 
 
 # Fixed value: share of blank first-row cells above which the header row is searched

@@ -2,6 +2,7 @@
 to keep the suite fast; the driver repeats this at sf0.01."""
 
 import hashlib
+import re
 
 import duckdb
 import pytest
@@ -11,7 +12,8 @@ from tests.conftest import SF_SMALL
 from tools.oracle_check import TABLES, digest
 
 SQL = E.oracle_sql()
-NAMES = list(E.queries())
+# the corpus queries have their own tests beside them
+NAMES = [n for n in E.queries() if not re.match(r"op\d+_|pipeline$", n)]
 
 
 @pytest.fixture(scope="module")
@@ -22,10 +24,8 @@ def con():
     return c
 
 
-def test_every_query_has_sql_or_is_rows_only():
-    rows_only = set(NAMES) - set(SQL)
-    assert rows_only == {"scatter_points"}
-    assert set(SQL) <= set(NAMES)
+def test_every_query_has_sql():
+    assert set(NAMES) <= set(SQL) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
@@ -37,9 +37,6 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     got = E.queries()[name](spark, SF_SMALL).toPandas()
-    if name not in SQL:
-        assert len(got) >= 0
-        return
     want = con.execute(SQL[name]).df()
     c1, r1 = digest(got)
     c2, r2 = digest(want)

@@ -134,18 +134,13 @@ def test_exact_quantiles_equal_pandas(spark, data):
 
 
 def test_scatter_sample_equals_brute_force(spark):
-    """G4 picks the n rows with the smallest xxhash64(seed, key): recompute the same
-    hash in Python (XXH64 over little-endian int/long bytes, chained seeds from 42)."""
-    import struct
-
-    import xxhash
+    """G4 picks the n rows with the smallest MD5 of seed and key."""
+    import hashlib
 
     from tests.conftest import SF_SMALL
 
     def h(seed, key):
-        a = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42)
-        b = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=a)
-        return b - (1 << 64) if b >= 1 << 63 else b
+        return hashlib.md5(f"{seed}|{key}".encode()).hexdigest()
 
     o = to.read_table(spark, f"{SF_SMALL}/orders.parquet")
     got = sorted((r.o_orderdate, r.o_totalprice) for r in
