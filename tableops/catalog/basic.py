@@ -36,10 +36,10 @@ def top_customers_revenue(spark, sf):
     li = C.calc(li, "multiply", ["l_extendedprice", "_keep"], "net")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    j = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(c, F.col("o_custkey") == F.col("c_custkey")))
-    g = group_by(j, ["c_custkey", "c_name", "c_mktsegment"], [("net", "sum", "revenue")])
-    g = g.withColumn("revenue", F.round("revenue", 2))
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    g = group_by(j, "o_custkey", [("net", "sum", "revenue")])  # one row a customer meets the names
+    g = g.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        "c_custkey", "c_name", "c_mktsegment", F.round("revenue", 2).alias("revenue"))
     return O.top_k(g, "revenue", 5, tie_break=["c_custkey"])
 
 

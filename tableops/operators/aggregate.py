@@ -151,8 +151,10 @@ def pivot_table(df: DataFrame, index: str | Sequence[str], column: str,
     else:
         check_fn(fn)
         cells_df = aggregate(base, index + [column], [(value, fn, "_cell")], approx)
+    if values is None:
+        values = _pivot_values(base, column)
     # the pivot runs over one row per (index, column) cell, not over the input rows
-    out = (cells_df.groupBy(*index).pivot(column, list(values) if values is not None else None)
+    out = (cells_df.groupBy(*index).pivot(column, list(values) if values else None)
            .agg(F.first("_cell")))
     cells = [c for c in out.columns if c not in index]
     if value is not None and fn.lower() not in ("sum", "count") and cells:
@@ -164,6 +166,16 @@ def pivot_table(df: DataFrame, index: str | Sequence[str], column: str,
     return out.na.fill(0, subset=cells) if cells else out
 
 
+def _pivot_values(df: DataFrame, column: str) -> list:
+    """The distinct values of ``column`` in order, from that column alone (the cells need not
+    be computed to know them); more than ``spark.sql.pivotMaxValues`` raise."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    got = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{column!r} has more than {most} distinct values; pass values")
+    return sorted(got)
+
+
 def cross_tab(df: DataFrame, a: str, b: str, values: Sequence | None = None,
               totals: bool = True, total_label: str = "Total") -> DataFrame:
     """A5: count table of ``a`` x ``b`` with a ``Total`` column and row.
@@ -179,7 +191,9 @@ def cross_tab(df: DataFrame, a: str, b: str, values: Sequence | None = None,
     lab_a = F.when(F.col("_ga") == 1, F.lit(total_label)).otherwise(F.col(a).cast("string"))
     lab_b = F.when(F.col("_gb") == 1, F.lit(total_label)).otherwise(F.col(b).cast("string"))
     cube = cube.select(lab_a.alias(a), lab_b.alias("_b"), "_n")
-    pv = None if values is None else [str(v) for v in values] + [total_label]
+    if values is None:
+        values = _pivot_values(base.select(F.col(b).cast("string").alias(b)), b)
+    pv = [str(v) for v in values] + [total_label]
     out = cube.groupBy(a).pivot("_b", pv).agg(F.first("_n"))
     cells = [c for c in out.columns if c != a]
     return out.na.fill(0, subset=cells)
