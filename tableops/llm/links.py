@@ -76,7 +76,7 @@ def _central(shared: DataFrame) -> DataFrame:
 
 
 def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame], info: DataFrame,
-           longs: int, least: int) -> DataFrame:
+           longs: int = 0, least: int = 0) -> DataFrame:
     """Components of the graph of all similar pairs that share a bucket.
 
     ``similar`` keeps the pairs (``a``, ``b``) that are similar; ``info`` has ``node``, all its
@@ -85,8 +85,8 @@ def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame], info: D
     component, with the most central one outside their main component, a few times; and at
     last every member outside the main component with the members of other components.
     Pairs inside a component are never compared, they could not change it. In the last step
-    a pair is met in its first common bucket only, and passed on if ``least`` registers of its
-    sketches agree; the join itself tests both, so that what it emits are near pairs."""
+    a pair is met in its first common bucket only, and with ``longs`` passed on if ``least``
+    registers of its sketches agree; the join itself tests both."""
     shared = _central(shared)
     edges = None
     label = None
@@ -111,14 +111,15 @@ def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame], info: D
             chosen = outside.groupBy(F.col("bucket").alias("_bucket")).agg(F.min(order).alias("_c")) \
                 .select("_bucket", F.col("_c.node").alias("a"), F.col("_c.root").alias("_ra"))
         else:
-            own = info.select(F.col("node").alias("_n"), "bands", "sketch")
+            sketch = F.col("sketch") if longs else F.lit(None).cast("array<long>").alias("sketch")
+            own = info.select(F.col("node").alias("_n"), "bands", sketch)
             named = cut_lineage(named.join(own, F.col("node") == F.col("_n")).drop("_n"))
             chosen = named.filter(F.col("root") != F.col("_main")).select(
                 F.col("bucket").alias("_bucket"), F.col("node").alias("a"), F.col("root").alias("_ra"),
                 F.col("bands").alias("_bands"), F.col("sketch").alias("_sketch"))
             once = (F.col("root") == F.col("_main")) | (F.col("a") < F.col("node"))
-            meet = meet & once & (_agreeing(F.col("sketch"), F.col("_sketch"), longs) >= least) \
-                & (F.array_intersect("bands", "_bands")[0] == F.col("bucket"))
+            near = _agreeing(F.col("sketch"), F.col("_sketch"), longs) >= least if longs else F.lit(True)
+            meet = meet & once & near & (F.array_intersect("bands", "_bands")[0] == F.col("bucket"))
         pairs = named.join(chosen, meet).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         found = cut_lineage(similar(pairs))
         edges = found if edges is None else edges.unionByName(found)
