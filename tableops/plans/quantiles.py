@@ -32,7 +32,8 @@ def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
     by = as_list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
-    named = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
+    # overall: one group, whose key is no constant, so that joins and windows keep a key
+    named = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.pmod(F.xxhash64(x), F.lit(1)).alias("_k0")]
     base = df.select(*named, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
     def same(names: Sequence[str], suffix: str) -> Column:
@@ -41,6 +42,8 @@ def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float],
     points = F.percentile_approx("_x", F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)]), 1000)
     facts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array_distinct(points).alias("_points")) \
         .withColumnsRenamed({k: k + "f" for k in keys})
+    if not by:
+        facts = F.broadcast(facts)  # one row
     placed = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).join(facts, same(keys, "f")) \
         .withColumn("_b", F.size(F.filter("_points", lambda p: p < F.col("_x")))).select(*keys, "_x", "_c", "_n", "_b")
     order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
