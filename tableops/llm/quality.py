@@ -49,11 +49,12 @@ def _covered(words: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get(p, k - 1), x - 3)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"),
-        i.alias("i")))
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(
+            F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(
-        let(F.sort_array(windows), lambda s: let(places(s), union)))
+        let(words, lambda w: let(F.sort_array(windows(w)), lambda s: let(places(s), union))))
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -118,4 +119,6 @@ def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df`` that pass, with their columns as they were."""
     whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"),
                       whole_text(df[text]).alias("_text"))
-    return _judged(whole, "_text", rules).filter("kept").select("_row.*")
+    # the explode of one element keeps the filter, and with it every measure, in one place
+    judged = _judged(whole, "_text", rules).select("_row", F.explode(F.array("kept")).alias("_pass"))
+    return judged.filter("_pass").select("_row.*")
