@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line
-ends; sentences of more than LONG words are cut again every half of that). From every
-sentence the run of consecutive sentences begins that is the shortest with at least LEAST_SENTENCES
+ends; sentences of more than LONG words are cut again where a hash of two words is the least in
+a window of LONG words, so that equal passages are cut alike wherever they stand, and no piece
+is longer). From every sentence the run of consecutive sentences begins that is the shortest with at least LEAST_SENTENCES
 sentences and LEAST_WORDS words. All runs are hashed to 128 bits, in lower case and with single
 spaces, and met globally: counted per hash, combined before the shuffle, so that a passage
 shared by a third of all documents is a few rows a task. Places of repeated runs meet the
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -25,37 +28,74 @@ from tableops.llm.common import by_value, pick, portions, whole_text, wide_key
 from tableops.plans.lineage import cut_lineage
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
-LONG = 24
+#: A passage loses at most LONG words before its first cut that all its copies share and LONG + 1
+#: after the last, so that 51 words leave 20, in two pieces at least.
+LONG = 15
 AT_ONCE = 4_000_000
 BORDER = re.compile(r"(?:[.!?]+(?=\s)|\n)\s*")
 WORD = re.compile(r"\S+\s*")
 
 
-def sentences(text: str) -> list[str]:
-    """The text in pieces that joined give it back."""
+def _whole_sentences(text: str) -> list[str]:
+    """The text cut at sentence borders only; leading white space is no sentence."""
     out, at = [], 0
     for m in BORDER.finditer(text):
-        out.append(text[at:m.end()])
-        at = m.end()
+        if at or not text[:m.end()].isspace():
+            out.append(text[at:m.end()])
+            at = m.end()
     if at < len(text):
         out.append(text[at:])
-    if len(text) < LONG:
-        return out
-    cut = []
-    for s in out:
-        if s.count(" ") < LONG or len(words := WORD.findall(s)) <= LONG:
-            cut.append(s)
+    return out
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where a sentence of more than LONG words (in lower case) is cut: at the last least hash
+    of two words in every window of LONG words."""
+    h = [crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in pairwise(words)]
+    h.append(crc32(words[-1].encode("utf-8", "surrogatepass")))
+    out, at = [], -1
+    for end in range(LONG, len(h) + 1):
+        if at < end - LONG:
+            window = h[end - LONG:end]
+            at = end - 1 - window[::-1].index(min(window))
+        elif h[end - 1] <= h[at]:
+            at = end - 1
+        else:
+            continue
+        if at:
+            out.append(at)
+    return out
+
+
+def sentences(text: str) -> list[str]:
+    """The text in pieces that joined give it back."""
+    out = []
+    for s in _whole_sentences(text):
+        if len(s) < 2 * LONG or len(words := WORD.findall(s)) <= LONG:
+            out.append(s)
             continue
         lead = s[:len(s) - sum(map(len, words))]
-        parts = ["".join(words[k:k + LONG // 2]) for k in range(0, len(words), LONG // 2)]
-        cut += [lead + parts[0], *parts[1:]]
-    return cut
+        parts = ["".join(words[i:j]) for i, j in pairwise([0, *_cuts(s.lower().split()), len(words)])]
+        out += [lead + parts[0], *parts[1:]]
+    return out
+
+
+def _sentence_words(text: str) -> list[list[str]]:
+    """The words of each of the ``sentences``, in lower case."""
+    out = []
+    for s in _whole_sentences(text):
+        words = s.lower().split()
+        if len(words) <= LONG:
+            out.append(words)
+        else:
+            out += [words[i:j] for i, j in pairwise([0, *_cuts(words), len(words)])]
+    return out
 
 
 def runs(text: str) -> list[tuple[int, int, int]]:
     """For each sentence that a run begins with: two halves of the run's hash and its number
     of sentences."""
-    plain = [(" ".join(w), len(w)) for w in (s.lower().split() for s in sentences(text))]
+    plain = [(" ".join(w), len(w)) for w in _sentence_words(text)]
     out = []
     end, words = 0, 0
     for start, (_, n) in enumerate(plain):

@@ -197,6 +197,28 @@ def test_spans(spark, rows):
          [(k, "".join(s for i, s in enumerate(spans.sentences(t)) if i not in want[k, t][0]) if (k, t) in want else t) for k, t in rows])
 
 
+def test_long_sentences_are_cut_alike_at_any_offset():
+    r = random.Random(3)
+
+    def plain(n):
+        return ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 5))) for _ in range(n)]
+    for ends in ([], [13, 37], [15, 31], [24], [16, 35]):
+        passage = plain(51)
+        for e in ends:
+            passage[e - 1] += "."
+        known = {run[:2] for run in spans.runs(" ".join(plain(7) + passage + plain(9)))}
+        for offset in range(60):
+            text = "\t".join(plain(offset) + passage + plain(r.randint(0, 60)))
+            assert "".join(spans.sentences(text)) == text
+            assert all(len(s.split()) <= spans.LONG for s in spans.sentences(text))
+            assert known & {run[:2] for run in spans.runs(text)}, (ends, offset)
+
+
+def test_leading_blanks_begin_no_run(spark):
+    text = "\n" + "one two three four five six seven eight nine ten. a b c d e f g h i j."
+    assert spans.repeated_spans(table(spark, [(1, text)])).collect() == []
+
+
 def test_shards(spark, rows):
     for n in (3, 8):
         got = shards.shard_rows(table(spark, rows), n).collect()
