@@ -3,8 +3,10 @@
 A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line
 ends; sentences of more than LONG words are cut again where a hash of two words is the least in
 a window of LONG words, so that equal passages are cut alike wherever they stand, and no piece
-is longer). From every sentence the run of consecutive sentences begins that is the shortest with at least LEAST_SENTENCES
-sentences and LEAST_WORDS words. All runs are hashed to 128 bits, in lower case and with single
+is longer). At every sentence begins and ends a run of consecutive sentences that is the
+shortest with at least LEAST_SENTENCES sentences and LEAST_WORDS words; any longer run that is
+repeated is covered by the shortest ones inside it, its head by those that begin there and its
+tail by those that end there. All these runs are hashed to 128 bits, in lower case and with single
 spaces, and met globally: counted per hash, combined before the shuffle, so that a passage
 shared by a third of all documents is a few rows a task. Places of repeated runs meet the
 run's first place, by document key, text and sentence; all sentences inside a run that is
@@ -92,11 +94,11 @@ def _sentence_words(text: str) -> list[list[str]]:
     return out
 
 
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """For each sentence that a run begins with: two halves of the run's hash and its number
-    of sentences."""
+def runs(text: str) -> list[tuple[int, int, int, int]]:
+    """The shortest run that begins at each sentence and the shortest that ends at each, none
+    twice: first sentence, two halves of the run's hash and its number of sentences."""
     plain = [(" ".join(w), len(w)) for w in _sentence_words(text)]
-    out = []
+    found = set()
     end, words = 0, 0
     for start, (_, n) in enumerate(plain):
         while end < len(plain) and (words < LEAST_WORDS or end - start < LEAST_SENTENCES):
@@ -104,14 +106,25 @@ def runs(text: str) -> list[tuple[int, int, int]]:
             end += 1
         if words < LEAST_WORDS or end - start < LEAST_SENTENCES:
             break
-        h = xxhash.xxh3_128_intdigest(" ".join([p for p, _ in plain[start:end]]).encode("utf-8", "surrogatepass"))
-        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), end - start))
+        found.add((start, end))
         words -= n
+    start, words = 0, 0
+    for end, (_, n) in enumerate(plain, 1):
+        words += n
+        while end - start > LEAST_SENTENCES and words - plain[start][1] >= LEAST_WORDS:
+            words -= plain[start][1]
+            start += 1
+        if words >= LEAST_WORDS and end - start >= LEAST_SENTENCES:
+            found.add((start, end))
+    out = []
+    for start, end in sorted(found):
+        h = xxhash.xxh3_128_intdigest(" ".join([p for p, _ in plain[start:end]]).encode("utf-8", "surrogatepass"))
+        out.append((start, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), end - start))
     return out
 
 
-RUN = "struct<hi:bigint,lo:bigint,len:int>"
-_RUN_TYPE = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("len", pa.int32())])
+RUN = "struct<_at:int,hi:bigint,lo:bigint,len:int>"
+_RUN_TYPE = pa.struct([("_at", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("len", pa.int32())])
 
 
 def _run_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -123,33 +136,32 @@ def _run_rows(df: DataFrame, key: str, text: str) -> DataFrame:
         F.struct(F.col("_key").alias("_key"), thi.alias("_thi"), tlo.alias("_tlo")).alias("_doc"), body.alias("_text"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [f.type for f in _RUN_TYPE]
         for batch in batches:
             for start, texts in portions(batch, 1, AT_ONCE):
-                offsets, his, los, lens = [0], [], [], []
+                offsets, columns = [0], [[] for _ in types]
                 for t in texts:
-                    for hi, lo, n in runs(t):
-                        his.append(hi)
-                        los.append(lo)
-                        lens.append(n)
-                    offsets.append(len(his))
-                flat = pa.StructArray.from_arrays(
-                    [pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(lens, pa.int32())], fields=list(_RUN_TYPE))
+                    for run in runs(t):
+                        for column, value in zip(columns, run):
+                            column.append(value)
+                    offsets.append(len(columns[0]))
+                flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], fields=list(_RUN_TYPE))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
                     names=["_doc", "_runs"])
 
     out = base.mapInArrow(found, f"_doc {base.schema['_doc'].dataType.simpleString()}, _runs array<{RUN}>")
-    return out.select("_doc.*", F.posexplode("_runs").alias("_at", "_run")).select("_key", "_thi", "_tlo", "_at", "_run.*")
+    return out.select("_doc.*", F.explode("_runs").alias("_run")).select("_key", "_thi", "_tlo", "_run.*")
 
 
 def _repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     """(``_key``, ``_thi``, ``_tlo``, ``removed``, ``first``): for each document that loses
     sentences their numbers, and the keys of the documents that had them first."""
     rows = _run_rows(df, key, text)
-    several = rows.groupBy(F.col("hi").alias("_h"), F.col("lo").alias("_l")).agg(F.count(F.lit(1)).alias("_n")) \
-        .filter("_n > 1").select("_h", "_l")
+    # half of the hash is enough to pass over what does not repeat; both halves decide below
+    several = rows.groupBy(F.col("hi").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
     # written first, so that the join deals out both sides itself and can split hot runs
-    places = rows.join(cut_lineage(several), (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
+    places = rows.join(cut_lineage(several), F.col("hi") == F.col("_h")) \
         .select("hi", "lo", "len", F.struct("_key", "_thi", "_tlo", "_at").alias("_place"))
     places = cut_lineage(places)
     first = places.groupBy(F.col("hi").alias("_h"), F.col("lo").alias("_l")).agg(

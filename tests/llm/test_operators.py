@@ -206,12 +206,12 @@ def test_long_sentences_are_cut_alike_at_any_offset():
         passage = plain(51)
         for e in ends:
             passage[e - 1] += "."
-        known = {run[:2] for run in spans.runs(" ".join(plain(7) + passage + plain(9)))}
+        known = {run[1:3] for run in spans.runs(" ".join(plain(7) + passage + plain(9)))}
         for offset in range(60):
             text = "\t".join(plain(offset) + passage + plain(r.randint(0, 60)))
             assert "".join(spans.sentences(text)) == text
             assert all(len(s.split()) <= spans.LONG for s in spans.sentences(text))
-            assert known & {run[:2] for run in spans.runs(text)}, (ends, offset)
+            assert known & {run[1:3] for run in spans.runs(text)}, (ends, offset)
 
 
 def test_leading_blanks_begin_no_run(spark):
@@ -219,6 +219,30 @@ def test_leading_blanks_begin_no_run(spark):
     assert spans.repeated_spans(table(spark, [(1, text)])).collect() == []
 
 
+def test_spans_against_all_runs(spark):
+    """Every sentence of any repeated run but the first goes, however long the run."""
+    r = random.Random(8)
+    stock = [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(r.choice([1, 3, 7, 9, 12, 14]))) + "."
+             for _ in range(40)]
+    rows = []
+    for k in range(30):
+        at = r.randrange(30)
+        own = [prose(r, r.randint(0, 13)).replace(".", "") + "." for _ in range(4)]
+        rows.append((k, " ".join(own[:2] + stock[at:at + r.randint(2, 10)] + own[2:])))
+    first, want = set(), {}
+    for k, t in rows:
+        plain = [s.lower().split() for s in spans.sentences(t)]
+        for i in range(len(plain)):
+            for j in range(i + spans.LEAST_SENTENCES, len(plain) + 1):
+                run = tuple(w for p in plain[i:j] for w in p)
+                if len(run) >= spans.LEAST_WORDS:
+                    if run in first:
+                        want.setdefault(k, set()).update(range(i, j))
+                    first.add(run)
+    got = spans.repeated_spans(table(spark, rows)).collect()
+    same([(x.doc_id, list(x.removed)) for x in got], [(k, sorted(v)) for k, v in want.items()])
+
+
 def test_shards(spark, rows):
     for n in (3, 8):
         got = shards.shard_rows(table(spark, rows), n).collect()
