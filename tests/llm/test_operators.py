@@ -107,6 +107,21 @@ def test_lines(spark, rows):
          [(k, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t]) if (k, t or "") in gone else t) for k, t in rows])
 
 
+@pytest.mark.parametrize("union", [10, 20, 40])
+def test_like_lines_share_a_band(spark, union):
+    """Short lines, too: pairs at exactly 0.8 share a band with a probability of 0.997."""
+    r = random.Random(union)
+    n, side = 3000, union // 10
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    rows = []
+    for k in range(n):
+        x = "".join(r.choices(letters, k=union + 6))
+        rows += [(k, 0, x[:len(x) - side]), (k, 1, x[side:])]
+    got = lines.signatures(spark.createDataFrame(rows, "hi long, lo long, _line string")).collect()
+    bands = {(x.hi, x.lo): set(x.bands) for x in got}
+    assert sum(bool(bands[k, 0] & bands[k, 1]) for k in range(n)) >= 0.993 * n
+
+
 def test_near(spark, rows):
     names = brute.near_class(rows)
     least = {}
