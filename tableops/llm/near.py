@@ -27,10 +27,10 @@ from tableops.plans.lineage import cut_lineage
 
 WORDS = 5
 SIMILAR = 0.8
-#: 21 bands of 6: a pair at 0.8 shares a bucket with probability 0.998. Beyond the stars, it is
-#: compared if 92 of 128 sketch registers agree, with probability 0.996; at 0.85 both exceed 0.9999.
-REGISTERS, ROWS, BANDS = 128, 6, 21
-SKETCH_LONGS, AGREE = REGISTERS // 16, 92
+#: 25 bands of 5: a pair at 0.8 shares no bucket with probability 0.00005. Beyond the stars, it is
+#: compared if 86 of 128 sketch registers agree, and missed with another 0.00005.
+REGISTERS, ROWS, BANDS = 128, 5, 25
+SKETCH_LONGS, AGREE = REGISTERS // 16, 86
 #: Characters that a Python worker takes up at once.
 AT_ONCE = 1_200_000
 KEPT_WORDS = 500_000
