@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableops.catalog.common import Registry, table
 from tableops.llm.bpe import ids_digest, recode_texts
+from tableops.llm.common import let, whole_text
 from tableops.llm.decontam import find_leaks
+from tableops.llm.divergence import source_divergence
 from tableops.llm.lines import line_dedup
 from tableops.llm.near import near_dedup
+from tableops.llm.periodic import periodic_runs
 from tableops.llm.quality import STOP_WORDS, quality_rules
 from tableops.llm.secrets import BASE_RULES, find_secrets
 from tableops.llm.shards import shard_rows
 from tableops.llm.spans import repeated_spans
+from tableops.llm.toxicity import toxicity
 from tableops.llm.urls import filter_urls
 from tableops.llm.warc import audit, lay_out, record_text
 from tableops.plans.lineage import cut_lineage
@@ -162,3 +166,71 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
+
+
+def _planted(key: Column, text: Column) -> Column:
+    """The text, of every tenth key (by its checksum) with a periodic end of its own words: from
+    word a on, word i becomes word a + (i - a) modulo p. A NULL key counts as the empty text."""
+    h = F.crc32(F.coalesce(key.cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def ended(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        return let(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).cast("int").alias("p")), lambda x: F.array_join(
+            F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < x["a"], i).otherwise(
+                x["a"] + (i - x["a"]) % x["p"]))), " "))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, ended(w)).otherwise(F.lit("")))).otherwise(text)
+
+
+@R.add("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _planted(F.col("doc_id"), whole_text("text")).alias("text"))
+    runs = periodic_runs(docs)
+    rows = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    top = F.col("strongest")
+    return runs.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.call_function("div", top["length"] * 1000, top["period"]).alias("exponent_milli"),
+        F.sha2(rows.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+@R.add("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS MATERIALIZED (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+langs AS MATERIALIZED (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+c AS MATERIALIZED (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term
+      GROUP BY t.lang, t.source, t.term),
+g AS MATERIALIZED (SELECT g.lang, g.source, coalesce(s.total, 0)::BIGINT AS total
+      FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM c GROUP BY lang, source) s
+        ON g.lang = s.lang AND g.source = s.source),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::BIGINT AS n,
+        1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.total + 2 * langs.v) AS p,
+        1 + (1000000000 * (kept.n + 2)) // (langs.total + 2 * langs.v) AS q
+      FROM g JOIN langs ON g.lang = langs.lang JOIN kept ON kept.lang = g.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM part)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@R.add("op13_source_divergence", DIVERGENCE_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
