@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableops.plans.lineage import cut_lineage
+from tableops.session import ensure_checkpoint_dir
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -46,15 +47,36 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new name in the shared checkpoint folder, for the tables that an operator writes on
+    its way."""
+    return f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4()}"
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written as a table below ``folder`` and read again: cuts the lineage as a
+    checkpoint does, but compressed, and with a size that Spark knows."""
+    spark = df.sparkSession
+    path = f"{folder or work_folder(spark)}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of tables that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a few numbers that are broadcast at most: some 100 MB as a hash table.
 SMALL = 1_000_000
 
 
-def checked_broadcast(df: DataFrame, limit: int = SMALL) -> DataFrame:
+def checked_broadcast(df: DataFrame, folder: str | None = None, limit: int = SMALL) -> DataFrame:
     """``df`` (rows of a few numbers), written and counted; marked for broadcast up to
     ``limit`` rows, else left to a shuffled join."""
-    df = cut_lineage(df)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    df = written(df, folder)
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def worker_store() -> dict:
