@@ -17,29 +17,28 @@ the first sum is V f(z, z'), the second and third go over a source's own counts,
 over the pairs of a row. Rows are inserted into a frequent-pattern tree in the order of the
 sources: equal beginnings share a path, whose nodes count the rows that pass them, and c is
 taken once for each node and each of its ancestors, times the node's count. Rows are dealt out
-by ranges of their own order, so that a task's rows are a few whole subtrees, and sorted: the tree is
-walked depth first while it is built, and a task holds one path of it. A path cut by a range
-border is counted in parts, whose sums add up.
+by ranges of their own order and sorted, so that a task's rows are a few whole subtrees, of which it
+holds a block of rows at a time. A path cut by a border is counted in parts, whose sums add up.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, checked_broadcast, pick, whole_text
-from tableops.plans.lineage import cut_lineage
+from tableops.llm.common import by_value, checked_broadcast, pick, whole_text, written
 
 SCALE, LEAST_DOCS, TOP_TERMS = 1_000_000_000, 10, 10
 #: Distinct terms that a Python worker counts before it passes them on.
-HELD_TERMS = 200_000
-#: Pair corrections that a Python worker holds before it adds them up.
-HELD_PAIRS = 1_000_000
+HELD_TERMS = 400_000
+#: Items of rows (padded to equal length) that a Python worker makes a tree of at once.
+HELD_ITEMS = 400_000
 #: Bytes to term bytes: A-Z lower-cased, every other ASCII byte that is no letter a space.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -57,9 +56,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in counts.items():
             terms = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                 pa.array([t.decode("utf-8") for t in terms], pa.string()), pa.array([n[t] for t in terms], pa.int64()),
-                 pa.array([docs[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+                [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string()),
+                 pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
+                names=["lang", "source", "term", "n", "docs"])
         counts.clear()
 
     held = 0
@@ -88,73 +87,61 @@ def _difference(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _apart(p: np.ndarray, q: np.ndarray | int) -> np.ndarray:
+def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     d = p - q
     return d * d // (p + q)
 
 
-def _added(lang: str, one: list[np.ndarray], two: list[np.ndarray], value: list[np.ndarray]) -> pa.RecordBatch:
-    """The corrections of a language added up by pair."""
-    one, two, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two, value))
-    order = np.lexsort((two, one))
-    one, two, value = one[order], two[order], value[order]
-    first = np.ones(len(one), dtype=bool)
-    first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    at = np.flatnonzero(first)
-    total = np.add.reduceat(value, at) if len(at) else value
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(one[at]), pa.array(two[at]),
-                                       pa.array(total)], names=["lang", "s", "t", "v"])
+def _padded(flat: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    out = np.zeros(inside.shape, dtype=np.int64)
+    out[inside] = flat
+    return out
+
+
+def _path_sums(items: np.ndarray, size: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair corrections of the tree of a language's sorted rows, added up by pair: sources, later
+    sources, values. ``items`` holds (source, count, share, share of a missing term) of all
+    rows in turn, ``size`` items a row; ``many`` terms have that row.
+
+    The tree is made level by level: its nodes at a depth are the stretches of rows that
+    agree up to there."""
+    inside = np.arange(size.max()) < size[:, None]
+    s, n, p, z = (_padded(c, inside) for c in items)
+    other = (s[1:] != s[:-1]) | (n[1:] != n[:-1]) | ~inside[1:] | ~inside[:-1]
+    shared = np.concatenate([[0], np.where(other.any(axis=1), other.argmax(axis=1), inside.shape[1])])
+    base = int(s.max()) + 1
+    pairs, values = [], []
+    for depth in range(1, inside.shape[1]):
+        first = np.flatnonzero(shared <= depth)
+        passed = np.add.reduceat(many, first)
+        node = inside[first, depth]
+        first, passed = first[node], passed[node, None]
+        own, q, y = (x[first, depth][:, None] for x in (s, p, z))
+        above, p_above, z_above = (x[first, :depth] for x in (s, p, z))
+        values.append((passed * (_apart(p_above, q) - _apart(p_above, y) - _apart(z_above, q) + _apart(z_above, y))).ravel())
+        pairs.append((above * base + own).ravel())
+    pairs, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, values))
+    met, at = np.unique(pairs, return_inverse=True)
+    total = np.zeros(len(met), dtype=np.int64)
+    np.add.at(total, at, values)
+    return met // base, met % base, total
 
 
 def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (lang, items of (source, count, share, share of a missing term), terms)
     to partial sums (lang, source, later source, value) of pair corrections."""
-    lang = None
-    path: list[tuple] = []  # the open nodes from the root on
-    passed: list[int] = []  # rows that passed each
-    cols = np.zeros((3, 64), dtype=np.int64)  # source, share and missing share of the open nodes
-    one: list[np.ndarray] = []
-    two: list[np.ndarray] = []
-    value: list[np.ndarray] = []
-    held = 0
-
-    def close(depth: int) -> None:
-        """Ends the nodes from ``depth`` on, the deepest first."""
-        nonlocal held
-        while len(path) > depth:
-            path.pop()
-            n, k = passed.pop(), len(path)
-            if k:
-                passed[-1] += n
-                s, p, z = cols[0, :k], cols[1, :k], cols[2, :k]
-                own, q, y = (int(x) for x in cols[:, k])
-                one.append(s.copy())
-                two.append(np.full(k, own))
-                value.append(n * (_apart(p, q) - _apart(p, y) - _apart(z, q) + _apart(z, y)))
-                held += k
-
     for batch in batches:
-        for row_lang, row, terms in zip(*[batch.column(k) for k in range(3)]):
-            row_lang, items = row_lang.as_py(), [tuple(x.values()) for x in row.as_py()]
-            same = 0
-            if row_lang == lang:
-                while same < min(len(path), len(items)) and path[same] == items[same]:
-                    same += 1
-            close(same)
-            if (row_lang != lang or held >= HELD_PAIRS) and held:
-                yield _added(lang, one, two, value)
-                one, two, value, held = [], [], [], 0
-            lang = row_lang
-            while len(items) > cols.shape[1]:
-                cols = np.concatenate([cols, np.zeros_like(cols)], axis=1)
-            for k in range(same, len(items)):
-                path.append(items[k])
-                passed.append(0)
-                cols[:, k] = (items[k][0], items[k][2], items[k][3])
-            passed[-1] += terms.as_py()
-    close(0)
-    if held:
-        yield _added(lang, one, two, value)
+        langs = batch.column(0).to_numpy(zero_copy_only=False)
+        rows, many = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+        size = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        items = np.stack([c.to_numpy(zero_copy_only=False) for c in rows.flatten().flatten()])
+        end = np.cumsum(size)
+        borders = {0, len(langs), *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(),
+                   *range(0, len(langs), max(1, HELD_ITEMS // int(size.max(initial=1))))}
+        for a, b in pairwise(sorted(borders)):
+            one, two, value = _path_sums(items[:, end[a] - size[a]:end[b - 1]], size[a:b], many[a:b])
+            yield pa.RecordBatch.from_arrays([pa.repeat(langs[a], len(one)), pa.array(one), pa.array(two), pa.array(value)],
+                                             names=["lang", "s", "t", "v"])
 
 
 def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -171,10 +158,10 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
         *[whole_text(c).alias(c) for c in ("lang", "source")], F.encode(whole_text("_text"), "UTF-8").alias("_text"))
     counts = base.mapInArrow(_counted, "lang string, source string, term string, n long, docs long") \
         .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = cut_lineage(counts)
+    counts = written(counts)
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")) \
         .filter(F.col("docs") >= least_docs).select(F.col("lang").alias("_l"), F.col("term").alias("_t"), "all")
-    own = cut_lineage(counts.join(cut_lineage(kept), (F.col("lang") == F.col("_l")) & (F.col("term") == F.col("_t")))
+    own = written(counts.join(written(kept), (F.col("lang") == F.col("_l")) & (F.col("term") == F.col("_t")))
                       .select("lang", "source", "term", "n", "all"))
     # groups: their number within the language, N, V and the share of a term that they lack
     langs = own.groupBy("lang", "term").agg(F.first("all").alias("n")).groupBy(F.col("lang").alias("_l")) \
@@ -187,7 +174,7 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
                 F.coalesce("total_lang", F.lit(0)).alias("total_lang"))
     groups = groups.withColumn("s", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")) \
         .withColumn("z", F.when(F.col("terms") > 0, _share(0, F.col("total"), F.col("terms"))))
-    groups = cut_lineage(groups)
+    groups = written(groups)
 
     known = checked_broadcast(groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "s", "z", "total", "terms", "total_lang"))
     shares = own.join(known, (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_s"))).withColumns({
@@ -200,7 +187,7 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
     # rows of the tree; equal ones are one, with the number of their terms
     rows = shares.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("s", "n", "p", "z"))).alias("row")) \
         .groupBy("lang", "row").agg(F.count(F.lit(1)).alias("m"))
-    rows = cut_lineage(rows)
+    rows = written(rows)
     paths = rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row")
     corrections = paths.mapInArrow(_corrected, "lang string, s long, t long, v long")
     single = rows.select("lang", "m", F.explode("row").alias("x")).groupBy("lang", "x.s", "x.p", "x.z").agg(F.sum("m").alias("m"))
@@ -212,7 +199,7 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
         .select("lang", "s", "t", F.coalesce(F.col("terms") * zeros, F.lit(0)).alias("v"))
     parts = base_sums.unionByName(singles.select("lang", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), "v")) \
         .unionByName(corrections)
-    sums = cut_lineage(parts.groupBy("lang", "s", "t").agg(F.sum("v").alias("value")))
+    sums = written(parts.groupBy("lang", "s", "t").agg(F.sum("v").alias("value")))
     both = sums.unionByName(sums.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "value"))
     names = checked_broadcast(groups.select(F.col("lang").alias("_l"), F.col("s").alias("_n"), "source"))
     mine = names.select(F.col("_l").alias("_ml"), F.col("_n").alias("_mn"), "source")
