@@ -6,12 +6,12 @@ a window of LONG words, so that equal passages are cut alike wherever they stand
 is longer). At every sentence begins and ends a run of consecutive sentences that is the
 shortest with at least LEAST_SENTENCES sentences and LEAST_WORDS words; any longer run that is
 repeated is covered by the shortest ones inside it, its head by those that begin there and its
-tail by those that end there. All these runs are hashed to 128 bits, in lower case and with single
-spaces, and met globally: counted per hash, combined before the shuffle, so that a passage
-shared by a third of all documents is a few rows a task. Places of repeated runs meet the
-run's first place, by document key, text and sentence; all sentences inside a run that is
-not the first go. Hot runs are split by Spark's skew handling, the other side of both joins
-has one row a run.
+tail by those that end there. All these runs are hashed to 96 bits, in lower case and with single
+spaces, and met globally: of each hash the number and the first place, by document key, text
+and sentence, are combined before the shuffle, so that a passage shared by a third of all
+documents is a few rows a task. Places of repeated runs then meet the run's first place; all
+sentences inside a run that is not the first go. Hot runs are split by Spark's skew handling,
+the other side of the join has one row a run.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, pick, portions, whole_text, wide_key
-from tableops.plans.lineage import cut_lineage
+from tableops.llm.common import by_value, pick, portions, whole_text, written
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
 #: A passage loses at most LONG words before its first cut that all its copies share and LONG + 1
@@ -96,7 +95,7 @@ def _sentence_words(text: str) -> list[list[str]]:
 
 def runs(text: str) -> list[tuple[int, int, int, int]]:
     """The shortest run that begins at each sentence and the shortest that ends at each, none
-    twice: first sentence, two halves of the run's hash and its number of sentences."""
+    twice: first sentence, 64 and 32 bits of the run's hash and its number of sentences."""
     plain = [(" ".join(w), len(w)) for w in _sentence_words(text)]
     found = set()
     end, words = 0, 0
@@ -119,21 +118,20 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
     out = []
     for start, end in sorted(found):
         h = xxhash.xxh3_128_intdigest(" ".join([p for p, _ in plain[start:end]]).encode("utf-8", "surrogatepass"))
-        out.append((start, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), end - start))
+        out.append((start, (h >> 64) - (1 << 63), (h & (1 << 32) - 1) - (1 << 31), end - start))
     return out
 
 
-RUN = "struct<_at:int,hi:bigint,lo:bigint,len:int>"
-_RUN_TYPE = pa.struct([("_at", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("len", pa.int32())])
+RUN = "struct<_at:int,hi:bigint,lo:int,len:int>"
+_RUN_TYPE = pa.struct([("_at", pa.int32()), ("hi", pa.int64()), ("lo", pa.int32()), ("len", pa.int32())])
 
 
 def _run_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each run: its document (``_key``, ``_thi``, ``_tlo``), first sentence, hash
-    and length."""
+    """A row for each run: its document (``_key``, and ``_t``, a hash of the text that tells
+    documents of one key apart), first sentence, hash and length."""
     body = whole_text("_text")
-    thi, tlo = wide_key(body)
     base = pick(df, _key=key, _text=text).select(
-        F.struct(F.col("_key").alias("_key"), thi.alias("_thi"), tlo.alias("_tlo")).alias("_doc"), body.alias("_text"))
+        F.struct(F.col("_key").alias("_key"), F.xxhash64(body).alias("_t")).alias("_doc"), body.alias("_text"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [f.type for f in _RUN_TYPE]
@@ -151,27 +149,21 @@ def _run_rows(df: DataFrame, key: str, text: str) -> DataFrame:
                     names=["_doc", "_runs"])
 
     out = base.mapInArrow(found, f"_doc {base.schema['_doc'].dataType.simpleString()}, _runs array<{RUN}>")
-    return out.select("_doc.*", F.explode("_runs").alias("_run")).select("_key", "_thi", "_tlo", "_run.*")
+    return out.select("_doc.*", F.explode("_runs").alias("_run")).select("_key", "_t", "_run.*")
 
 
 def _repeats(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(``_key``, ``_thi``, ``_tlo``, ``removed``, ``first``): for each document that loses
-    sentences their numbers, and the keys of the documents that had them first."""
-    rows = _run_rows(df, key, text)
-    # half of the hash is enough to pass over what does not repeat; both halves decide below
-    several = rows.groupBy(F.col("hi").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
+    """(``_key``, ``_t``, ``removed``, ``first``): for each document that loses sentences their
+    numbers, and the keys of the documents that had them first."""
+    rows = _run_rows(df, key, text).select("hi", "lo", "len", F.struct("_key", "_t", "_at").alias("_place"))
+    first = rows.groupBy(F.col("hi").alias("_h"), F.col("lo").alias("_l")).agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     # written first, so that the join deals out both sides itself and can split hot runs
-    places = rows.join(cut_lineage(several), F.col("hi") == F.col("_h")) \
-        .select("hi", "lo", "len", F.struct("_key", "_thi", "_tlo", "_at").alias("_place"))
-    places = cut_lineage(places)
-    first = places.groupBy(F.col("hi").alias("_h"), F.col("lo").alias("_l")).agg(
-        F.min("_place").alias("_first"), F.max("_place").alias("_last")) \
-        .filter("_first != _last").drop("_last")
-    later = places.join(cut_lineage(first), (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
+    later = rows.join(written(first), (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l"))) \
         .filter(~F.col("_place").eqNullSafe(F.col("_first")))
     covered = F.sequence(F.col("_place._at"), F.col("_place._at") + F.col("len") - 1)
     return later.select("_place.*", covered.alias("_cover"), F.col("_first._key").alias("_from")) \
-        .groupBy("_key", "_thi", "_tlo").agg(
+        .groupBy("_key", "_t").agg(
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("_cover")))).alias("removed"),
             F.sort_array(F.collect_set("_from")).alias("first"))
 
@@ -192,11 +184,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def drop_repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the same rows and columns; ``text`` without the sentences that
     ``repeated_spans`` names. A text that loses nothing stays as it is."""
-    thi, tlo = wide_key(whole_text(df[text]))
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[text].alias("_text"),
-                     df[key].alias("_k"), thi.alias("_h"), tlo.alias("_l"))
-    rows = rows.join(_repeats(df, key, text), (F.col("_h") == F.col("_thi")) & (F.col("_l") == F.col("_tlo"))
-                     & F.col("_k").eqNullSafe(F.col("_key")), "left").select("_row", "_text", "removed")
+                     df[key].alias("_k"), F.xxhash64(whole_text(df[text])).alias("_h"))
+    rows = rows.join(_repeats(df, key, text), (F.col("_h") == F.col("_t")) & F.col("_k").eqNullSafe(F.col("_key")), "left").select("_row", "_text", "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
