@@ -12,24 +12,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import checked_broadcast
-from tableops.plans.lineage import cut_lineage
+from tableops.llm.common import checked_broadcast, written
 
 STAR_ROUNDS = 3
 #: Four-bit registers in a long of a sketch.
 NIBBLES = 0x1111111111111111
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(``node``, ``root``) for every node of ``edges`` (``a``, ``b``) but the roots, which
     are the smallest nodes of their components.
 
     Alternating large-star and small-star steps: each is a minimum per node (combined before
-    the shuffle) and a join back, whose hot keys Spark splits. A round ends in the shared
-    checkpoint folder; the rounds are logarithmic in practice, and only a row count and a
+    the shuffle) and a join back, whose hot keys Spark splits. A round ends in a written
+    table; the rounds are logarithmic in practice, and only a row count and a
     checksum reach the driver."""
-    e = cut_lineage(edges.filter(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = written(edges.filter(F.col("a") != F.col("b")).select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), folder)
     seen = None
     while True:
         facts = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -41,19 +40,19 @@ def components(edges: DataFrame) -> DataFrame:
             .select("_u", F.least("_u", "_v").alias("_m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("_u")) \
             .select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        large = cut_lineage(large)
+        large = written(large, folder)
         least = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
         small = large.join(least, F.col("u") == F.col("_u")).filter(F.col("v") > F.col("_m")) \
             .select(F.col("v").alias("u"), F.col("_m").alias("v"))
-        e = cut_lineage(small.unionByName(least.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct())
+        e = written(small.unionByName(least.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct(), folder)
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
+def shared_buckets(members: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of ``members`` (``bucket``, ``hi``, ``lo``; no row twice) whose bucket holds
     several nodes, as (``bucket``, ``node``)."""
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1") \
         .select(F.col("bucket").alias("_bucket"))
-    return members.join(checked_broadcast(several), F.col("bucket") == F.col("_bucket")) \
+    return members.join(checked_broadcast(several, folder), F.col("bucket") == F.col("_bucket")) \
         .select("bucket", F.struct("hi", "lo").alias("node"))
 
 
@@ -67,61 +66,83 @@ def _agreeing(x: Column, y: Column, longs: int) -> Column:
     return reduce(lambda p, q: p + q, [equal(k) for k in range(longs)])
 
 
-def _central(shared: DataFrame) -> DataFrame:
-    """``shared`` plus ``_rank``, the lower, the more nodes a node meets in all its buckets."""
-    sizes = shared.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    met = shared.join(sizes, F.col("bucket") == F.col("_bucket")).groupBy(F.col("node").alias("_node")) \
+def _central(shared: DataFrame, sizes: DataFrame | None, folder: str | None) -> DataFrame:
+    """``shared`` plus ``_size`` and ``_rank``, the lower, the more nodes a node meets in all its
+    buckets."""
+    many = shared.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    met = shared.join(many, F.col("bucket") == F.col("_bucket")).groupBy(F.col("node").alias("_node")) \
         .agg((-F.sum("_n")).alias("_rank"))
-    return cut_lineage(shared.join(met, F.col("node") == F.col("_node")).select("bucket", "node", "_rank"))
+    if sizes is None:
+        met = met.withColumn("_size", F.lit(None).cast("int"))
+    else:
+        met = met.join(sizes.select(F.col("node").alias("_s"), F.col("size").alias("_size")), F.col("_node") == F.col("_s"))
+    return written(shared.join(met, F.col("node") == F.col("_node")).select("bucket", "node", "_rank", "_size"), folder)
 
 
 def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame], info: DataFrame,
-           longs: int = 0, least: int = 0) -> DataFrame:
+           longs: int = 0, least: int = 0, folder: str | None = None, sizes: DataFrame | None = None,
+           ratio: float = 0.0) -> DataFrame:
     """Components of the graph of all similar pairs that share a bucket.
 
     ``similar`` keeps the pairs (``a``, ``b``) that are similar; ``info`` has ``node``, all its
     ``bands`` and its ``sketch`` of ``longs`` longs. First every bucket's members are compared
-    with the one that meets most others; then, for buckets whose members are not yet one
-    component, with the most central one outside their main component, a few times; and at
-    last every member outside the main component with the members of other components.
-    Pairs inside a component are never compared, they could not change it. In the last step
-    a pair is met in its first common bucket only, and with ``longs`` passed on if ``least``
-    registers of its sketches agree; the join itself tests both."""
-    shared = _central(shared)
-    edges = None
-    label = None
+    with the one that meets most others, which then leaves the bucket; then, for buckets whose
+    members are not yet one component, with the most central one outside their main component,
+    a few times; and at last every member outside the main component with the members of other
+    components. Pairs inside a component are never compared, they could not change it, and no
+    pair is passed to ``similar`` twice. In the last step a pair is met in its first common
+    bucket only, and with ``longs`` passed on if ``least`` registers of its sketches agree; the
+    join itself tests both. With ``sizes`` (``node``, ``size``), pairs whose sizes differ by more than
+    ``ratio`` cannot be similar and are left out. All tables on the way, and the result, are
+    written below ``folder``."""
+    members = _central(shared, sizes, folder)
+    label = tested = None
     for turn in range(STAR_ROUNDS + 1):
-        named = shared.withColumn("root", F.col("node")) if label is None else shared.join(
-            label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-            "bucket", "node", "_rank", F.coalesce("root", "node").alias("root"))
-        if turn:
-            sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
-            main = sizes.groupBy(F.col("bucket").alias("_bucket")).agg(
+        last = turn == STAR_ROUNDS
+        if label is None:
+            named = members.withColumn("root", F.col("node")).withColumn("_main", F.lit(None).cast(members.schema["node"].dataType))
+        else:
+            named = members.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+                "bucket", "node", "_rank", "_size", F.coalesce("root", "node").alias("root"))
+            parts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
+            main = parts.groupBy(F.col("bucket").alias("_bucket")).agg(
                 F.max(F.struct("_n", "root")).alias("_main"), F.count(F.lit(1)).alias("_parts")) \
                 .filter(F.col("_parts") > 1).select("_bucket", F.col("_main.root").alias("_main"))
-            named = cut_lineage(named.join(main, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
+            named = written(named.join(main, F.col("bucket") == F.col("_bucket")).drop("_bucket"), folder)
             if named.isEmpty():
                 break
-        else:
-            named = named.withColumn("_main", F.lit(None).cast(named.schema["root"].dataType))
         outside = named.filter(~F.col("root").eqNullSafe(F.col("_main")))
         meet = (F.col("bucket") == F.col("_bucket")) & (F.col("root") != F.col("_ra"))
-        if turn < STAR_ROUNDS:
-            order = F.struct("_rank", F.xxhash64("node").alias("_o"), "node", "root")
+        if sizes is not None:
+            meet = meet & (F.least("_size", "_other") >= F.greatest("_size", "_other") * ratio)
+        if not last:
+            order = F.struct("_rank", F.xxhash64("node").alias("_o"), "node", "root", "_size")
             chosen = outside.groupBy(F.col("bucket").alias("_bucket")).agg(F.min(order).alias("_c")) \
-                .select("_bucket", F.col("_c.node").alias("a"), F.col("_c.root").alias("_ra"))
+                .select("_bucket", F.col("_c.node").alias("a"), F.col("_c.root").alias("_ra"), F.col("_c._size").alias("_other"))
+            chosen = written(chosen, folder)
         else:
             sketch = F.col("sketch") if longs else F.lit(None).cast("array<long>").alias("sketch")
             own = info.select(F.col("node").alias("_n"), "bands", sketch)
-            named = cut_lineage(named.join(own, F.col("node") == F.col("_n")).drop("_n"))
+            named = written(named.join(own, F.col("node") == F.col("_n")).drop("_n"), folder)
             chosen = named.filter(F.col("root") != F.col("_main")).select(
-                F.col("bucket").alias("_bucket"), F.col("node").alias("a"), F.col("root").alias("_ra"),
+                F.col("bucket").alias("_bucket"), F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("_size").alias("_other"),
                 F.col("bands").alias("_bands"), F.col("sketch").alias("_sketch"))
             once = (F.col("root") == F.col("_main")) | (F.col("a") < F.col("node"))
             near = _agreeing(F.col("sketch"), F.col("_sketch"), longs) >= least if longs else F.lit(True)
             meet = meet & once & near & (F.array_intersect("bands", "_bands")[0] == F.col("bucket"))
         pairs = named.join(chosen, meet).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = cut_lineage(similar(pairs))
-        edges = found if edges is None else edges.unionByName(found)
-        label = components(edges)
+        if tested is not None:
+            pairs = pairs.join(tested.select(F.col("a").alias("_ta"), F.col("b").alias("_tb")),
+                               (F.col("a") == F.col("_ta")) & (F.col("b") == F.col("_tb")), "left_anti")
+        pairs = written(pairs, folder)
+        found = written(similar(pairs), folder)
+        # the components so far stand for the links found before
+        label = components(found if label is None else found.unionByName(
+            label.select(F.col("node").alias("a"), F.col("root").alias("b"))), folder)
+        if not last:
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            # a centre was compared with all others of its bucket
+            members = named.join(chosen.select("_bucket", F.col("a").alias("_centre")),
+                                 (F.col("bucket") == F.col("_bucket")) & (F.col("node") == F.col("_centre")), "left_anti") \
+                .select("bucket", "node", "_rank", "_size")
     return label

@@ -21,16 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, checked_broadcast, pick, portions, whole_text, wide_key
+from tableops.llm.common import by_value, checked_broadcast, pick, portions, removed, whole_text, wide_key, work_folder, written
 from tableops.llm.links import linked, shared_buckets
-from tableops.plans.lineage import cut_lineage
 
 WORDS = 5
 SIMILAR = 0.8
 #: 25 bands of 5: a pair at 0.8 shares no bucket with probability 0.00005. Beyond the stars, it is
-#: compared if 86 of 128 sketch registers agree, and missed with another 0.00005.
-REGISTERS, ROWS, BANDS = 128, 5, 25
-SKETCH_LONGS, AGREE = REGISTERS // 16, 86
+#: compared if 183 of 256 sketch registers agree, and missed with another 0.00005; an unlike pair
+#: at 0.57 passes with 0.0001.
+REGISTERS, ROWS, BANDS = 256, 5, 25
+SKETCH_LONGS, AGREE = REGISTERS // 16, 183
 #: Characters that a Python worker takes up at once.
 AT_ONCE = 1_200_000
 KEPT_WORDS = 500_000
@@ -173,29 +173,31 @@ NODE = "struct<hi:bigint,lo:bigint>"
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct text: ``hi``, ``lo`` (``wide_key`` of the text), ``class_hi``,
     ``class_lo`` (the class), ``class_id`` (the least key of the class), ``class_size``."""
+    folder = work_folder(df.sparkSession)
     base = pick(df, _key=key, _text=text).withColumn("_text", whole_text("_text"))
     hi, lo = wide_key(F.col("_text"))
     keyed = base.select(hi.alias("hi"), lo.alias("lo"), "_text", "_key")
     signed = keyed.select("hi", "lo", "_text").mapInArrow(_signed, "hi long, lo long, bands array<long>, sketch array<long>")
-    signed = cut_lineage(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    shared = cut_lineage(shared_buckets(signed.select(F.explode("bands").alias("bucket"), "hi", "lo")))
-    wanted = checked_broadcast(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct())
+    signed = written(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), folder)
+    shared = written(shared_buckets(signed.select(F.explode("bands").alias("bucket"), "hi", "lo"), folder), folder)
+    wanted = checked_broadcast(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct(), folder)
     texts = keyed.join(wanted, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))) \
         .groupBy("hi", "lo").agg(F.first("_text").alias("_text"))
-    bags = cut_lineage(texts.mapInArrow(_bagged, "hi long, lo long, runs array<long>, counts array<int>")
-                       .select(F.struct("hi", "lo").alias("_node"), "runs", "counts"))
+    bags = written(texts.mapInArrow(_bagged, "hi long, lo long, runs array<long>, counts array<int>")
+                   .select(F.struct("hi", "lo").alias("_node"), "runs", "counts"), folder)
 
     def similar(pairs: DataFrame) -> DataFrame:
         left = bags.select(F.col("_node").alias("_a"), F.col("runs").alias("_ra"), F.col("counts").alias("_ca"))
         both = pairs.join(left, F.col("a") == F.col("_a")).join(bags, F.col("b") == F.col("_node"))
         return both.select("a", "b", "_ra", "_ca", "runs", "counts").mapInArrow(_verified, f"a {NODE}, b {NODE}")
 
-    root = linked(shared, similar, signed.select(F.struct("hi", "lo").alias("node"), "bands", "sketch"), SKETCH_LONGS, AGREE)
+    root = linked(shared, similar, signed.select(F.struct("hi", "lo").alias("node"), "bands", "sketch"), SKETCH_LONGS, AGREE, folder)
     nodes = keyed.groupBy("hi", "lo").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_n"))
     nodes = nodes.join(root.select(F.col("node.hi").alias("_h"), F.col("node.lo").alias("_l"), "root"),
                        (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l")), "left") \
         .select("hi", "lo", "_least", "_n", F.coalesce("root", F.struct("hi", "lo")).alias("_root"))
-    nodes = cut_lineage(nodes)
+    nodes = written(nodes)
+    removed(df.sparkSession, folder)
     classes = nodes.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
     return nodes.join(classes, F.col("_root") == F.col("_r")).select(
         "hi", "lo", F.col("_root.hi").alias("class_hi"), F.col("_root.lo").alias("class_lo"), "class_id", "class_size")
