@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import ahocorasick
@@ -51,6 +52,23 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@cache
+def _character_differences() -> tuple[str, dict[str, str]]:
+    """The characters that only Python's Unicode tables take for letters or digits, and those
+    that the tokenizers library lowers otherwise, with what it makes of them. Code points go by in
+    blocks, so that only the differences are held."""
+    newer, lower = [], {}
+    words = Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True)
+    for first in range(0, 0x110000, 4096):
+        block = [chr(c) for c in range(first, first + 4096) if c != 10 and not 0xD800 <= c < 0xE000]
+        text = "".join(block)
+        known = {c for c, _ in words.pre_tokenize_str(text)}
+        newer += [c for c in regex.findall(r"[\p{L}\p{N}]", text) if c not in known]
+        lowered = Lowercase().normalize_str("\n".join(block)).split("\n")
+        lower |= {c: low for c, low in zip(block, lowered) if c.lower() != low}
+    return "".join(newer), lower | {"Σ": "σ"}
+
+
 def load_spec(path: str) -> dict:
     """What the codec needs of a tokenizer file: vocabulary, merges in order, special tokens
     and the word pattern; ``newer`` and ``lower`` hold characters that Python's Unicode tables
@@ -63,11 +81,8 @@ def load_spec(path: str) -> dict:
              m["end_of_word_suffix"], m["dropout"], t["post_processor"], t["decoder"])
     if shape != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE", "</w>", None, None, None):
         raise ValueError(f"not a word-end BPE file: {shape}")
-    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000)) if c != 10]
-    known = {c for c, _ in Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(every))}
-    newer = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(every)) if c not in known)
-    lower = {c: low for c, low in zip(every, Lowercase().normalize_str("\n".join(every)).split("\n")) if c.lower() != low}
-    return {"newer": newer, "lower": lower | {"Σ": "σ"}, "vocab": m["vocab"], "merges": [tuple(x) for x in m["merges"]], "suffix": m["end_of_word_suffix"],
+    newer, lower = _character_differences()
+    return {"newer": newer, "lower": lower, "vocab": m["vocab"], "merges": [tuple(x) for x in m["merges"]], "suffix": m["end_of_word_suffix"],
             "special": {a["content"]: a["id"] for a in t["added_tokens"]}, "words": pre[0]["pattern"]["Regex"]}
 
 
