@@ -30,7 +30,7 @@ from tableops.operators.aggregate import (  # noqa: F401
     value_counts, column_stat, rollup_totals,
 )
 from tableops.operators.lookup import (  # noqa: F401
-    lookup, index_match, join_tables, fuzzy_match,
+    lookup, index_match, join_tables, fuzzy_match, nearest_match,
 )
 from tableops.operators.quality import (  # noqa: F401
     Rule, allowed, in_range, max_length, unique, blank, of_type,

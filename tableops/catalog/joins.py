@@ -140,3 +140,26 @@ def fuzzy_match(spark, sf):
     p = table(spark, sf, "part")
     types = p.select("p_type")
     return J.fuzzy_match(p.select("p_partkey", "p_name"), types, "p_name", "p_type", "matched_type")
+
+
+NEAREST_SQL = """
+WITH t AS (SELECT c_custkey, substr(c_name, 1, (c_custkey % length(c_name))::INTEGER)
+             || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '' END
+             || substr(c_name, (c_custkey % length(c_name))::INTEGER + 2 - (c_custkey % 2)::INTEGER)
+             || CASE WHEN c_custkey % 7 = 0 THEN ' q' ELSE '' END AS typed FROM customer),
+v AS (SELECT lower(c_name) AS n, min(c_name) AS v FROM customer GROUP BY lower(c_name)),
+d AS (SELECT DISTINCT lower(typed) AS typed FROM t),
+best AS (SELECT typed, v, dist, row_number() OVER (PARTITION BY typed ORDER BY dist, length(n), n) AS k
+         FROM (SELECT typed, n, v, levenshtein(typed, n) AS dist FROM d, v
+               WHERE abs(length(typed) - length(n)) <= 1) WHERE dist <= 1)
+SELECT c_custkey, t.typed, v AS meant, dist::INTEGER AS edits FROM t LEFT JOIN best ON lower(t.typed) = best.typed AND best.k = 1"""
+
+
+@R.add("fuzzy_nearest", NEAREST_SQL)
+def fuzzy_nearest(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    at = (F.col("c_custkey") % F.length("c_name")).cast("int")
+    typed = F.concat(F.substring("c_name", F.lit(1), at), F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(""),
+                     F.substring("c_name", at + 2 - (F.col("c_custkey") % 2).cast("int"), F.length("c_name")),
+                     F.when(F.col("c_custkey") % 7 == 0, " q").otherwise(""))
+    return J.nearest_match(c.withColumn("typed", typed).select("c_custkey", "typed"), c, "typed", "c_name", "meant", max_edits=1, distance="edits")

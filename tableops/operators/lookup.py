@@ -112,9 +112,28 @@ def _nonempty(a: Column) -> Column:
     return F.filter(a, lambda w: w != "")
 
 
-def _lengths(keys: DataFrame) -> Column:
-    """The lengths of the texts in ``keys``, as one array."""
-    return F.coalesce(keys.select(F.collect_set(F.length("_key")).alias("_l")).scalar(), F.array().cast("array<int>"))
+def _size_class(text: Column) -> Column:
+    """The greatest power of two that is not above the text's length."""
+    return F.call_function("shiftleft", F.lit(1), F.floor(F.log2(F.length(text) + F.lit(0.5))).cast("int"))
+
+
+def occurrences(keys: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """The rows of ``texts`` with every ``_key`` of ``keys`` (distinct, not empty) that occurs in
+    their column ``text``.
+
+    An inverted index instead of all substrings: a text is entered under its pieces of the
+    key sizes rounded down to powers of two, so that its entries are its length times a few
+    sizes. A key looks up one piece only, the one that fewest texts hold, and is not looked up at
+    all if one of its pieces is in no text; then the whole key is compared."""
+    sizes = F.coalesce(keys.select(F.collect_set(_size_class(F.col("_key"))).alias("_l")).scalar(), F.array().cast("array<int>"))
+    entered = texts.withColumn("_ls", sizes).select(*texts.columns, F.explode(_pieces(F.col(text), F.col("_ls"))).alias("_piece"))
+    pieces = keys.select("_key", F.explode(_pieces(F.col("_key"), F.array(_size_class(F.col("_key"))))).alias("_piece"))
+    held = entered.join(pieces.select("_piece").distinct(), "_piece", "left_semi") \
+        .groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = pieces.join(held, "_piece", "left").groupBy("_key").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("_r")) \
+        .filter("_r.n > 0").select("_key", F.col("_r._piece").alias("_piece"))
+    return entered.join(rarest, "_piece").filter(F.contains(F.col(text), F.col("_key"))).select(*texts.columns, "_key")
 
 
 def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
@@ -129,8 +148,8 @@ def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
 
     Within one way the choice depends on the value alone, so every key (a whole value, a
     piece of a value, a word, a prefix) keeps one winner by an aggregate, and no list of pairs
-    is made however many terms and values share a prefix. Pieces are taken at the lengths that
-    the other side looks up, so their number follows the length of the texts."""
+    is made however many terms and values share a prefix. What occurs in a text is found by
+    ``occurrences``, at any length."""
     require(df, [left])
     require(ref, [right])
     terms = df.select(F.lower(normalized(left)).alias("_t")).filter(F.col("_t") != "").distinct()
@@ -147,12 +166,12 @@ def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
     asked = terms.select(F.lit(2).alias("_tier"), "_t", t.alias("_key")).unionByName(
         terms.select(F.lit(4).alias("_tier"), "_t", F.explode(F.array_distinct(F.split(t, " "))).alias("_key")))
     wanted = asked.select("_key").distinct()
-    held = values.withColumn("_ls", _lengths(wanted)).select("_val", F.explode(_pieces(n, F.col("_ls"))).alias("_key")).join(wanted, "_key", "left_semi")
+    held = occurrences(wanted, values, "_n").select("_key", "_val")
     whole = values.select(n.alias("_key"), "_val")
     offered = winners(whole, "whole").unionByName(winners(worded, "word")).unionByName(winners(held, "piece")) \
         .unionByName(winners(worded.filter(F.length("_key") >= 3).withColumn("_key", F.substring("_key", 1, 3)), "prefix"))
     inner = whole.select("_key").unionByName(worded.select("_key")).distinct()
-    found_in = terms.withColumn("_ls", _lengths(inner)).select("_t", F.explode(_pieces(t, F.col("_ls"))).alias("_key")).join(inner, "_key", "left_semi")
+    found_in = occurrences(inner, terms, "_t")
     lookups = terms.select(F.lit(1).alias("_tier"), F.lit("whole").alias("_kind"), "_t", t.alias("_key")) \
         .unionByName(asked.select("_tier", F.lit("piece").alias("_kind"), "_t", "_key")) \
         .unionByName(found_in.select(F.lit(3).alias("_tier"), F.lit("whole").alias("_kind"), "_t", "_key")) \
@@ -165,3 +184,99 @@ def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
     if tier:
         cols.append(F.col("_b._tier").alias(tier))
     return j.select(*cols)
+
+
+# --- J4: nearest spelling --------------------------------------------------------
+
+#: A part whose terms times values are more than this is split by the text beside it.
+HOT_PAIRS = 20_000
+
+
+def _cuts(length: Column, edits: Column) -> Column:
+    """A text of ``length`` cut into ``edits`` + 1 even parts: number, place from 0 and length."""
+    def place(j: Column) -> Column:
+        return F.floor(j * length / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda j: F.struct(
+        j.alias("j"), place(j).alias("at"), (place(j + 1) - place(j)).alias("n")))
+
+
+def _entered(text: Column, edits: Column) -> Column:
+    """The parts under which a value is entered."""
+    return F.transform(_cuts(F.length(text), edits), lambda c: F.struct(
+        c["j"].alias("j"), F.substring(text, c["at"] + 1, c["n"]).alias("part"), c["at"].alias("from")))
+
+
+def _looked_up(text: Column, length: Column, edits: Column) -> Column:
+    """The parts under which a term looks up values of ``length``: where it is within ``edits``
+    of one, one of the value's parts stands in it, shifted by what the edits on either side
+    allow."""
+    more = F.length(text) - length
+
+    def shifted(c: Column) -> Column:
+        places = F.sequence(F.greatest(F.lit(0), c["at"] - F.floor((edits - more) / 2).cast("int")),
+                            c["at"] + F.floor((edits + more) / 2).cast("int"))
+        return F.transform(F.filter(places, lambda s: s + c["n"] <= F.length(text)), lambda s: F.struct(
+            c["j"].alias("j"), F.substring(text, s + 1, c["n"]).alias("part"), s.alias("from")))
+    return F.when(F.abs(more) > edits, F.array().cast("array<struct<j:int,part:string,from:int>>")).otherwise(
+        F.flatten(F.transform(_cuts(length, edits), shifted)))
+
+
+def _shortened(text: Column, edits: int) -> Column:
+    """The distinct texts that are left when at most ``edits`` characters are deleted."""
+    def one_less(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(
+            F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
+    level = out = F.array(text)
+    for _ in range(edits):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda v: v != ""), one_less)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def _beside(rows: DataFrame, text: str, key: list[str], edits: int) -> DataFrame:
+    """Rows of a hot part once more, by what stands beside it, up to ``edits`` deletions: two
+    texts within that distance have one of these in common."""
+    beside = F.concat(F.substring(F.col(text), F.lit(1), F.col("from")), F.lit("\0"),
+                      F.substring(F.col(text), F.col("from") + F.length("part") + 1, F.length(text)))
+    return rows.select(text, *key, F.explode(F.transform(_shortened(beside, edits), lambda v: F.xxhash64(v))).alias("_beside"))
+
+
+def nearest_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str, max_edits: int = 2,
+                  distance: str | None = None, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """J4, best by edit distance: for each row of ``df`` the ``ref.right`` value of least
+    Levenshtein distance to ``df.left``, NULL where none is within ``max_edits``. Texts are
+    compared normalised and in lower case; of equal distances the shortest value wins, then the
+    smallest. Blank terms and values never match; the row count is unchanged. ``distance``
+    names a column for the distance.
+
+    A value is entered under each of its ``max_edits`` + 1 parts; a term within the distance
+    has one of them unchanged at nearly the same place, so an equi-join of parts finds every
+    candidate, whose distance is then computed. A part that many terms and values share (a common
+    beginning of keys) is not joined alone, but together with the text beside it, less up to
+    ``max_edits`` characters; those entries grow with the text's length to that power, and only
+    such parts have them."""
+    require(df, [left])
+    require(ref, [right])
+    if max_edits < 0:
+        raise ValueError("max_edits is negative")
+    k = F.lit(max_edits)
+    terms = df.select(F.lower(normalized(left)).alias("_t")).filter(F.col("_t") != "").distinct()
+    values = ref.select(F.col(right).alias("_v"), F.lower(normalized(right)).alias("_n")) \
+        .filter(F.col("_n") != "").groupBy("_n").agg(F.min("_v").alias("_v"))
+    held = values.select("_n", F.length("_n").alias("len"), F.inline(_entered(F.col("_n"), k)))
+    asked = terms.select("_t", F.explode(F.sequence(F.greatest(F.lit(1), F.length("_t") - k), F.length("_t") + k)).alias("len")) \
+        .select("_t", "len", F.inline(_looked_up(F.col("_t"), F.col("len"), k)))
+    key = ["len", "j", "part"]
+    hot = held.groupBy(*key).agg(F.count(F.lit(1)).alias("_a")).join(asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_b")), key) \
+        .filter(F.col("_a") * F.col("_b") > hot_pairs).select(*key)
+    plain = held.join(hot, key, "left_anti").select("_n", *key).join(asked.join(hot, key, "left_anti").select("_t", *key), key)
+    split = _beside(held.join(hot, key, "left_semi"), "_n", key, max_edits).join(
+        _beside(asked.join(hot, key, "left_semi"), "_t", key, max_edits), [*key, "_beside"])
+    pairs = plain.select("_t", "_n").unionByName(split.select("_t", "_n")).distinct()
+    near = pairs.withColumn("_d", F.levenshtein("_t", "_n", max_edits)).filter("_d >= 0").join(values, "_n")
+    best = near.groupBy("_t").agg(F.min(F.struct("_d", F.length("_n").alias("_l"), "_n", "_v")).alias("_b"))
+    j = df.withColumn("_t", F.lower(normalized(left))).join(best, "_t", "left")
+    cols = [F.col(c) for c in df.columns] + [F.col("_b._v").alias(out)]
+    if distance:
+        cols.append(F.col("_b._d").alias(distance))
+    return j.select(*cols)
