@@ -13,8 +13,9 @@ similar to it by weighted (bag) Jaccard similarity:
    eight blocks; items are entered under every block value within two bits of their own, so
    that every pair within a distance of 23 shares an entry (eight blocks cannot all differ
    in three bits). Window size is part of the entry.
-3. Candidates within that radius are verified by their exact similarity. At 0.8 a pair's
-   expected distance is 10 with a deviation of 3, so that the radius leaves out none but
+3. Candidates within that radius are verified by their exact similarity. Equal runs of a bag
+   are numbered, so that a similarity of 0.8 bounds the share of votes that can differ. At 0.8 a
+   pair's expected distance is 10 with a deviation of 3, so that the radius leaves out none but
    one in a million.
 
 Every step is a built-in expression.
@@ -61,16 +62,13 @@ def _block(fingerprint: Column, k) -> Column:
     return F.call_function("shiftright", fingerprint, F.lit(8) * k).bitwiseAND(F.lit(255)).cast("int")
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Size of the intersection of two bags. Where neither repeats a hash, that of two sets."""
-    both = F.array_intersect(a, b)
-
-    def count(bag: Column, h: Column) -> Column:
-        return F.size(F.filter(bag, lambda x: x == h))
-
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
-    return F.when(plain, F.size(both)).otherwise(F.aggregate(
-        both, F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h))))
+def _numbered(bag: Column) -> Column:
+    """The bag as a set: each hash mixed with how often it came before, so that bags have as many
+    in common as these sets, and a repeated run has as many votes in a fingerprint."""
+    def counted(b: Column) -> Column:
+        return let(F.sort_array(b), lambda x: F.transform(x, lambda h, i: F.xxhash64(h, (i - F.array_position(x, h) + 1).cast("int"))))
+    return let(bag, lambda b: F.when(F.size(F.array_distinct(b)) == F.size(b), F.transform(
+        b, lambda h: F.xxhash64(h, F.lit(0)))).otherwise(counted(b)))
 
 
 def benchmark_items(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,9 +124,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     texts = texts.select("_a", "_b", *[_runs(F.col("_w"), s).alias(f"_r{s}") for s in sizes])
     bag = F.coalesce(*[F.when(F.col("size") == s, F.slice(f"_r{s}", F.col("start") + 1, F.col("_holds"))) for s in sizes])
     windows = windows.join(texts, (F.col("thi") == F.col("_a")) & (F.col("tlo") == F.col("_b"))) \
-        .select("thi", "tlo", "n", "start", bag.alias("bag"))
+        .select("thi", "tlo", "n", "start", _numbered(bag).alias("bag"))
     windows = cut_lineage(windows.withColumn("_f", let(F.col("bag"), _fingerprint)))
-    known = cut_lineage(known.withColumn("_g", let(F.col("bag"), _fingerprint)))
+    known = cut_lineage(known.withColumn("bag", _numbered(F.col("bag"))).withColumn("_g", let(F.col("bag"), _fingerprint)))
     block = F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("_f"), k).alias("v")) for k in range(BLOCKS)])
     entered = windows.select("thi", "tlo", "n", "start", "_f", F.explode(block).alias("_e")) \
         .select("thi", "tlo", "n", "start", "_f", "_e.k", "_e.v")
@@ -148,7 +146,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                      & (F.col("start") == F.col("_s"))) \
         .join(bags, (F.col("ihi") == F.col("_ih")) & (F.col("ilo") == F.col("_il")))
     c = F.col("_c")
-    scored = pairs.withColumn("_c", _common(F.col("bag"), F.col("_bag"))) \
+    scored = pairs.withColumn("_c", F.size(F.array_intersect("bag", "_bag"))) \
         .withColumn("similarity", c / (F.size("bag") + F.size("_bag") - c)).filter(F.col("similarity") >= SIMILAR)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("_s"), (-F.col("distance")).alias("_d")))
     return cut_lineage(scored.groupBy("thi", "tlo", "_item").agg(best.alias("_x")).select(

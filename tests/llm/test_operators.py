@@ -224,6 +224,18 @@ def test_leaks(spark, rows):
     assert decontam.find_leaks(table(spark, docs), frame.limit(0)).count() == 0
 
 
+def test_repetitive_items_are_found_when_shifted(spark):
+    """Bags of few runs that repeat: 0.8 similar at a shift of one word."""
+    for words, n in ((["ab", "cd"], 13), (["ab", "cd"], 21), (["x"], 13), (["a", "b", "c"], 40)):
+        item = " ".join(words[i % len(words)] for i in range(n))
+        shifted = " ".join(words[(i + 1) % len(words)] for i in range(n))
+        items = spark.createDataFrame([(1, item)], "item_id long, text string")
+        got = {x.doc_id: x.similarity for x in decontam.find_leaks(table(spark, [(1, item), (2, shifted), (3, "z " + shifted + " y")]), items).collect()}
+        a, b = brute.bag(item), brute.bag(shifted)
+        want = (a & b).total() / (a | b).total()
+        assert got[1] == 1.0 and got[2] == pytest.approx(want) and got[3] >= want >= 0.8
+
+
 def test_fingerprints_within_the_radius_share_an_entry():
     r = random.Random(3)
     for _ in range(300):
