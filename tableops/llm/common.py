@@ -68,8 +68,8 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a few numbers that are broadcast at most: some 100 MB as a hash table.
-SMALL = 1_000_000
+#: Rows of a few numbers that are broadcast at most: some 20 MB as a hash table.
+SMALL = 200_000
 
 
 def checked_broadcast(df: DataFrame, folder: str | None = None, limit: int = SMALL) -> DataFrame:
