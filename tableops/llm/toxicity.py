@@ -19,6 +19,7 @@ is independent by rows: there is no shuffle.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,7 +38,7 @@ WORD_ROWS, CHAR_ROWS, WIDTH, STATE = 1 << 13, 1 << 14, 12, 16
 CHAR_RUNS = (3, 4, 5)
 TOXIC_FROM = 0.7
 #: Characters that a Python worker takes up at once, windows scored at once, words kept.
-AT_ONCE, WINDOWS_AT_ONCE, KEPT_WORDS = 1_000_000, 512, 60_000
+AT_ONCE, WINDOWS_AT_ONCE, KEPT_WORDS = 1_000_000, 512, 400_000
 WORD = re.compile(r"\w+")
 
 
@@ -52,9 +53,8 @@ def window_starts(n: int) -> range:
 
 def _rows_of(word: str) -> tuple[int, list[int]]:
     """The word's row in the word table and those of its character runs."""
-    data = f"<{word}>"
-    runs = [crc32(data[i:i + n].encode("utf-8", "surrogatepass")) % CHAR_ROWS
-            for n in CHAR_RUNS for i in range(len(data) - n + 1)]
+    data = f"<{word}>".encode("utf-32-le", "surrogatepass")  # four bytes a character
+    runs = [crc32(data[i:i + 4 * n]) % CHAR_ROWS for n in CHAR_RUNS for i in range(0, len(data) - 4 * n + 1, 4)]
     return crc32(word.encode("utf-8", "surrogatepass")) % WORD_ROWS, runs
 
 
@@ -63,7 +63,7 @@ class Inputs:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.word, self.chars, self.many = [0], [0], [1]
+        self.word, self.chars, self.many = array("i", [0]), array("i", [0]), array("i", [1])
 
     def numbers(self, words: list[str]) -> list[int]:
         out = []
@@ -73,7 +73,7 @@ class Inputs:
                 k = self.number[w] = len(self.word)
                 row, runs = _rows_of(w)
                 self.word.append(row)
-                self.chars += runs
+                self.chars.extend(runs)
                 self.many.append(len(runs))
             out.append(k)
         return out
@@ -109,6 +109,7 @@ def _read(q: dict, given: np.ndarray, at: np.ndarray, trace: list | None = None)
     """Logits of windows ``at`` (WINDOW x windows; rows of ``given``, the words' gate inputs
     in both directions; row 0 is no word). ``trace`` takes what training needs of each step."""
     there = (at > 0).astype(np.float32)
+    full = trace is None and bool(there.all())
     h = np.zeros((2, at.shape[1], STATE), np.float32)
     states = np.empty((WINDOW, 2, at.shape[1], STATE), np.float32)
     for t in range(WINDOW):
@@ -121,7 +122,7 @@ def _read(q: dict, given: np.ndarray, at: np.ndarray, trace: list | None = None)
         n = np.tanh(g[..., 2 * STATE:] + r * a[..., 2 * STATE:])
         if trace is not None:
             trace.append((h, z, r, n, a[..., 2 * STATE:], on))
-        h = h + on * (n + z * (h - n) - h)
+        h = n + z * (h - n) if full else h + on * (n + z * (h - n) - h)
         states[t, 0], states[u, 1] = h[0], h[1]
     seen = np.concatenate([states[:, 0], states[:, 1]], axis=2)
     weight = np.exp(np.clip(seen @ q["look"], -30, 30)) * there + np.float32(1e-9)
@@ -182,8 +183,12 @@ def _gradients(q: dict, rows: tuple, at: np.ndarray, label: np.ndarray, blind: n
 def _window_odds(q: dict, rows: tuple, windows: np.ndarray) -> np.ndarray:
     """Probabilities of windows (windows x WINDOW), in blocks."""
     given = _vectors(q, *rows) @ q["into"] + q["shift"]
-    out = [_sigmoid(_read(q, given, windows[k:k + WINDOWS_AT_ONCE].T)[0]) for k in range(0, len(windows), WINDOWS_AT_ONCE)]
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
+    order = np.argsort(windows[:, -1] == 0, kind="stable")  # full windows first: they need no mask
+    out = np.empty(len(windows), dtype=np.float32)
+    for k in range(0, len(windows), WINDOWS_AT_ONCE):
+        some = order[k:k + WINDOWS_AT_ONCE]
+        out[some] = _sigmoid(_read(q, given, np.ascontiguousarray(windows[some].T))[0])
+    return out
 
 
 def _document_facts(odds: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -263,13 +268,13 @@ class Scorer:
         cut = [cut_windows(self.inputs.numbers(words_of(t))) for t in texts]
         many = np.array([len(c) for c in cut])
         windows = np.array([w for c in cut for w in c], dtype=np.int32)
-        met, at = np.unique(windows, return_inverse=True)
-        if met[0] != 0:
-            met, at = np.append(0, met), at + 1
+        there = np.zeros(len(self.inputs.word), dtype=bool)
+        there[windows.ravel()] = there[0] = True
+        met, at = np.flatnonzero(there), (np.cumsum(there) - 1)[windows]
         word, chars, each = (np.array(x) for x in (self.inputs.word, self.inputs.chars, self.inputs.many))
         place = np.repeat(np.cumsum(each)[met] - each[met], each[met]) + np.arange(each[met].sum()) \
             - np.repeat(np.cumsum(each[met]) - each[met], each[met])
-        odds = _window_odds(self.q, (word[met], chars[place], each[met]), at.reshape(windows.shape))
+        odds = _window_odds(self.q, (word[met], chars[place], each[met]), at)
         return 1 / (1 + np.exp(-np.clip(_document_facts(odds, many) @ self.q["document"], -30, 30)))
 
 
