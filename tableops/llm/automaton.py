@@ -11,6 +11,7 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from collections import defaultdict
+from collections.abc import Sequence
 
 
 class Nfa:
@@ -130,15 +131,16 @@ def _minimised(moves: list[list[int]], accepts: list[int]) -> list[int]:
 
 
 def compile_rules(patterns: list[str], backwards: bool = False, anywhere: bool = False,
-                  loose: int | None = None) -> list[tuple[list[int], int]]:
+                  loose: Sequence[int | None] | None = None) -> list[tuple[list[int], int]]:
     """The minimal automaton of all patterns, as (next state for each byte, accepted rules
     as bits); state 0 is the first. ``anywhere``: a match may begin at every byte. Runs
-    counted side by side multiply the states; ``loose`` bounds what is counted."""
+    counted side by side multiply the states; ``loose`` bounds what is counted, pattern by
+    pattern (None: in full)."""
     nfa = Nfa()
     accept: dict[int, int] = defaultdict(int)
     starts = []
     for k, p in enumerate(patterns):
-        first, last = add_pattern(nfa, p, backwards, loose)
+        first, last = add_pattern(nfa, p, backwards, loose[k] if loose else None)
         starts.append(first)
         accept[last] |= 1 << k
     classes, sample = _byte_classes(nfa)

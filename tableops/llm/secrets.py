@@ -6,7 +6,7 @@ begin: repeats are counted to LOOSE there. Leftmost matches are then read off fr
 right, rule by rule, each confirmed and extended to its longest end by the rule's own small
 automaton, which counts in full. The rules are such that the longest match is the greedy one.
 
-The transition arrays are compiled on the driver (about a thousand states) and sent with the
+The transition arrays are compiled on the driver (about two thousand states) and sent with the
 task. Rows are independent: there is no shuffle.
 """
 
@@ -28,12 +28,16 @@ from tableops.llm.common import by_value, pick, whole_text
 class Rule:
     """``kind`` and ``pattern``. With ``head``, the value is what follows the head's longest
     match inside the match, and matches whose value is shorter than ``least`` are dropped
-    after they have been taken."""
+    after they have been taken. ``full``: the backward pass counts as the pattern says, so
+    that every mark is a match. A rule needs it if a loosened mark can fail far behind its
+    first byte; following many such marks would take quadratic time. Marks of the other
+    rules fail within the bounded part that LOOSE shortened."""
 
     kind: str
     pattern: str
     head: str | None = None
     least: int = 0
+    full: bool = False
 
 
 LOOSE = 4
@@ -51,7 +55,7 @@ MORE_RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{20,}"),
     Rule("pay_key", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", full=True),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -59,7 +63,8 @@ RULES = BASE_RULES + MORE_RULES
 @lru_cache(maxsize=8)
 def compiled(rules: tuple[Rule, ...]) -> tuple:
     """Transition arrays: of all rules backwards, of each rule, of each head."""
-    return (compile_rules([r.pattern for r in rules], backwards=True, anywhere=True, loose=LOOSE),
+    return (compile_rules([r.pattern for r in rules], backwards=True, anywhere=True,
+                          loose=[None if r.full else LOOSE for r in rules]),
             [compile_rules([r.pattern]) for r in rules],
             [compile_rules([r.head]) if r.head else None for r in rules])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -81,6 +82,34 @@ def test_more_secret_kinds():
     assert [secrets.RULES[k].kind for _, k, _ in scanner.spans(text)] == ["forge_token", "private_key", "chat_token"]
 
 
+def test_secrets_take_linear_time():
+    """No text makes the scanner follow failing marks again and again: bytes read forward
+    stay within a few times the text."""
+    scanner = secrets.Scanner(secrets.RULES, secrets.compiled(secrets.RULES))
+    n = 4000
+    texts = ["eyJ" * n + ".eyJaaaa.x", ("eyJ" * n + ".") * 2 + "eyJaaaa", "eyJaaaaaaaa." * n, "token" * n + "=a",
+             "token=" * n, "AKIA" * n, "AKIAAAAAAA " * n, "abcdef012 " * n, "-----BEGIN " + "A " * n + "PRIVATE KEY-----",
+             "-----BEGIN " * n + "PRIVATE KEY-----", "ghp_" * n, "xoxb-" * n, "AIza" * n, "sk_live_" * n, "token" + " " * n]
+    for text in texts:
+        data, read = text.encode(), 0
+        class Counting(bytes):
+            def __getitem__(self, i):
+                nonlocal read
+                read += 1
+                return bytes.__getitem__(self, i)
+        scanner.spans(Counting(data))
+        assert read <= 32 * len(data), (text[:20], read, len(data))
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 5 + ".eyJaaaa.x", "eyJabcdefgh.eyJabcdefgh.x", "eyJeyJabcdefg.eyJabcdefgh.xyz.",
+                                  "eyJabcdefgh.eyJabcdefg.x", "eyJabcdefgh.eyJabcdefgh.eyJabcdefgh.eyJabcdefgh.a"])
+def test_web_tokens(text):
+    rule = next(r for r in secrets.RULES if r.kind == "web_token")
+    scanner = secrets.Scanner(secrets.RULES, secrets.compiled(secrets.RULES))
+    assert [(s, e) for s, k, e in scanner.spans(text.encode()) if secrets.RULES[k] == rule] == [
+        m.span() for m in re.finditer(rule.pattern, text)]
+
+
 def test_bpe(spark, rows):
     t = Tokenizer.from_file(PATH)
     r = random.Random(2)
