@@ -58,25 +58,23 @@ def _rows_of(word: str) -> tuple[int, list[int]]:
     return crc32(word.encode("utf-8", "surrogatepass")) % WORD_ROWS, runs
 
 
-class Inputs:
-    """Numbers of words and their table rows. Word 0 stands for the place after a text's end."""
+class Inputs(dict):
+    """Numbers of words, given when a word is first looked up, and the words' table rows.
+    Number 0 stands for the place after a text's end."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
         self.word, self.chars, self.many = array("i", [0]), array("i", [0]), array("i", [1])
 
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self.word)
+        row, runs = _rows_of(word)
+        self.word.append(row)
+        self.chars.extend(runs)
+        self.many.append(len(runs))
+        return k
+
     def numbers(self, words: list[str]) -> list[int]:
-        out = []
-        for w in words:
-            k = self.number.get(w)
-            if k is None:
-                k = self.number[w] = len(self.word)
-                row, runs = _rows_of(w)
-                self.word.append(row)
-                self.chars.extend(runs)
-                self.many.append(len(runs))
-            out.append(k)
-        return out
+        return list(map(self.__getitem__, words))
 
 
 def cut_windows(numbers: list[int]) -> list[list[int]]:
@@ -112,9 +110,11 @@ def _read(q: dict, given: np.ndarray, at: np.ndarray, trace: list | None = None)
     full = trace is None and bool(there.all())
     h = np.zeros((2, at.shape[1], STATE), np.float32)
     states = np.empty((WINDOW, 2, at.shape[1], STATE), np.float32)
+    g = np.empty((2, at.shape[1], 3 * STATE), given.dtype)
     for t in range(WINDOW):
         u = WINDOW - 1 - t
-        g = np.stack([given[0][at[t]], given[1][at[u]]])
+        np.take(given[0], at[t], axis=0, out=g[0], mode="clip")  # all in range: no buffer
+        np.take(given[1], at[u], axis=0, out=g[1], mode="clip")
         on = np.stack([there[t], there[u]])[:, :, None]
         a = h @ q["again"]
         gates = _sigmoid(g[..., :2 * STATE] + a[..., :2 * STATE])
@@ -271,10 +271,11 @@ class Scorer:
         there = np.zeros(len(self.inputs.word), dtype=bool)
         there[windows.ravel()] = there[0] = True
         met, at = np.flatnonzero(there), (np.cumsum(there) - 1)[windows]
-        word, chars, each = (np.array(x) for x in (self.inputs.word, self.inputs.chars, self.inputs.many))
-        place = np.repeat(np.cumsum(each)[met] - each[met], each[met]) + np.arange(each[met].sum()) \
-            - np.repeat(np.cumsum(each[met]) - each[met], each[met])
-        odds = _window_odds(self.q, (word[met], chars[place], each[met]), at)
+        # views of the words' arrays, which cannot grow before these are gone
+        word, chars, each = (np.frombuffer(x, np.int32) for x in (self.inputs.word, self.inputs.chars, self.inputs.many))
+        runs = each[met]
+        place = np.repeat((np.cumsum(each) - each)[met] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        odds = _window_odds(self.q, (word[met], chars[place], runs), at)
         return 1 / (1 + np.exp(-np.clip(_document_facts(odds, many) @ self.q["document"], -30, 30)))
 
 
