@@ -96,13 +96,13 @@ def null_safe_eq(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return cond
 
 
-def _orderable(dt: T.DataType) -> bool:
+def orderable(dt: T.DataType) -> bool:
     if isinstance(dt, T.MapType) or dt.typeName() == "variant":
         return False
     if isinstance(dt, T.ArrayType):
-        return _orderable(dt.elementType)
+        return orderable(dt.elementType)
     if isinstance(dt, T.StructType):
-        return all(_orderable(f.dataType) for f in dt.fields)
+        return all(orderable(f.dataType) for f in dt.fields)
     return True
 
 
@@ -120,6 +120,6 @@ def total_order(df: DataFrame, order_by: Sequence[str | Column] | None = None,
         else:
             out.append(o)
     for f in df.schema.fields:
-        if f.name not in named and _orderable(f.dataType):
+        if f.name not in named and orderable(f.dataType):
             out.append(F.col(f.name).asc_nulls_last())
     return out

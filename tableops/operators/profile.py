@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableops.functions.exprs import (
     number_in,
-    as_list, kind, not_nan, numeric_columns, require,
+    as_list, kind, not_nan, numeric_columns, orderable, require,
 )
 from tableops.functions.text import squash
 from tableops.operators.aggregate import summary_stats
+from tableops.plans.selection import rows_at
 
 # Header-score weights, the rows scanned, and the column-role keywords
 # and uniqueness thresholds of the reference's profiler.
@@ -165,22 +166,28 @@ def classify_columns(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def region_sample(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFrame:
     """P3 (comprehensive sample): first ``n`` rows; the middle ``n`` (from position
-    ``rows // 2 - n // 2``) when rows > 3n; the last ``n`` when rows > 2n. Positions
-    come from a distributed rank (``plans.ranks``: range sort and per-partition
-    counts; no global window, no offset scan, nothing materialised), ties broken by
-    all columns. ``region`` says where each row came from, ``row_ix`` its position."""
-    from tableops.functions.exprs import total_order
-    from tableops.plans.ranks import ranked
-    r = ranked(df, total_order(df, order_by), rank="row_ix", size="_rows")
-    total, ix = F.col("_rows"), F.col("row_ix")
-    mid = F.floor(total / 2).cast("long") - (n // 2)
-    head = ix < n
-    middle = (total > 3 * n) & (ix >= mid) & (ix < mid + n)
-    tail = (total > 2 * n) & (ix >= total - n)
-    regions = F.array_compact(F.array(F.when(head, F.lit("head")), F.when(middle, F.lit("middle")),
-                                      F.when(tail, F.lit("tail"))))
-    return (r.filter(head | middle | tail).withColumn("region", F.explode(regions))
-            .drop("_rows"))
+    ``rows // 2 - n // 2``) when rows > 3n; the last ``n`` when rows > 2n. Ascending by
+    ``order_by``, NULL last, ties broken by all columns. ``region`` says where each row came
+    from, ``row_ix`` its position.
+
+    The table is neither sorted nor copied: head and tail are top-n, the middle is selected by
+    split points and block counts (``plans.selection``). Rows are counted when this is called."""
+    order_by = as_list(order_by)
+    require(df, order_by)
+    names = order_by + [f.name for f in df.schema.fields if f.name not in order_by and orderable(f.dataType)]
+    total = df.count()
+    mid = total // 2 - n // 2
+
+    def region(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn("region", F.lit(name))
+    out = region(rows_at(df, names, 0, n, total, few=total), "head")  # a plain top-n
+    if total > 3 * n:
+        out = out.unionByName(region(rows_at(df, names, mid, mid + n, total), "middle"))
+    if total > 2 * n:
+        down = [F.col(c).desc_nulls_first() for c in names]
+        ix = F.lit(total) - F.row_number().over(Window.orderBy(*down))
+        out = out.unionByName(region(df.orderBy(*down).limit(n).withColumn("row_ix", ix.cast("long")), "tail"))
+    return out
 
 
 def data_profile(df: DataFrame, approx: bool = False) -> DataFrame:
