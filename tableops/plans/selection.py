@@ -46,26 +46,36 @@ def _block(splits: Column, key: Column, steps: Sequence[int]) -> Column:
     return below * 2 + F.when(F.try_element_at(splits, below + 1) == key, 1).otherwise(0)
 
 
+def _within(splits: Column, key: Column, first: int, last: int) -> Column:
+    """Whether the key's block is one of ``first`` to ``last``, from the split points around them."""
+    low, high = first // 2, F.try_element_at(splits, F.lit(last // 2 + 1))
+    above = key >= F.try_element_at(splits, F.lit(low + 1)) if first % 2 else (
+        key > F.try_element_at(splits, F.lit(low)) if low else F.lit(True))
+    return above & (key <= high if last % 2 else F.coalesce(key < high, F.lit(True)))
+
+
 def rows_at(df: DataFrame, names: Sequence[str], first: int, last: int, total: int, out: str = "row_ix",
             splitters: int = SPLITTERS, few: int = FEW_ROWS) -> DataFrame:
     """The rows at positions ``first`` to ``last`` (exclusive, 0-based) of ``df``'s ``total``
     rows in ascending order of ``names`` (NULL last), with their position as ``out``.
 
     ``last - first`` is meant to be small. Rows equal in ``names`` are interchangeable. The
-    table is read once or twice a round, and a round divides the rows by about ``splitters``."""
+    table is read once or twice a round, and a round divides the rows by up to ``splitters``."""
     spark = df.sparkSession
-    steps = [1 << k for k in reversed(range(splitters.bit_length()))]
     pieces = []
 
     def search(rows: DataFrame, count: int, offset: int, lo: int, hi: int) -> None:
         if count <= few:
             pieces.append(_numbered(rows, names, lo, hi, offset, out))
             return
-        drawn = rows.select(order_key(names).alias("_key")).orderBy(F.rand()).limit(splitters)
+        wanted = min(splitters, max(7, 4 * count // few))
+        drawn = rows.orderBy(F.rand()).limit(wanted).select(order_key(names).alias("_key"))
         splits = cut_lineage(drawn.agg(F.sort_array(F.collect_set("_key")).alias("_splits")))
         # one row of at most ``splitters`` keys
-        placed = rows.crossJoin(F.broadcast(splits)).withColumn(
-            "_block", _block(F.col("_splits"), order_key(names), steps)).drop("_splits")
+        keyed = rows.withColumn("_key", order_key(names)).crossJoin(F.broadcast(splits))
+        points, key = F.col("_splits"), F.col("_key")
+        steps = [1 << k for k in reversed(range(wanted.bit_length()))]
+        placed = keyed.select(_block(points, key, steps).alias("_block"))
         counts = {r["_block"]: r["count"] for r in placed.groupBy("_block").count().collect()}
         held, at = [], offset
         for block in sorted(counts):
@@ -74,12 +84,12 @@ def rows_at(df: DataFrame, names: Sequence[str], first: int, last: int, total: i
             at += counts[block]
         start = held[0][1]
         if sum(counts[b] for b, _ in held) <= few:
-            some = placed.filter(F.col("_block").between(held[0][0], held[-1][0])).drop("_block")
+            some = keyed.filter(_within(points, key, held[0][0], held[-1][0])).drop("_splits", "_key")
             pieces.append(_numbered(some, names, lo, hi, start, out))
             return
         for block, begin in held:
             left, right = max(lo, begin), min(hi, begin + counts[block])
-            some = placed.filter(F.col("_block") == block).drop("_block")
+            some = keyed.filter(_within(points, key, block, block)).drop("_splits", "_key")
             if block % 2:  # all alike
                 pieces.append(_numbered(some.limit(right - left), names, left, right, left, out))
             else:
