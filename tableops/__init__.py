@@ -43,7 +43,7 @@ from tableops.operators.charts import (  # noqa: F401
 )
 from tableops.operators.profile import (  # noqa: F401
     detect_header, apply_header, unique_names, profile, classify_columns,
-    region_sample, data_profile, summary_table, export_summary,
+    column_roles, top_values, region_sample, data_profile, summary_table, export_summary,
 )
 from tableops.operators.textjobs import (  # noqa: F401
     classify_intent, column_mentions, extract_json,

@@ -31,6 +31,11 @@ CONTEXT_KEYWORDS = ["type", "category", "group", "class", "grade", "level", "sta
 ENTITY_RATIO = 0.5
 CONTEXT_RATIO = 0.3
 
+#: HyperLogLog sketch: log2 of its registers, and six standard errors of it.
+SKETCH_SIZE, SKETCH_ERROR = 14, 0.05
+#: Frequent-items sketch: values tracked a column, and those it hands over.
+TRACKED, CANDIDATES = 10_000, 16
+
 
 def _data_cols(raw: DataFrame, index: str) -> list[str]:
     return [c for c in raw.columns if c != index]
@@ -164,6 +169,68 @@ def classify_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     return _column_facts(df, distinct=True, approx=approx).select("column", "role", "unique_ratio")
 
 
+def column_roles(df: DataFrame) -> DataFrame:
+    """``column, role`` as ``classify_columns`` gives them, without its exact distinct
+    counts.
+
+    A role needs at most one comparison of a text column's distinct ratio: with 0.3 if the
+    name has an entity keyword, with 0.5 if it has none. One pass keeps a HyperLogLog sketch
+    of each such column; only those whose estimate lies within SKETCH_ERROR of the threshold are counted
+    exactly, in a second pass over them alone. Both are run when this is called; one row
+    reaches the driver."""
+    texts = {}
+    for f in df.schema.fields:
+        low = f.name.lower()
+        if kind(f.dataType) not in ("date", "numeric", "bool") and not any(w in low for w in CONTEXT_KEYWORDS):
+            texts[f.name] = CONTEXT_RATIO if any(w in low for w in ENTITY_KEYWORDS) else ENTITY_RATIO
+    fields = df.schema.fields
+    sketched = [n for n in texts if kind(df.schema[n].dataType) == "text"]
+    aggs = [F.count(not_nan(df, f.name)).alias(f"c{i}") for i, f in enumerate(fields)]
+    aggs += [F.hll_sketch_estimate(F.hll_sketch_agg(n, SKETCH_SIZE)).alias(f"d{i}") for i, n in enumerate(sketched)]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+    rows = one["rows"]
+    distinct = {n: one[f"d{i}"] or 0 for i, n in enumerate(sketched)}
+    close = [n for n in texts if n not in distinct or abs(distinct[n] - texts[n] * rows) <= SKETCH_ERROR * distinct[n]]
+    if close and rows:
+        exact = df.agg(*[F.count_distinct(F.col(n)).alias(f"d{i}") for i, n in enumerate(close)]).first()
+        distinct |= {n: exact[f"d{i}"] for i, n in enumerate(close)}
+    found = [F.struct(F.lit(f.name).alias("column"), _role(
+        f.name, kind(f.dataType), F.lit(one[f"c{i}"]), F.lit(distinct.get(f.name, 0) / rows if rows else 0.0)).alias("role"))
+        for i, f in enumerate(fields)]
+    return df.sparkSession.range(1).select(F.inline(F.array(*found)))
+
+
+def top_values(df: DataFrame, tracked: int = TRACKED) -> DataFrame:
+    """A8 for every column: ``column``, its most frequent non-NULL value as text (``top``, ties
+    to the smaller one) and ``top_count``, exactly.
+
+    One pass keeps a frequent-items sketch of the values' hashes, ``tracked`` a column however long
+    the values are. Where it proves that every other value is rarer than the best, only the
+    values that may be the best are counted, so that next to nothing is shuffled; a column
+    without such a proof (nearly unique, or of many equally frequent values) is counted whole.
+    The sketches are made when this is called."""
+    size = 1 << (4 * tracked // 3 - 1).bit_length()
+    hashes = [F.xxhash64(F.col(c).cast("string")) for c in df.columns]
+    seen = df.select(*[F.when(F.col(c).isNotNull(), h).alias(f"h{i}") for i, (c, h) in enumerate(zip(df.columns, hashes))])
+    one = seen.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.expr(f"approx_top_k(h{i}, {CANDIDATES}, {tracked})").alias(f"h{i}") for i in range(len(df.columns))]).first()
+    error = 7 * one["rows"] / size  # twice the sketch's own bound
+    cells = []
+    for i, (c, h) in enumerate(zip(df.columns, hashes)):
+        top = [(x["item"], x["count"]) for x in one[f"h{i}"] if x["item"] is not None]
+        best = max((n for _, n in top), default=0)
+        may = [v for v, n in top if n >= best - error]
+        others = min(n for _, n in top) if len(one[f"h{i}"]) >= CANDIDATES and top else 0
+        proven = bool(top) and best - error > max(others, 2 * error)
+        value = F.col(c).cast("string")
+        cells.append(F.struct(F.lit(c).alias("column"), (F.when(h.isin(may), value) if proven else value).alias("value")))
+    counted = (df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+               .groupBy("column", "value").count())
+    best = F.min_by(F.struct(F.col("value").alias("top"), F.col("count").alias("top_count")),
+                    F.struct((-F.col("count")).alias("n"), F.col("value")))
+    return counted.groupBy("column").agg(best.alias("_t")).select("column", "_t.top", "_t.top_count")
+
+
 def region_sample(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFrame:
     """P3 (comprehensive sample): first ``n`` rows; the middle ``n`` (from position
     ``rows // 2 - n // 2``) when rows > 3n; the last ``n`` when rows > 2n. Ascending by
@@ -198,15 +265,7 @@ def data_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     nums = numeric_columns(df)
     stats = summary_stats(df, nums, approx).withColumnRenamed("Column", "column") \
         .drop("Count") if nums else None
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        for c in df.columns]))).filter(F.col("value").isNotNull())
-    top = (cells.groupBy("column", "value").count()
-           .groupBy("column").agg(F.min_by(F.struct(F.col("value").alias("top"),
-                                                    F.col("count").alias("top_count")),
-                                            F.struct((-F.col("count")).alias("n"), F.col("value")))
-                                  .alias("_t"))
-           .select("column", "_t.top", "_t.top_count"))
+    top = top_values(df)
     out = facts
     if stats is not None:
         out = out.join(stats, "column", "left")
