@@ -10,6 +10,9 @@ from tableops.session import get_spark, ensure_checkpoint_dir  # noqa: F401
 from tableops.sources.io import (  # noqa: F401
     read_table, read_workbook, write_workbook, next_output, preview, json_rows,
 )
+from tableops.sources.versions import (  # noqa: F401
+    read_version, reserve_version, save_version, versions,
+)
 from tableops.sources.raw import read_raw, read_raw_blocks, read_sheet, with_row_index  # noqa: F401
 from tableops.sources.audit import (  # noqa: F401
     AUDIT_SCHEMA, audit, read_audit, export_audit,
