@@ -14,6 +14,7 @@ from tableops.sources.versions import (  # noqa: F401
     read_version, reserve_version, save_version, versions,
 )
 from tableops.sources.raw import read_raw, read_raw_blocks, read_sheet, with_row_index  # noqa: F401
+from tableops.sources.oplog import append_entry, compact, read_log  # noqa: F401
 from tableops.sources.audit import (  # noqa: F401
     AUDIT_SCHEMA, audit, read_audit, export_audit,
 )

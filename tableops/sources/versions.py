@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping
 
 from py4j.protocol import Py4JJavaError
@@ -21,7 +22,7 @@ from tableops.sources.io import _fs, read_table
 MANIFEST, RESERVED = "_manifest.json", "_reserved"
 
 
-def _created(spark: SparkSession, path: str) -> bool:
+def created(spark: SparkSession, path: str) -> bool:
     """Create an empty file; False if somebody else has. Local file systems are asked
     directly, because Hadoop's own create looks first and writes then."""
     fs, p = _fs(spark, path)
@@ -37,7 +38,7 @@ def _created(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _names(spark: SparkSession, directory: str) -> list[str]:
+def names_in(spark: SparkSession, directory: str) -> list[str]:
     fs, p = _fs(spark, directory)
     return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
 
@@ -51,23 +52,43 @@ def reserve_version(spark: SparkSession, directory: str, base: str) -> str:
     """The path of a new version, which no other caller gets. Numbers rise; those of
     folders that stand there without a reservation are passed over."""
     directory = directory.rstrip("/")
-    taken = _names(spark, directory) + _names(spark, f"{directory}/{RESERVED}")
+    taken = names_in(spark, directory) + names_in(spark, f"{directory}/{RESERVED}")
     n = max((k for k in (_number(t, base) for t in taken) if k), default=0) + 1
-    while not _created(spark, f"{directory}/{RESERVED}/{base}_modified_{n}"):
+    while not created(spark, f"{directory}/{RESERVED}/{base}_modified_{n}"):
         n += 1
     return f"{directory}/{base}_modified_{n}"
 
 
-def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
-    fs, draft = _fs(spark, f"{path}/{MANIFEST}.draft")
-    _, final = _fs(spark, f"{path}/{MANIFEST}")
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all, by a rename."""
+    fs, final = _fs(spark, path)
+    _, draft = _fs(spark, f"{path}.{uuid.uuid4()}.draft")
+    fs.mkdirs(final.getParent())
     out = fs.create(draft, True)
     try:
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
     if not fs.rename(draft, final):
-        raise OSError(f"cannot commit {path}")
+        raise OSError(f"cannot write {path}")
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def committed(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of a committed folder, None if it is not committed."""
+    text = read_small(spark, f"{path.rstrip('/')}/{MANIFEST}")
+    return None if text is None else json.loads(text)
 
 
 def save_version(tables: Mapping[str, DataFrame], name: str, df: DataFrame, directory: str,
@@ -79,32 +100,21 @@ def save_version(tables: Mapping[str, DataFrame], name: str, df: DataFrame, dire
     book = {**tables, name: df}
     for n, t in book.items():
         t.write.mode("errorifexists").format(fmt).save(f"{path}/{n}")
-    _commit(spark, path, {"format": fmt, "tables": sorted(book)})
+    write_small(spark, f"{path}/{MANIFEST}", json.dumps({"format": fmt, "tables": sorted(book)}, sort_keys=True))
     return path
 
 
-def _manifest(spark: SparkSession, path: str) -> dict | None:
-    fs, p = _fs(spark, f"{path.rstrip('/')}/{MANIFEST}")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
 def versions(spark: SparkSession, directory: str, base: str) -> list[str]:
     """Paths of the committed versions, the oldest number first."""
     directory = directory.rstrip("/")
-    numbers = sorted(k for k in (_number(n, base) for n in _names(spark, directory)) if k)
+    numbers = sorted(k for k in (_number(n, base) for n in names_in(spark, directory)) if k)
     paths = [f"{directory}/{base}_modified_{k}" for k in numbers]
-    return [p for p in paths if _manifest(spark, p) is not None]
+    return [p for p in paths if committed(spark, p) is not None]
 
 
 def read_version(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """S3: the tables of a committed version (lazy reads); an error if it is not committed."""
-    manifest = _manifest(spark, path)
+    manifest = committed(spark, path)
     if manifest is None:
         raise FileNotFoundError(f"no committed version at {path}")
     return {n: read_table(spark, f"{path.rstrip('/')}/{n}", manifest["format"]) for n in manifest["tables"]}
