@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tableops.functions.exprs import as_list, require
 from tableops.functions.text import normalized
+from tableops.plans.lineage import cut_lineage
 
 HOWS = ("left", "right", "inner", "outer")
 
@@ -190,6 +191,8 @@ def fuzzy_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str,
 
 #: A part whose terms times values are more than this is split by the text beside it.
 HOT_PAIRS = 20_000
+#: So many hot parts are broadcast at most, as counted.
+FEW = 200_000
 
 
 def _cuts(length: Column, edits: Column) -> Column:
@@ -241,6 +244,13 @@ def _beside(rows: DataFrame, text: str, key: list[str], edits: int) -> DataFrame
     return rows.select(text, *key, F.explode(F.transform(_shortened(beside, edits), lambda v: F.xxhash64(v))).alias("_beside"))
 
 
+def _merged(one: DataFrame, two: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts no side. Spark estimates rows from an explode by the size of
+    the compressed file and the rows before it, and would send what is many times larger
+    through the driver."""
+    return one.join(two.hint("merge"), on, how)
+
+
 def nearest_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str, max_edits: int = 2,
                   distance: str | None = None, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """J4, best by edit distance: for each row of ``df`` the ``ref.right`` value of least
@@ -267,15 +277,19 @@ def nearest_match(df: DataFrame, ref: DataFrame, left: str, right: str, out: str
     asked = terms.select("_t", F.explode(F.sequence(F.greatest(F.lit(1), F.length("_t") - k), F.length("_t") + k)).alias("len")) \
         .select("_t", "len", F.inline(_looked_up(F.col("_t"), F.col("len"), k)))
     key = ["len", "j", "part"]
-    hot = held.groupBy(*key).agg(F.count(F.lit(1)).alias("_a")).join(asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_b")), key) \
-        .filter(F.col("_a") * F.col("_b") > hot_pairs).select(*key)
-    plain = held.join(hot, key, "left_anti").select("_n", *key).join(asked.join(hot, key, "left_anti").select("_t", *key), key)
-    split = _beside(held.join(hot, key, "left_semi"), "_n", key, max_edits).join(
-        _beside(asked.join(hot, key, "left_semi"), "_t", key, max_edits), [*key, "_beside"])
-    pairs = plain.select("_t", "_n").unionByName(split.select("_t", "_n")).distinct()
-    near = pairs.withColumn("_d", F.levenshtein("_t", "_n", max_edits)).filter("_d >= 0").join(values, "_n")
-    best = near.groupBy("_t").agg(F.min(F.struct("_d", F.length("_n").alias("_l"), "_n", "_v")).alias("_b"))
-    j = df.withColumn("_t", F.lower(normalized(left))).join(best, "_t", "left")
+    hot = cut_lineage(_merged(held.groupBy(*key).agg(F.count(F.lit(1)).alias("_a")), asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_b")), key)
+                      .filter(F.col("_a") * F.col("_b") > hot_pairs).select(*key))
+    hot = hot.hint("broadcast" if hot.count() <= FEW else "merge")
+    plain = _merged(held.join(hot, key, "left_anti").select("_n", *key), asked.join(hot, key, "left_anti").select("_t", *key), key)
+    split = _merged(_beside(held.join(hot, key, "left_semi"), "_n", key, max_edits),
+                    _beside(asked.join(hot, key, "left_semi"), "_t", key, max_edits), [*key, "_beside"])
+    # a pair may be met several times, which a minimum does not mind
+    near = plain.select("_t", "_n").unionByName(split.select("_t", "_n")) \
+        .withColumn("_d", F.levenshtein("_t", "_n", max_edits)).filter("_d >= 0")
+    best = near.groupBy("_t").agg(F.min(F.struct("_d", F.length("_n").alias("_l"), "_n")).alias("_m")) \
+        .select("_t", "_m._d", "_m._n")
+    best = _merged(best, values, ["_n"]).select("_t", F.struct("_d", "_v").alias("_b"))
+    j = _merged(df.withColumn("_t", F.lower(normalized(left))), best, ["_t"], "left")
     cols = [F.col(c) for c in df.columns] + [F.col("_b._v").alias(out)]
     if distance:
         cols.append(F.col("_b._d").alias(distance))

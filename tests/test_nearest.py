@@ -74,3 +74,13 @@ def test_entries_are_linear_in_the_text(spark):
     assert plan.count() == 0
     sizes = keys.select(F.collect_set(F.call_function("shiftleft", F.lit(1), F.floor(F.log2(F.length("_key") + 0.5)).cast("int"))).alias("s")).first().s
     assert sorted(sizes) == [2, 4, 8, 16, 32, 64, 128, 256]
+
+
+def test_nothing_is_broadcast_by_the_size_of_the_file(spark, scratch):
+    """20,000 keys that compress well: a file of few KB, whose parts must not go through the driver."""
+    spark.range(20_000).select(F.format_string("customer number %09d", "id").alias("v")).coalesce(1).write.parquet(f"{scratch}/v")
+    ref = spark.read.parquet(f"{scratch}/v")
+    out = to.nearest_match(ref.select(F.expr("replace(v, 'num', 'nm')").alias("t")), ref, "t", "v", "m", max_edits=1, distance="d")
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+    assert all("LeftAnti" in x or "LeftSemi" in x for x in joins)  # those with the hot parts, which were counted
+    assert out.filter("m != replace(t, 'nm', 'num') or m is null or d != 1").count() == 0
