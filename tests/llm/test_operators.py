@@ -416,3 +416,44 @@ def test_offsets_follow_each_other(spark):
     lambda d: shards.shard_rows(d)])
 def test_empty_table(spark, run):
     assert run(table(spark, [(1, "x")]).filter("doc_id > 1")).collect() == []
+
+
+def counted(monkeypatch, module):
+    """The numbers of pairs that ``module`` verifies exactly, round by round."""
+    found, linked = [], module.linked
+
+    def counting(shared, similar, *more, **named):
+        def seen(pairs):
+            found.append(pairs.count())
+            return similar(pairs)
+        return linked(shared, seen, *more, **named)
+    monkeypatch.setattr(module, "linked", counting)
+    return found
+
+
+def test_bits_keep_every_similar_pair(spark):
+    """Lines around the limit: no pair at 0.8 goes, at any length."""
+    from tableops.llm.links import _may_be_alike
+    r = random.Random(5)
+    pairs = []
+    for n in [1, 6, 7, 8, 40, 100, 400, 1500]:
+        for edits in [0, 1, 1, 2, 3, 5, 9, n // 30]:
+            a = "".join(r.choice("abcdefg ") for _ in range(n))
+            b = a
+            for _ in range(edits):
+                k = r.randrange(len(b))
+                b = b[:k] + r.choice("xyz") + b[k + 1:]
+            pairs.append((a, b))
+    lined = spark.createDataFrame([(k, side, t) for k, p in enumerate(pairs) for side, t in enumerate(p)], "hi long, lo long, _line string")
+    bits = {(x.hi, x.lo): x.bits for x in lines.shingle_bits(lined).collect()}
+
+    def shingles(t):
+        return {t[i:i + 7] for i in range(max(1, len(t) - 6))}
+    rows = []
+    for k, p in enumerate(pairs):
+        x, y = map(shingles, p)
+        rows.append((k, len(x & y) >= 0.8 * len(x | y), len(x), len(y), bits[k, 0], bits[k, 1]))
+    got = spark.createDataFrame(rows, "k int, alike boolean, m int, n int, x array<long>, y array<long>").withColumn(
+        "may", _may_be_alike(*[F.col(c) for c in "mnxy"], 0.8)).collect()
+    assert all(x.may for x in got if x.alike) and sum(x.alike for x in got) > 15
+    assert sum(not x.may for x in got) > 10
