@@ -31,6 +31,11 @@ SIMILAR = 0.8
 #: at 0.57 passes with 0.0001.
 REGISTERS, ROWS, BANDS = 256, 5, 25
 SKETCH_LONGS, AGREE = REGISTERS // 16, 183
+#: Texts that many others meet in one bucket get a wider sketch, as many unlike ones at 0.67 pass
+#: the first: a pair at 0.8 agrees in fewer than 782 of 1,024 with a probability of 0.00003.
+WIDE, WIDE_AGREE = 1024, 782
+#: Bags whose wide registers are made at once.
+BAGS_AT_ONCE = 256
 #: Characters that a Python worker takes up at once.
 AT_ONCE = 1_200_000
 KEPT_WORDS = 500_000
@@ -129,14 +134,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(ROWS):
                     h = _mixed(h) + who[:, b * ROWS + k]
                 bands.append(_mixed(h))
-            low = _mixed(who) & np.uint64(15)
-            sketch = [np.bitwise_or.reduce(low[:, 16 * k:16 * k + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
-                      for k in range(SKETCH_LONGS)]
             keys = batch.slice(start, len(texts))
-            yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), _rows(bands), _rows(sketch)],
+            yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), _rows(bands), _rows(_nibbles(who))],
                                              names=["hi", "lo", "bands", "sketch"])
 
 
+def _nibbles(who: np.ndarray) -> list[np.ndarray]:
+    """Four bits of every register, sixteen to a number."""
+    low = _mixed(who) & np.uint64(15)
+    return [np.bitwise_or.reduce(low[:, 16 * k:16 * k + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+            for k in range(who.shape[1] // 16)]
+
+
 def _rows(columns: list[np.ndarray]) -> pa.ListArray:
     """A list column whose lists are the rows of the columns."""
     flat = np.stack(columns, axis=1).view(np.int64)
@@ -156,6 +165,17 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))], names=["hi", "lo", "runs", "counts"])
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, runs, counts) to (node, wide)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BAGS_AT_ONCE):
+            node, runs, counts = batch.slice(start, BAGS_AT_ONCE).columns
+            doc = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
+            run = runs.flatten().to_numpy().view(np.uint64)
+            who = prob_min_hash(doc, run, counts.flatten().to_numpy(), len(runs), WIDE)
+            yield pa.RecordBatch.from_arrays([node, _rows(_nibbles(who))], names=["node", "wide"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both bags to the similar pairs."""
     for batch in batches:
@@ -191,7 +211,12 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         both = pairs.join(left, F.col("a") == F.col("_a")).join(bags, F.col("b") == F.col("_node"))
         return both.select("a", "b", "_ra", "_ca", "runs", "counts").mapInArrow(_verified, f"a {NODE}, b {NODE}")
 
-    root = linked(shared, similar, signed.select(F.struct("hi", "lo").alias("node"), "bands", "sketch"), SKETCH_LONGS, AGREE, folder)
+    def wider(nodes: DataFrame) -> DataFrame:
+        few = checked_broadcast(nodes, folder)
+        return bags.join(few, F.col("_node") == F.col("node"), "left_semi").mapInArrow(_widened, f"node {NODE}, wide array<long>")
+
+    root = linked(shared, similar, signed.select(F.struct("hi", "lo").alias("node"), "bands", "sketch"), SKETCH_LONGS, AGREE, folder,
+                  wider=wider, wide_longs=WIDE // 16, wide_least=WIDE_AGREE)
     nodes = keyed.groupBy("hi", "lo").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_n"))
     nodes = nodes.join(root.select(F.col("node.hi").alias("_h"), F.col("node.lo").alias("_l"), "root"),
                        (F.col("hi") == F.col("_h")) & (F.col("lo") == F.col("_l")), "left") \

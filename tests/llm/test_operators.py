@@ -457,3 +457,19 @@ def test_bits_keep_every_similar_pair(spark):
         "may", _may_be_alike(*[F.col(c) for c in "mnxy"], 0.8)).collect()
     assert all(x.may for x in got if x.alike) and sum(x.alike for x in got) > 15
     assert sum(not x.may for x in got) > 10
+
+
+def test_variants_at_two_thirds_pass_no_wide_sketch(spark, monkeypatch):
+    """150 texts alike by some 0.67, far from 0.8: the wider sketch tells them apart."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for k in r.sample(range(len(t)), 8):
+            t[k] = f"x{r.random()}"
+        texts.append(" ".join(t))
+    found = counted(monkeypatch, near)
+    got = near.near_dedup(table(spark, list(enumerate(texts)))).collect()
+    assert len(got) == 150
+    assert found[-1] < 100
