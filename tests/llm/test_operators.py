@@ -492,3 +492,19 @@ def test_variants_at_two_thirds_pass_no_wide_sketch(spark, monkeypatch):
     got = near.near_dedup(table(spark, list(enumerate(texts)))).collect()
     assert len(got) == 150
     assert found[-1] < 100
+
+
+def test_long_variants_are_told_apart_without_their_texts(spark, monkeypatch):
+    """200 lines of some 600 characters alike by some 0.7: bits that shingles only set would fill up."""
+    r = random.Random(4)
+    base = prose(r, 140)[:600]
+    texts = []
+    for _ in range(200):
+        t = list(base)
+        for k in r.sample(range(len(t)), 8):
+            t[k] = r.choice("uvwxyz")
+        texts.append("".join(t))
+    found = counted(monkeypatch, lines)
+    got = {x.doc_id for x in lines.line_dedup(table(spark, list(enumerate(texts)))).collect() if x.n_removed}
+    assert got <= {k for k, _ in brute.removed_lines(list(enumerate(texts)))}
+    assert sum(found) < 1000
