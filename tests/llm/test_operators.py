@@ -508,3 +508,18 @@ def test_long_variants_are_told_apart_without_their_texts(spark, monkeypatch):
     got = {x.doc_id for x in lines.line_dedup(table(spark, list(enumerate(texts)))).collect() if x.n_removed}
     assert got <= {k for k, _ in brute.removed_lines(list(enumerate(texts)))}
     assert sum(found) < 1000
+
+
+def test_agreeing_registers_are_counted(spark):
+    from tableops.llm.links import _agreeing, _planes
+    r = random.Random(6)
+    for longs in [16, 64]:
+        rows = []
+        for _ in range(40):
+            x = [r.randrange(16) for _ in range(16 * longs)]
+            y = [v if r.random() < 0.7 else r.randrange(16) for v in x]
+            packed = [[sum(v << 4 * i for i, v in enumerate(z[k:k + 16])) for k in range(0, len(z), 16)] for z in (x, y)]
+            rows.append((sum(a == b for a, b in zip(x, y)), *[[v - (v >> 63 << 64) for v in z] for z in packed]))
+        df = spark.createDataFrame(rows, "n int, x array<long>, y array<long>").select(
+            "n", _planes(F.col("x"), longs).alias("x"), _planes(F.col("y"), longs).alias("y"))
+        assert all(a == b for a, b in df.select("n", _agreeing(F.col("x"), F.col("y"), longs)).collect())
