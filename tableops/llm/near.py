@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, checked_broadcast, pick, portions, removed, whole_text, wide_key, work_folder, written
+from tableops.llm.common import by_value, checked_broadcast, keys, meet, meet_left, pick, portions, removed, thin, whole_text, wide_key, work_folder, written
 from tableops.llm.links import linked, shared_buckets
 
 WORDS = 5
@@ -200,8 +200,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     signed = keyed.select("hi", "lo", "_text").mapInArrow(_signed, "hi long, lo long, bands array<long>, sketch array<long>")
     signed = written(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), folder)
     shared = written(shared_buckets(signed.select(F.explode("bands").alias("bucket"), "hi", "lo"), folder), folder)
-    wanted = checked_broadcast(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct(), folder)
-    texts = keyed.join(wanted, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))) \
+    wanted = keys(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct(), ["_hi", "_lo"], folder)
+    texts = meet(keyed, ["hi", "lo"], wanted) \
         .groupBy("hi", "lo").agg(F.first("_text").alias("_text"))
     bags = written(texts.mapInArrow(_bagged, "hi long, lo long, runs array<long>, counts array<int>")
                    .select(F.struct("hi", "lo").alias("_node"), "runs", "counts"), folder)
@@ -215,7 +215,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         few = checked_broadcast(nodes, folder)
         return bags.join(few, F.col("_node") == F.col("node"), "left_semi").mapInArrow(_widened, f"node {NODE}, wide array<long>")
 
-    root = linked(shared, similar, signed.select(F.struct("hi", "lo").alias("node"), "bands", "sketch"), SKETCH_LONGS, AGREE, folder,
+    own = thin(signed, ["hi", "lo"], wanted).select(F.struct("hi", "lo").alias("node"), "bands", "sketch")
+    root = linked(shared, similar, own, SKETCH_LONGS, AGREE, folder,
                   wider=wider, wide_longs=WIDE // 16, wide_least=WIDE_AGREE)
     nodes = keyed.groupBy("hi", "lo").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_n"))
     nodes = nodes.join(root.select(F.col("node.hi").alias("_h"), F.col("node.lo").alias("_l"), "root"),
@@ -248,10 +249,13 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     hi, lo = wide_key(whole_text(df[text]))
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[key].alias("_key"),
                      hi.alias("_hi"), lo.alias("_lo"))
-    least = near_classes(df, key, text)
-    first = rows.join(least, (F.col("_hi") == F.col("hi")) & (F.col("_lo") == F.col("lo"))
-                      & F.col("_key").eqNullSafe(F.col("class_id")))
-    return first.groupBy("class_hi", "class_lo").agg(F.first("_row").alias("_row")).select("_row.*")
+    # most texts are alone in their class and stay where they are
+    least = near_classes(df, key, text).filter("class_size > 1").select(
+        F.col("hi").alias("_h"), F.col("lo").alias("_l"), "class_hi", "class_lo", "class_id")
+    rows = meet_left(rows, ["_hi", "_lo"], keys(least, ["_h", "_l"]))
+    first = rows.filter(F.col("_h").isNotNull() & F.col("_key").eqNullSafe(F.col("class_id")))
+    first = first.groupBy("class_hi", "class_lo").agg(F.first("_row").alias("_row"))
+    return rows.filter(F.col("_h").isNull()).select("_row.*").unionByName(first.select("_row.*"))
 
 
 by_value(__name__)
