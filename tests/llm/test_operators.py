@@ -523,3 +523,32 @@ def test_agreeing_registers_are_counted(spark):
         df = spark.createDataFrame(rows, "n int, x array<long>, y array<long>").select(
             "n", _planes(F.col("x"), longs).alias("x"), _planes(F.col("y"), longs).alias("y"))
         assert all(a == b for a, b in df.select("n", _agreeing(F.col("x"), F.col("y"), longs)).collect())
+
+
+def test_star_rounds_move_no_bits_and_compute_members_once(spark, monkeypatch):
+    """Members leave a bucket's centre in one place of a round's plan, and get their bits in the last step only."""
+    from tableops.llm import links
+    real, plans, bits = links.written, [], []
+
+    def seen(df, folder=None):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        bits.append("_bits" in df.columns or "struct" in df.schema.simpleString() and "_bits" in df.schema.simpleString())
+        return real(df, folder)
+    monkeypatch.setattr(links, "written", seen)
+    node = "node struct<hi:long,lo:long>"
+    shared = spark.createDataFrame([(b, (0, n)) for b, step in ((1, 1), (2, 2)) for n in range(0, 24, step)], f"bucket long, {node}")
+    info = spark.createDataFrame([((0, n), [1, 2] if n % 2 == 0 else [1]) for n in range(24)], f"{node}, bands array<long>")
+    # two nodes that differ by 12 have the same bits, all others too many
+    sizes = spark.createDataFrame([((0, n), 20, [(1 << 5 * (n % 12)) * 31] + [0] * 7) for n in range(24)], f"{node}, size int, bits array<long>")
+    found = []
+
+    def similar(pairs):
+        found.append([(x.a.lo, x.b.lo) for x in pairs.collect()])
+        return pairs
+    got = {x.node.lo: x.root.lo for x in links.linked(shared, similar, info, sizes=sizes, ratio=0.8).collect()}
+    assert got == {n: n - 12 for n in range(12, 24)}
+    met = [p for turn in found for p in turn]
+    assert sorted(met) == [(n, n + 12) for n in range(12)] and len(found) == links.STAR_ROUNDS + 1
+    centres = [sum("Join LeftAnti" in x and "_centre" in x for x in p.splitlines()) for p in plans]
+    assert max(centres) == 1 and sum(centres) == links.STAR_ROUNDS
+    assert sum(bits) == 1
