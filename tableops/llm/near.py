@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import by_value, checked_broadcast, keys, meet, meet_left, pick, portions, removed, thin, whole_text, wide_key, work_folder, written
+from tableops.llm.common import by_value, checked_broadcast, keys, meet_first, meet_left, pick, portions, removed, thin, whole_text, wide_key, work_folder, written
 from tableops.llm.links import linked, shared_buckets
 
 WORDS = 5
@@ -201,8 +201,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     signed = written(signed.groupBy("hi", "lo").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), folder)
     shared = written(shared_buckets(signed.select(F.explode("bands").alias("bucket"), "hi", "lo"), folder), folder)
     wanted = keys(shared.select(F.col("node.hi").alias("_hi"), F.col("node.lo").alias("_lo")).distinct(), ["_hi", "_lo"], folder)
-    texts = meet(keyed, ["hi", "lo"], wanted) \
-        .groupBy("hi", "lo").agg(F.first("_text").alias("_text"))
+    texts = meet_first(keyed.select("hi", "lo", "_text"), ["hi", "lo"], wanted, "_text")
     bags = written(texts.mapInArrow(_bagged, "hi long, lo long, runs array<long>, counts array<int>")
                    .select(F.struct("hi", "lo").alias("_node"), "runs", "counts"), folder)
 

@@ -36,6 +36,22 @@ def test_many_keys_do_without_bits(spark, few):
     assert common.meet(rows, ["a"], some).count() == 2000 and common.meet_left(rows, ["a"], some).filter("k is null").count() == 1000
 
 
+def test_equal_keys_are_combined_before_they_are_dealt_out(spark, few):
+    """200 keys of 300 rows each in one partition: one row of each that may be wanted is dealt out, once, and joined there."""
+    some = common.keys(spark.range(100).select(F.col("id").alias("k")), ["k"])
+    assert some.bits is not None
+    rows = spark.range(60_000, numPartitions=1).select((F.col("id") % 200).alias("a"), F.concat(F.lit("t"), F.col("id") % 200).alias("t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = common.meet_first(rows, ["a"], some, "t")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((x.a, x.t) for x in got.collect()) == [(a, f"t{a}") for a in range(100)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("LeftSemi") < plan.index("Aggregate") < plan.index("partial_first")
+    assert plan.count("Exchange hashpartitioning(") == 2  # of the texts and of the keys
+
+
 def test_operators_by_bits(spark, few):
     r = random.Random(4)
     texts = []
