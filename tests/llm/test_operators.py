@@ -459,6 +459,24 @@ def test_bits_keep_every_similar_pair(spark):
     assert sum(not x.may for x in got) > 10
 
 
+def test_no_shingle_costs_twice(spark):
+    """A line is normalised in one place of the plan, minima are cast once a line, and the bits take two shingles a row."""
+    texts = ["abc " * 9, "", "short", "eight ch", "nine char", " Ähnlich\t"]
+    df = table(spark, list(enumerate(texts + ["\n".join(texts)])))
+    lined = lines._lines(df, "doc_id", "text")
+
+    def plan(d):
+        return d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lined).count("lower(") == 1
+    assert sorted(x[0] for x in lined.select("_line").distinct().collect()) == sorted({t.strip().lower() for t in texts if t})
+    once = lined.groupBy("hi", "lo").agg(F.first("_line").alias("_line"))
+    assert "min((shiftright" in plan(lines.signatures(once)) and "min(cast(" not in plan(lines.signatures(once))
+    assert re.search(r"explode\(sequence\(0, \(size\(_all.*Some\(2\)", plan(lines.shingle_bits(once)))
+    for x in lines.shingle_bits(once).join(once, ["hi", "lo"]).collect():
+        every = {x._line[i:i + 7] for i in range(max(1, len(x._line) - 6))}
+        assert x.size == len(every) and sum(b.bit_count() if b >= 0 else (b + (1 << 64)).bit_count() for b in x.bits) % 2 == len(every) % 2
+
+
 def test_unlike_lines_of_one_pattern_are_not_verified(spark, monkeypatch):
     """300 lines alike by some 0.6: they share buckets, and few pairs are left to compare exactly."""
     r = random.Random(2)
